@@ -46,27 +46,21 @@ def _shards(bounds: DataFrame, min_gap_ms: int, shard_ms: int) -> DataFrame:
     w = F.lit(shard_ms).cast("long")
     lo, hi = F.floor(F.col("a") / w), F.floor((F.col("b") - 1) / w)
 
-    def piece(shard: Column, a: Column, b: Column) -> Column:
-        return F.struct(shard.alias("shard"), a.alias("a"), b.alias("b"))
-
-    pieces = F.when(lo == hi, F.array(piece(lo, F.col("a"), F.col("b")))).otherwise(
-        F.concat(
-            F.array(piece(lo, F.col("a"), (lo + 1) * w), piece(hi, hi * w, F.col("b"))),
-            F.when(hi - lo > 1, F.array(piece(F.lit(None).cast("long"), (lo + 1) * w, hi * w))).otherwise(F.array().cast("array<struct<shard:bigint,a:bigint,b:bigint>>")),
-        )
+    def piece(coarse: bool, shard: Column, a: Column, b: Column) -> Column:
+        return F.struct(F.lit(coarse).alias("coarse"), shard.alias("shard"), a.alias("a"), b.alias("b"))
+
+    pieces = F.when(lo == hi, F.array(piece(False, lo, F.col("a"), F.col("b")))).otherwise(
+        F.filter(F.array(piece(False, lo, F.col("a"), (lo + 1) * w), piece(False, hi, hi * w, F.col("b")), piece(True, lo, (lo + 1) * w, hi * w)), lambda x: x["b"] > x["a"])
     )
-    longest = bounds.select("entity", F.explode(pieces).alias("p")).groupBy("entity", F.col("p.shard").alias("shard"), F.col("p.a").alias("a")).agg(F.max("p.b").alias("b"))
-    fine = longest.where(F.col("shard").isNotNull())
-    before = Window.partitionBy("entity", "shard").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("b").over(before)
-    local = (
-        fine.withColumn("g", F.when(F.col("a") - reach > min_gap_ms, reach))
-        .groupBy("entity", "shard")
+    own = ["entity", "coarse", "shard"]
+    longest = bounds.select("entity", F.explode(pieces).alias("p")).select("entity", "p.*").groupBy(*own, "a").agg(F.max("b").alias("b"))
+    reach = F.max("b").over(Window.partitionBy(*own).orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        longest.withColumn("g", F.when(F.col("a") - reach > min_gap_ms, reach))
+        .groupBy(*own)
         .agg(F.min("a").alias("first"), F.max("b").alias("last"), F.collect_list(F.when(F.col("g").isNotNull(), F.struct(F.col("g"), F.col("a").alias("h")))).alias("inner"))
-        .drop("shard")
+        .drop("coarse", "shard")
     )
-    coarse = longest.where(F.col("shard").isNull()).select("entity", F.col("a").alias("first"), F.col("b").alias("last"), F.array().cast(local.schema["inner"].dataType).alias("inner"))
-    return local.unionByName(coarse)
 
 
 def interval_gaps(bounds: DataFrame, min_gap_ms: int = MIN_GAP_MS, shard_ms: int = SHARD_MS) -> DataFrame:
