@@ -77,10 +77,17 @@ _PACK = struct.Struct("<iBBB")
 
 def follow_class(text: str, at: int) -> int:
     """The class of what stands at ``at`` and after."""
-    at = _SKIP.match(text, at).end()
-    if at >= len(text):
-        return PASS
-    c = text[at]
+    c = text[at : at + 1]
+    if c.isspace():
+        at += 1
+        c = text[at : at + 1]
+    if not c.isalnum():
+        at = _SKIP.match(text, at).end()
+        if at >= len(text):
+            return PASS
+        c = text[at]
+    if c.isascii() and c.isalpha():
+        return L if c.islower() else U
     if c in _OPENING:
         return U
     if c.isdigit():

@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -176,39 +175,49 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?…。！？｡][\s)\]）】》〉’'”»」』\"“]*\Z")
 
 
-def stretches(units: list[str], scores: np.ndarray) -> list[tuple[str, float, int]]:
-    """``(language, confidence, sentences)`` of each run of sentences in one language.
+def _whole(sentence: str) -> bool:
+    """Whether a text is a whole sentence rather than a name or a fragment of a few words without an end mark."""
+    if len(sentence) >= 60:
+        return True
+    letters = sum(map(len, _WORDS.findall(sentence)))
+    wide = any("\u3040" <= c <= "\u9fff" for c in sentence)
+    return letters >= (4 if wide else 12) and (letters >= (6 if wide else 24) or _END.search(sentence) is not None)
 
-    What is no whole sentence (a name, a fragment of a few words without an end mark) goes with the sentence before it.
+
+def stretches(docs: list[list[str]], scores: np.ndarray) -> list[list[tuple[str, float, int]]]:
+    """``(language, confidence, sentences)`` of each run of sentences in one language, for each document.
+
+    ``scores`` has a row for each sentence of all documents. What is no whole sentence goes with the sentence before it.
     """
-    firm: list[int | None] = []
-    for u, s in zip(units, scores, strict=True):
-        letters = sum(map(len, _WORDS.findall(u)))
-        wide = any("぀" <= c <= "鿿" for c in u)
-        two = np.partition(s, -2)[-2:]
-        small = letters < (4 if wide else 12) or not _END.search(u) and letters < (6 if wide else 24)
-        firm.append(None if small or two[1] - two[0] < 2.0 else int(s.argmax()))
-    if not units:
-        return []
-    known = [k for k in firm if k is not None]
-    if not known:
-        total = scores.sum(axis=0)
-        if not any(_WORDS.search(u) for u in units):
-            return []
-        firm = [int(total.argmax())] * len(units)
-    last = next(k for k in firm if k is not None)
-    runs: list[list[Any]] = []
-    for k, s in zip(firm, scores, strict=True):
-        last = last if k is None else k
-        if runs and runs[-1][0] == last:
-            runs[-1][1] = runs[-1][1] + s
-            runs[-1][2] += 1
-        else:
-            runs.append([last, s.astype(np.float64), 1])
-    out = []
-    for k, s, n in runs:
-        p = np.exp(EVIDENCE * (s - s.max()))
-        out.append((LANGUAGES[k], float(np.round(p[k] / p.sum(), 6)), n))
+    out: list[list[tuple[str, float, int]]] = []
+    if not len(scores):
+        return [[] for _ in docs]
+    best = scores.argmax(axis=1)
+    two = np.partition(scores, -2, axis=1)
+    clear = (two[:, -1] - two[:, -2]) >= 2.0
+    sums = np.vstack([np.zeros((1, len(LANGUAGES))), np.cumsum(scores, axis=0, dtype=np.float64)])
+    at = 0
+    for units in docs:
+        n = len(units)
+        lo, hi, at = at, at + n, at + n
+        firm = [int(k) if c and _whole(u) else None for u, k, c in zip(units, best[lo:hi], clear[lo:hi], strict=True)]
+        last = next((k for k in firm if k is not None), None)
+        if last is None:
+            if not any(_WORDS.search(u) for u in units):
+                out.append([])
+                continue
+            last = int((sums[hi] - sums[lo]).argmax())
+        starts: list[tuple[int, int]] = []
+        for i, k in enumerate(firm):
+            if i == 0 or k is not None and k != last:
+                last = last if k is None else k
+                starts.append((lo + i, last))
+        runs = []
+        for (b, k), e in zip(starts, [x for x, _ in starts[1:]] + [hi], strict=True):
+            s = sums[e] - sums[b]
+            p = np.exp(EVIDENCE * (s - s.max()))
+            runs.append((LANGUAGES[k], float(np.round(p[k] / p.sum(), 6)), e - b))
+        out.append(runs)
     return out
 
 
@@ -230,11 +239,7 @@ def language_segments(df: DataFrame, key: str, text: str, label: str, model: np.
                 part = batch.iloc[lo : lo + 512]
                 per_doc = [sentences(t) for t in part["text"]]
                 scores = score_sentences([u for d in per_doc for u in d], shared.value)
-                rows, at = [], 0
-                for k, lab, d in zip(part["key"], part["label"], per_doc, strict=True):
-                    own = stretches(d, scores[at : at + len(d)])
-                    at += len(d)
-                    rows += [(k, lab, i, len(own), lang, conf, n) for i, (lang, conf, n) in enumerate(own, 1)]
+                rows = [(k, lab, i, len(own), lang, conf, n) for k, lab, own in zip(part["key"], part["label"], stretches(per_doc, scores), strict=True) for i, (lang, conf, n) in enumerate(own, 1)]
                 yield pd.DataFrame(rows, columns=names)
 
     return df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).mapInPandas(run, _SCHEMA)
