@@ -1,4 +1,4 @@
-"""Binding a value to a name inside an expression."""
+"""Small helpers for column expressions."""
 
 from __future__ import annotations
 
@@ -11,3 +11,8 @@ from pyspark.sql import functions as F
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def strip(text: Column) -> Column:
+    """``text`` without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.arrays import let
+from textloom.functions.arrays import let, strip
 
 
 def format_time(seconds: Column) -> Column:
@@ -64,15 +64,15 @@ def normalize_range(text: Column) -> Column:
         return F.format_string("%02d:%02d:%02d,%03d", p["h"], p["m"], p["s"], p["ms"])
 
     def judged(parts: Column) -> Column:
-        both = F.transform(parts, lambda x: time_part(F.trim(x)))
+        both = F.transform(parts, lambda x: time_part(strip(x)))
         # The error codes.
         return let(
             both,
             lambda p: F.when(F.coalesce(text, F.lit("")) == "", F.concat(F.lit("ERROR_NORM_INVALID_INPUT_TYPE__"), F.coalesce(text, F.lit("None"))))
-            .when(F.size(p) != 2, F.concat(F.lit("ERROR_NORM_NO_ARROW_SEPARATOR__"), F.trim(text)))
-            .when(F.element_at(p, 1).isNull(), F.concat(F.lit("ERROR_NORM_START_PARSE_FAILED__"), F.trim(text)))
-            .when(F.element_at(p, 2).isNull(), F.concat(F.lit("ERROR_NORM_END_PARSE_FAILED__"), F.trim(text)))
+            .when(F.size(p) != 2, F.concat(F.lit("ERROR_NORM_NO_ARROW_SEPARATOR__"), strip(text)))
+            .when(F.element_at(p, 1).isNull(), F.concat(F.lit("ERROR_NORM_START_PARSE_FAILED__"), strip(text)))
+            .when(F.element_at(p, 2).isNull(), F.concat(F.lit("ERROR_NORM_END_PARSE_FAILED__"), strip(text)))
             .otherwise(F.concat(shown(F.element_at(p, 1)), F.lit(" --> "), shown(F.element_at(p, 2)))),
         )
 
-    return let(F.split(F.trim(F.coalesce(text, F.lit(""))), "-->", -1), judged)
+    return let(F.split(strip(F.coalesce(text, F.lit(""))), "-->", -1), judged)

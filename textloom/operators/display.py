@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.arrays import let
+from textloom.functions.arrays import let, strip
 
 MAX_LINE, MAX_LINES, LONG = 35, 2, 80
 DECIMAL = "##DECIMAL##"
@@ -20,10 +20,6 @@ BREAKS = ("。", "？", "！", "，", ".", "?", "!", ",")
 STRONG, WEAK = "。？！.", "，；：—,;:\\-"
 
 
-def _strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-
-
 def protect_decimals(text: Column) -> Column:
     return F.regexp_replace(text, r"(\d)\.(\d)", f"$1{DECIMAL}$2")
 
@@ -38,14 +34,14 @@ def dialogue_parts(text: Column, compat: bool = False) -> Column:
     A dash parts speakers at the start of a line or between blanks; with ``compat`` any hyphen does, also inside words.
     """
     dash = r"(?U)\s*-\s*" if compat else r"(?U)(?:^|\s+)-\s+|(?:^|\n)\s*-\s*"
-    parts = F.filter(F.transform(F.split(text, dash), _strip), lambda p: p != "")
-    return let(parts, lambda ps: F.when(F.size(ps) > 1, F.transform(ps, lambda p, i: F.when(i > 0, F.concat(F.lit("- "), p)).otherwise(p))).otherwise(F.array(_strip(text))))
+    parts = F.filter(F.transform(F.split(text, dash), strip), lambda p: p != "")
+    return let(parts, lambda ps: F.when(F.size(ps) > 1, F.transform(ps, lambda p, i: F.when(i > 0, F.concat(F.lit("- "), p)).otherwise(p))).otherwise(F.array(strip(text))))
 
 
 def marked_parts(text: Column, marks: str) -> Column:
     """Fragments that end in one of ``marks`` (or the text does), without blank ones."""
     found = F.regexp_extract_all(text, F.lit(f"(?s)([^{marks}]*[{marks}]|[^{marks}]+$)"), 1)
-    return F.filter(F.transform(found, _strip), lambda p: p != "")
+    return F.filter(F.transform(found, strip), lambda p: p != "")
 
 
 def weak_parts(text: Column, longer_than: int = LONG) -> Column:
@@ -94,7 +90,7 @@ def wrap_lines(text: Column, width: int = MAX_LINE) -> Column:
         k = cut(rest)
         return F.when(
             F.length(rest) > width,
-            F.struct(F.concat(state["lines"], F.array(_strip(F.substring(rest, F.lit(1), k)))).alias("lines"), _strip(F.substring(rest, k + 1, F.length(rest))).alias("rest")),
+            F.struct(F.concat(state["lines"], F.array(strip(F.substring(rest, F.lit(1), k)))).alias("lines"), strip(F.substring(rest, k + 1, F.length(rest))).alias("rest")),
         ).otherwise(state)
 
     steps = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
@@ -126,7 +122,7 @@ def screen_parts(start: Column, end: Column, text: Column, compat: bool = False,
         shown = _split_timed(F.transform(weak, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), restore_decimals(s["text"]).alias("text"))), lambda t: chunks(t, width, lines))
         return F.when((shielded == "") | ~F.coalesce(end > start, F.lit(False)), plain).otherwise(shown)
 
-    return let(protect_decimals(_strip(F.coalesce(text, F.lit("")))), stages)
+    return let(protect_decimals(strip(F.coalesce(text, F.lit("")))), stages)
 
 
 def on_screen(rows: DataFrame, track: str, pos: str, start: str, end: str, text: str, compat: bool = False) -> DataFrame:

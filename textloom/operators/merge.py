@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.arrays import strip
+
 MAX_CHARS, MAX_SECONDS = 250, 15.0
 #: Positions of a track in a block, for numbering runs.
 BLOCK = 1024
@@ -75,7 +77,7 @@ def segment_offsets(rows: DataFrame, track: str, pos: str, text: str, start: str
     Rows without words are left out; a missing start is the end of the row before. Offsets are summed over blocks of
     positions first, so one long track is many small windows.
     """
-    clean = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)^\s+|\s+$", ""))
+    clean = strip(F.coalesce(F.col(text), F.lit("")))
     base = rows.where(F.col(track).isNotNull() & F.col(pos).isNotNull()).select(
         F.col(track).alias("track"), F.col(pos).cast("long").alias("pos"), clean.alias("text"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(duration).alias("d"), F.floor(F.col(pos) / BLOCK).alias("block")
     )

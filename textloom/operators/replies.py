@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.arrays import strip
 from textloom.tables import cut_lineage
 
 # Fixed value: how the text of a failed task begins.
@@ -114,20 +115,20 @@ def is_repeated(text: Column) -> Column:
 
     Under 10 characters never; a character five times in a row, a run four times in a row, or a bracketed text.
     """
-    t = F.trim(text)
+    t = strip(text)
     looks = t.rlike(r"(?s)(.)\1{4,}") | t.rlike(r"(?s)(.{2,}?)\1{3,}") | (t.startswith("[") & t.endswith("]"))
     return F.coalesce((F.length(t) >= 10) & looks, F.lit(False))
 
 
 def error_class(text: Column) -> Column:
     """``hard`` (repeated), ``soft`` (empty or failed) or null."""
-    empty = F.trim(F.coalesce(text, F.lit(""))) == ""
+    empty = strip(F.coalesce(text, F.lit(""))) == ""
     return F.when(is_repeated(text), F.lit("hard")).when(empty | F.coalesce(text.startswith(FAILED), F.lit(False)), F.lit("soft"))
 
 
 def untranslated(source: Column, translated: Column) -> Column:
     """Whether a translation is its source, but for blanks at the ends."""
-    return F.coalesce((F.trim(source) == F.trim(translated)) & (F.trim(source) != ""), F.lit(False))
+    return F.coalesce((strip(source) == strip(translated)) & (strip(source) != ""), F.lit(False))
 
 
 def failed_block_ids(replies: DataFrame, text: str) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.plans import reference_queries
 from textloom.plans.core_queries import CORE_QUERIES, CORE_SQL
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**CORE_QUERIES}
-SQL: dict[str, str] = {**CORE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**CORE_QUERIES, **reference_queries.QUERIES}
+SQL: dict[str, str] = {**CORE_SQL, **reference_queries.SQL}

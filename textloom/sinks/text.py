@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.arrays import strip
 from textloom.functions.names import sanitize_filename
 from textloom.functions.timecode import time_range
 
@@ -70,7 +71,7 @@ def bilingual_markdown(rows: DataFrame, tracks: DataFrame, track: str, pos: str,
     become a blank.
     """
     # The labels of the listing.
-    clean = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\\n", " "))
+    clean = lambda c: strip(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\\n", " "))
     own = numbered(rows.where(F.col(track).isNotNull() & F.col(pos).isNotNull()), track, pos)
     entry = F.concat(F.lit("### 片段 "), F.col("n_").cast("string"), F.lit(" (`"), F.regexp_replace(F.coalesce(time_range(F.col(start), F.col(end)), F.lit(" --> ")), " --> ", "` --> `"), F.lit("`)\n\n原文: "), clean(source), F.lit("\n译文: "), clean(translated), F.lit("\n"))
     body = _joined(_pieces(own, track, ["n_"], entry, "\n"), "\n")
