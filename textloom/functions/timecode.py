@@ -9,11 +9,15 @@ from textloom.functions.arrays import let, strip
 
 
 def format_time(seconds: Column) -> Column:
-    """``HH:MM:SS,mmm``; milliseconds are rounded half to even and carry. Null for null; hours may take more digits."""
-    whole = F.floor(seconds)
-    ms = whole * 1000 + F.bround((seconds - whole) * 1000.0, 0).cast("long")
+    """``HH:MM:SS,mmm``; milliseconds are rounded half to even and carry. Hours may take more digits.
+
+    Null for null, NaN and infinity; a negative time, which the format can't hold, is shown as zero.
+    """
+    shown = F.greatest(seconds, F.lit(0.0))
+    whole = F.floor(shown)
+    ms = whole * 1000 + F.bround((shown - whole) * 1000.0, 0).cast("long")
     return F.when(
-        seconds.isNotNull(),
+        seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) < 1e12),
         F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000),
     )
 

@@ -123,6 +123,8 @@ def merge_run(rows: list[tuple[str, float, float]], max_chars: int = MAX_CHARS,
     out: list[tuple[str, float, float]] = []
 
     def emit(text: str, own: list[float]) -> None:
+        if not compat:
+            own = own[len(text) - len(text.lstrip()) : len(text.rstrip())]
         if shown := restore(text):
             out.append((shown, own[0] if own else 0.0, own[-1] if own else 0.0))
 

@@ -164,7 +164,34 @@ def _own(value: Any, place: str) -> str:
         if kind in NOTE_TYPES or kind == "table" and isinstance(value.get(SOURCE), dict):
             skip.add(SOURCE)
         value = {k: v for k, v in value.items() if k not in skip}
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return canonical(value)
+
+
+def canonical(value: Any) -> str:
+    """JSON with sorted keys and no blanks, of a value nested to any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    except RecursionError:
+        pass
+    out: list[str] = []
+    todo: list[tuple[bool, Any]] = [(False, value)]
+    while todo:
+        done, x = todo.pop()
+        if done:
+            out.append(x)
+        elif isinstance(x, dict):
+            todo.append((True, "}"))
+            for n, k in reversed(list(enumerate(sorted(x)))):
+                todo += [(False, x[k]), (True, ("," if n else "") + json.dumps(k, ensure_ascii=False) + ":")]
+            todo.append((True, "{"))
+        elif isinstance(x, list):
+            todo.append((True, "]"))
+            for n, v in reversed(list(enumerate(x))):
+                todo += [(False, v)] + ([(True, ",")] if n else [])
+            todo.append((True, "["))
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
 
 
 def walk_document(document: Any) -> list[tuple[str, str, str, str, str | None, str, int, str]]:

@@ -54,8 +54,9 @@ _RAW = "raw AS (SELECT * FROM raw_segments QUALIFY row_number() OVER (PARTITION
 
 
 def _code(x: str) -> str:
+    y, x = x, f"greatest({x}, 0.0)"
     ms = f"(CAST(floor({x}) AS BIGINT) * 1000 + CAST(round_even(({x} - floor({x})) * 1000, 0) AS BIGINT))"
-    return f"CASE WHEN {x} IS NOT NULL THEN printf('%02d:%02d:%02d,%03d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000) END"
+    return f"CASE WHEN {y} IS NOT NULL THEN printf('%02d:%02d:%02d,%03d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000) END"
 
 
 _STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
