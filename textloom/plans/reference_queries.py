@@ -446,7 +446,7 @@ def book_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT CAST(doc_id AS VARCHAR) AS doc_key, CAST(len(regexp_extract_all(text, '<h[1-6]')) AS BIGINT) AS headings, CAST(len(list_filter(regexp_extract_all(text, '(?s)<p[^>]*>(.*?)</p>', 1), lambda x: true)) AS BIGINT) AS paragraphs
+SELECT CAST(doc_id AS VARCHAR) AS doc_key, CAST(len(regexp_extract_all(text, '<h[1-6]')) AS BIGINT) AS headings, CAST(len(regexp_extract_all(text, '<p[ >]')) AS BIGINT) AS paragraphs
 FROM documents WHERE regexp_matches(text, '^<(p|h2)[ >]') AND regexp_matches(text, '(?s)</(p|h2)>\s*$')""")
 def html_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text").where(F.col("text").rlike("^<(p|h2)[ >]") & F.col("text").rlike(r"(?s)</(p|h2)>\s*$"))
