@@ -136,6 +136,8 @@ def scan_events(text: str, whole: bool) -> list[tuple[int, int, int, int]]:
             out.append((e, _QUOTES[c], follow_class(text, e), adjacent))
             last = e
             continue
+        if out and out[-1][1] in _ENDS and not _ALNUM.search(text, out[-1][0], s):
+            continue  # more marks of a sentence that has ended
         run = m[0]
         end = _CLOSERS.match(text, e).end()
         after = text[end : end + 1]

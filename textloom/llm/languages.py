@@ -105,10 +105,11 @@ def score_sentences(texts: list[str], model: np.ndarray) -> np.ndarray:
     while at < len(texts):  # about a million code points at a time
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
-            size += len(texts[end]) + 1
+            size += len(texts[end]) + 2
             end += 1
-        cps = code_points("\n".join(texts[at:end]) + "\n")
-        starts = np.cumsum([0] + [len(t) + 1 for t in texts[at : end - 1]])
+        # Two breaks before each text keep its n-grams from reaching into the next.
+        cps = code_points("".join(["\n\n" + t for t in texts[at:end]]))
+        starts = np.cumsum([0] + [len(t) + 2 for t in texts[at : end - 1]])
         total = None
         for b in gram_buckets(cps):
             rows = model[b]
@@ -138,7 +139,7 @@ def _counts(batches: Iterator[pd.DataFrame], model: np.ndarray | None) -> Iterat
             else:
                 labels = score_sentences(flat, model).argmax(axis=1)
             for k in np.unique(labels):
-                own = "\n".join(u for u, x in zip(flat, labels, strict=True) if x == k) + "\n"
+                own = "".join("\n\n" + u for u, x in zip(flat, labels, strict=True) if x == k)
                 # Also as it looks without its diacritics: some documents are written so.
                 for variant in (own, _fold(own)) if LANGUAGES[k] in ("es", "pt", "fr", "de") else (own,):
                     for b in gram_buckets(code_points(variant)):

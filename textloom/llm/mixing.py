@@ -116,7 +116,7 @@ def mix_documents(counts: DataFrame, targets: DataFrame, total: float | None = N
     spark = counts.sparkSession
     plan = spark.createDataFrame(_allocate(counts, targets, total), _PLAN)
     # One row for each source of the stated mix.
-    epochs = F.coalesce(F.col("wanted") / F.col("held"), F.lit(0.0))
+    epochs = F.coalesce(F.try_divide(F.col("wanted"), F.col("held")), F.lit(0.0))
     whole = F.least(F.floor(epochs + 1e-9), F.floor("max_repeats"))
     plan = F.broadcast(plan.select(F.col("source").alias("s"), whole.alias("whole"), F.greatest(F.col("wanted") - whole * F.col("held"), F.lit(0.0)).alias("rest"), (whole < F.floor("max_repeats")).alias("more")))
     order = F.xxhash64(F.lit(seed), "doc_key")
@@ -142,7 +142,7 @@ def mix_shares(counts: DataFrame, targets: DataFrame, total: float | None = None
     got = mix_documents(counts, targets, total, seed).groupBy(F.col("source").alias("s")).agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mix"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most"))
     mix = F.coalesce("mix", F.lit(0))
     return plan.join(got, F.col("source") == F.col("s"), "left").select(
-        "source", "target_share", "max_repeats", F.col("held").alias("held_tokens"), mix.alias("mix_tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most", F.lit(0)).alias("most_repeats"), (mix / F.sum(mix).over(Window.partitionBy())).alias("actual_share")
+        "source", "target_share", "max_repeats", F.col("held").alias("held_tokens"), mix.alias("mix_tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most", F.lit(0)).alias("most_repeats"), F.coalesce(F.try_divide(mix, F.sum(mix).over(Window.partitionBy(F.lit(1)))), F.lit(0.0)).alias("actual_share")
     )
 
 

@@ -229,7 +229,7 @@ def broken_pairs(df: DataFrame, key: str, prompt: str, response: str, target: st
     """
     figures = cut_lineage(pair_figures(df, key, prompt, response, target))
     prior = F.create_map(*[F.lit(x) for kv in PRIOR.items() for x in kv])
-    ratio = F.col("response_n") / F.col("prompt_n")
+    ratio = F.try_divide(F.col("response_n"), F.col("prompt_n"))
     base = F.coalesce(F.element_at(prior, F.col("target")) / F.element_at(prior, F.col("prompt_lang")), F.lit(1.0))
     fit = F.col("response_lang").eqNullSafe(F.col("target")) & ~F.col("refusal") & (F.col("prompt_n") >= 15)
     learned = figures.where(fit).groupBy("prompt_lang", "target").agg(F.percentile_approx(ratio, 0.5, 1000).alias("median"), F.count(F.lit(1)).alias("pairs"))
@@ -238,7 +238,7 @@ def broken_pairs(df: DataFrame, key: str, prompt: str, response: str, target: st
     judged = figures.join(F.broadcast(learned), (F.col("prompt_lang") == F.col("pl")) & (F.col("target") == F.col("tl")), "left")
     n = F.coalesce("pairs", F.lit(0))
     usual = (n * F.coalesce("median", F.lit(0.0)) + PRIOR_WEIGHT * base) / (n + PRIOR_WEIGHT)
-    share = ratio / usual
+    share = F.try_divide(ratio, usual)
     dense = F.col("target").isin("zh", "ja")
     lacks = share < F.when(dense, 0.71).otherwise(0.76)
     broken_off = F.when(F.col("finish") == "mark", (F.col("response_sentences") < F.col("prompt_sentences")) & (share < 0.72) | (share < 0.35)).otherwise(lacks)

@@ -15,7 +15,7 @@ _SUBTITLE = re.compile(rf"\s*(?:^|(?<=\n))[ \t]*(?:\d+[ \t]*\r?\n)?{_TIME}(?:\r?
 _HEADED = re.compile(rf"(?:\A|\n)[ \t]*#+{_TIME}(?:\n|\Z)")
 _BLOCK_TAG = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|br|hr|tr|td|th|table|section|article|blockquote|pre|body|html|title|head|nav|header|footer)\b[^<>]*>", re.IGNORECASE)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.DOTALL)
-_MARK = re.compile(r"(?m)^[ \t]*(?:#{1,6}|>|[*+]|```.*|\|)[ \t]*|\*\*|__|~~|`")
+_MARK = re.compile(r"(?m)\*\*|__|~~|^[ \t]*(?:#{1,6}|>|[*+](?=\s)|```.*|\|)[ \t]*|`")
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _JOINT = re.compile(f"(?<=[{_CJK}，、。！？」』”])\\x1f(?=[{_CJK}，、。！？「『“])")
 _BREAK = re.compile(r"\n[ \t]*\n|\x1e")

@@ -31,7 +31,7 @@ def _row_events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple[Any, ...]] = []
         for track, pos, key, h, text in zip(batch["track"], batch["pos"], batch["row_key"], batch["text_hash"], batch["text"], strict=True):
             text = text or ""
-            events = [e for e in B.scan_events(text, False) if e[1] > B.S_TEXT_END or B._ALNUM.search(text, 0, e[0]) or e[0] == len(text)]
+            events = B.scan_events(text, False)
             cls, said = B.right_class(text)
             rows.append((track, pos, key, h, len(text), B.pack_events(events), B.function_of(bytes(e[1] for e in events)), cls, said))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in _EVENTS.split(", ")])

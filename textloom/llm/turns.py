@@ -91,7 +91,7 @@ def _number(label: Column, cast: Column) -> Column:
             (plain == s["full"])
             | (plain == s["first"])
             | (plain == s["last"])
-            | plain.eqNullSafe(s["role"])
+            | F.coalesce(plain == s["role"], F.lit(False))
             | (F.regexp_replace(plain, r"[. ]", "") == F.concat(s["first"], initial))
             | (F.regexp_replace(plain, r"[. ]", "") == F.concat(head, initial)) & plain.contains(".")
             | F.regexp_like(plain, F.concat(F.lit("^(?:speaker|spk)[ _]?0*"), s["no"].cast("string"), F.lit("$")))
@@ -102,7 +102,7 @@ def _number(label: Column, cast: Column) -> Column:
 
     found = F.transform(F.filter(cast, named), lambda s: s["no"])
     close = F.transform(F.filter(cast, near), lambda s: s["no"])
-    return F.when(F.size(found) == 1, F.element_at(found, 1)).when(guess & (F.size(found) == 0) & (F.size(close) == 1), F.element_at(close, 1))
+    return F.when(label.isNull(), None).when(F.size(found) == 1, F.element_at(found, 1)).when(guess & (F.size(found) == 0) & (F.size(close) == 1), F.element_at(close, 1))
 
 
 def _pieces(rows: DataFrame, cast: DataFrame, track: str, pos: str, key: str, text: str, start: str, duration: str) -> DataFrame:
