@@ -57,6 +57,8 @@ _ALNUM = re.compile(r"[^\W_]")
 _NAME = re.compile(r"\d[\d.,:]*\Z|[A-Z][\w'’\-]*\Z|[A-Z0-9][A-Z0-9\-.]*\Z")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】"}
 _MARKS = re.compile("[" + "".join(map(re.escape, sorted({*_PAIRS, *"".join(_PAIRS.values())}))) + "]")
+# A point after a time of day, or after a number in a script without spaces, ends no sentence.
+_UNFINISHED = re.compile(r"(?:\b[ap]\.\s?m|\bч|\benv|[\u3040-\u9fff][0-9]+)\.\Z")
 _FINISH = re.compile(r"([.!?。！？｡]+|…+|\.{3,})[\s»”」』\"'’“)\]）】]*\Z")
 
 
@@ -176,19 +178,26 @@ def open_delimiters(text: str) -> int:
 
 
 def finish(text: str) -> str:
-    """How a text ends: ``mark``, ``dots`` or ``none`` (also after an abbreviation, or with a delimiter left open)."""
+    """How a text ends: ``mark``, ``dots``, ``open`` (a comma or the like) or ``none`` (also after an abbreviation, or with
+    a delimiter left open)."""
     m = _FINISH.search(text.rstrip())
     if not m or open_delimiters(text):
-        return "none"
+        return "open" if text.rstrip()[-1:] in tuple(",;:，、；：-–—(“„«「") else "none"
     if m[1][0] == "…" or m[1].startswith("..."):
         return "dots"
     if m[1] == ".":
         ends = [e for e in B.scan_events(text.rstrip(), False) if e[1] in (B.S_PLAIN, B.S_MAYBE, B.S_NUMBER)]
-        if not ends or ends[-1][0] < m.end(1):
+        if not ends or ends[-1][0] < m.end(1) or _UNFINISHED.search(text[: m.end(1)]):
             return "none"
     return "mark"
 
 
+def last_word(text: str) -> str:
+    """The last word of a text that has one (two characters in scripts without spaces), in lower case."""
+    words = _TOKEN.findall(text[-200:].casefold()) or _TOKEN.findall(text.casefold())
+    return "".join(words[-2:]) if words and len(words[-1]) == 1 and words[-1] > "\u3000" else words[-1] if words else ""
+
+
 def invariant(text: str) -> bool:
     """Whether a text is the same in every language: up to three numbers, names or codes."""
     words = [w.strip("“”„«»\"'().,!?;:&") for w in text.split()]
@@ -196,7 +205,7 @@ def invariant(text: str) -> bool:
     return 0 < len(words) <= 3 and all(_NAME.match(w) and w.lower() not in _VOTES for w in words)
 
 
-_FIGURES = "pair_key long, target string, prompt_n int, response_n int, prompt_lang string, response_lang string, fixed boolean, refusal boolean, copied double, finish string, prompt_sentences int, response_sentences int"
+_FIGURES = "pair_key long, target string, prompt_n int, response_n int, prompt_lang string, response_lang string, fixed boolean, refusal boolean, copied double, finish string, last string, prompt_sentences int, response_sentences int"
 
 
 def _figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,10 +215,10 @@ def _figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             prompt, response = prompt or "", response or ""
             pn, rn = len(_ALNUM.findall(prompt)), len(_ALNUM.findall(response))
             if not pn or not rn:
-                rows.append((key, target, pn, rn, None, None, invariant(prompt), False, 0.0, "none", 0, 0))
+                rows.append((key, target, pn, rn, None, None, invariant(prompt), False, 0.0, "none", None, 0, 0))
                 continue
             rows.append(
-                (key, target, pn, rn, vote(prompt), vote(response), invariant(prompt), refuses(response) and not refuses(prompt), copied_share(prompt, response), finish(response), len(B.whole_text_ends(prompt)), len(B.whole_text_ends(response)))
+                (key, target, pn, rn, vote(prompt), vote(response), invariant(prompt), refuses(response) and not refuses(prompt), copied_share(prompt, response), finish(response), last_word(response), len(B.whole_text_ends(prompt)), len(B.whole_text_ends(response)))
             )
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in _FIGURES.split(", ")])
 
@@ -235,13 +244,18 @@ def broken_pairs(df: DataFrame, key: str, prompt: str, response: str, target: st
     learned = figures.where(fit).groupBy("prompt_lang", "target").agg(F.percentile_approx(ratio, 0.5, 1000).alias("median"), F.count(F.lit(1)).alias("pairs"))
     learned = learned.select(F.col("prompt_lang").alias("pl"), F.col("target").alias("tl"), "median", "pairs").where(F.col("pl").isNotNull())
     # At most one row for each pair of languages.
+    # Words that end sentences elsewhere: a text without an end mark that stops at another word breaks off there.
+    finals = figures.where(fit & (F.col("finish") == "mark")).groupBy(F.col("target").alias("ft"), F.col("last").alias("fl")).agg(F.count(F.lit(1)).alias("finals"))
+    figures = figures.join(finals, (F.col("target") == F.col("ft")) & (F.col("last") == F.col("fl")), "left")
     judged = figures.join(F.broadcast(learned), (F.col("prompt_lang") == F.col("pl")) & (F.col("target") == F.col("tl")), "left")
     n = F.coalesce("pairs", F.lit(0))
     usual = (n * F.coalesce("median", F.lit(0.0)) + PRIOR_WEIGHT * base) / (n + PRIOR_WEIGHT)
     share = F.try_divide(ratio, usual)
     dense = F.col("target").isin("zh", "ja")
-    lacks = share < F.when(dense, 0.71).otherwise(0.76)
-    broken_off = F.when(F.col("finish") == "mark", (F.col("response_sentences") < F.col("prompt_sentences")) & (share < 0.72) | (share < 0.35)).otherwise(lacks)
+    fewer = F.col("response_sentences") < F.col("prompt_sentences")
+    dangling = (F.col("finals").isNull() & (F.coalesce("pairs", F.lit(0)) >= 100)) | (F.col("finish") == "open")
+    lacks = share < F.when(dangling, 0.81).when(fewer, 0.72).when(dense, 0.58).otherwise(0.62)
+    broken_off = F.when(F.col("finish") == "mark", fewer & (share < 0.72) | (share < 0.52)).otherwise(lacks)
     defect = (
         F.when(F.col("fixed") | (F.col("prompt_n") == 0), None)
         .when(F.col("response_n") == 0, "empty")
