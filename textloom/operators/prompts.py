@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.arrays import strip
+
 _RULES = "Keep every id as it is. Keep all tags and attributes, data-mmg-id among them. Return as many objects as you were given, in order."
 
 TEMPLATES: dict[str, str] = {
@@ -86,7 +88,7 @@ def build_prompt(kind: Column, payload: Column, source_lang: Column, target_lang
     out = None
     for name, p in PROMPTS.items():
         values = {"source_lang": source_lang, "target_lang": target_lang, "glossary_section": F.lit(glossary_section(glossary, t)), p.payload: payload}
-        text = F.trim(F.concat(fill(t[p.system], values), F.lit("\n\n"), fill(t[p.user], values)))
+        text = strip(F.concat(fill(t[p.system], values), F.lit("\n\n"), fill(t[p.user], values)))
         out = F.when(kind == name, text) if out is None else out.when(kind == name, text)
     return out
 

@@ -342,7 +342,7 @@ def _prompt_sql() -> str:
         text = (t[p.system] + "\n\n" + t[p.user]).replace("{source_lang}", "en").replace("{target_lang}", "de").replace("{glossary_section}", prompts.glossary_section(GLOSSARY))
         head, _, tail = text.partition("{" + p.payload + "}")
         head, tail = head.replace("{{", "{").replace("}}", "}"), tail.replace("{{", "{").replace("}}", "}")
-        whens.append(f"WHEN task_type = {_quote(kind)} THEN trim({_quote(head)} || coalesce(text_to_translate, '') || {_quote(tail)})")
+        whens.append(f"WHEN task_type = {_quote(kind)} THEN {_STRIP.format(f"({_quote(head)} || coalesce(text_to_translate, '') || {_quote(tail)})")}")
     return f"SELECT task_key, CASE {' '.join(whens)} END AS prompt FROM tasks"
 
 
