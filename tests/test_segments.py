@@ -81,7 +81,7 @@ def test_greedy_batches(spark):
 
 
 def test_json_tasks(spark):
-    df = spark.createDataFrame([("t", 0, "seg_0", 'say "hi"\n'), ("t", 1, "seg_1", None), ("t", None, "seg_2", "x"), (None, 1, "seg_3", "x")], "t string, p long, i string, x string")
+    df = spark.createDataFrame([("t", 0, "seg_0", 'say "hi"\n'), ("t", 1, "seg_1", None), ("t", None, "seg_2", "x"), (None, 1, "seg_3", "x"), ("t", 1, "seg_1", None)], "t string, p long, i string, x string")
     got = batching.json_tasks(df, "t", "p", "i", "x").collect()
     assert len(got) == 1 and got[0].payload == '[{"id": "seg_0", "text": "say \\"hi\\"\\n"}, {"id": "seg_1", "text": ""}]'
     assert got[0].task_id == "json_subtitle_batch_t_part_1" and batching.LIMIT == 19_200

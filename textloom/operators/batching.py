@@ -47,7 +47,7 @@ def _walk(sizes: list[int], limit: int, held: int, empty: bool) -> tuple[list[in
 
 def _block_table(limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = [int(x) for x in pdf.sort_values("pos")["size"]]
+        sizes = [int(x) for x in pdf.sort_values(["pos", "size"])["size"]]
         # For each item at which the open batch may close: what comes before it, and what the rest does.
         tails: list[tuple[int, int]] = [(0, 0)] * (len(sizes) + 1)
         stops, total = [], 0
@@ -97,7 +97,7 @@ def _chain(limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def _number(limit: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(left: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        d = left.sort_values("pos")
+        d = left.sort_values(["pos", "size"])
         if not len(d):
             return pd.DataFrame(columns=["grp", "pos", "batch_no"])
         e = entry.iloc[0]
@@ -110,8 +110,8 @@ def _number(limit: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
 def greedy_batches(items: DataFrame, group: str, pos: str, size: str, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """``grp, pos, batch_no``: the batch of each item, from 1, in order of the integer column ``pos``.
 
-    An item over the limit is a batch of its own. Items with a null group or position are left out; of items with the
-    same position the order is theirs in the table's own order of sizes. An empty table gives no row.
+    An item over the limit is a batch of its own. Items with a null group or position are left out; items with the same
+    position are taken from the smallest on. An empty table gives no row.
     """
     own = items.where(F.col(group).isNotNull() & F.col(pos).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.col(pos).cast("long").alias("pos"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
     own = cut_lineage(own.withColumn("block", F.floor(F.col("pos") / block)))
@@ -122,7 +122,7 @@ def greedy_batches(items: DataFrame, group: str, pos: str, size: str, limit: int
 
 def _object(identifier: Column, text: Column, key: str = "text") -> Column:
     """One object of a payload, spaced as in the payloads of stored tasks."""
-    quoted = lambda x: F.expr("1") if x is None else F.regexp_extract(F.to_json(F.struct(F.coalesce(x, F.lit("")).alias("v"))), r'^\{"v":(.*)\}$', 1)
+    quoted = lambda x: F.regexp_extract(F.to_json(F.struct(F.coalesce(x, F.lit("")).alias("v"))), r'^\{"v":(.*)\}$', 1)
     return F.concat(F.lit('{"id": '), quoted(identifier), F.lit(f', "{key}": '), quoted(text), F.lit("}"))
 
 
@@ -130,9 +130,10 @@ def json_tasks(rows: DataFrame, base: str, pos: str, identifier: str, text: str,
     """``task_id, task_type, base_id, part, n_items, tokens, payload``: the rows of each ``base`` as JSON tasks, in order.
 
     The id is ``type_base_part_n`` and the payload ``[{"id": ..., "text": ...}]``. A batch is bounded by the limit, and so
-    is what one task of Spark holds of it.
+    is what one task of Spark holds of it. Rows with the same base and position are one: the least by id and text.
     """
-    sized = rows.where(F.col(base).isNotNull() & F.col(pos).isNotNull()).select(F.col(base).cast("string").alias("grp"), F.col(pos).cast("long").alias("pos"), F.col(identifier).alias("i"), F.col(text).alias("t"), item_tokens(F.col(identifier), F.col(text)).alias("size"))
+    own = rows.where(F.col(base).isNotNull() & F.col(pos).isNotNull()).groupBy(F.col(base).cast("string").alias("grp"), F.col(pos).cast("long").alias("pos"))
+    sized = own.agg(F.min(F.struct(F.col(identifier).alias("i"), F.col(text).alias("t"))).alias("x")).select("grp", "pos", "x.i", "x.t", item_tokens(F.col("x.i"), F.col("x.t")).alias("size"))
     batched = sized.join(greedy_batches(sized, "grp", "pos", "size", limit), ["grp", "pos"])
     items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", _object(F.col("i"), F.col("t"), key).alias("o")))), lambda x: x["o"]), ", ")
     return batched.groupBy("grp", "batch_no").agg(F.count(F.lit(1)).alias("n_items"), F.sum("size").alias("tokens"), F.concat(F.lit("["), items, F.lit("]")).alias("payload")).select(
