@@ -174,17 +174,24 @@ class LeakFinder:
         """The keys of the items that ``text`` leaks, with the units covered."""
         parts = blocks(text)
         found: dict[int, int] = {}
+        # The place after the last seed of each item, in both texts: a seed that goes on there reaches no further.
+        last: dict[int, tuple[int, int]] = {}
         if self.words and parts:
             s = word_string(" ".join(parts), self.ascii_only)
             doc: list[str] | None = None
+            d = counted = 0
             for at, item, p in self.words.find(s):
                 doc = doc or s.split()
-                found[item] = max(found.get(item, 0), covered(doc, self.units[item], s.count(" ", 0, at + 1) - 1, p, SEED_WORDS, MIN_WORDS))
+                d, counted = d + s.count(" ", counted, at), at
+                if last.get(item) != (d, p):
+                    found[item] = max(found.get(item, 0), covered(doc, self.units[item], d, p, SEED_WORDS, MIN_WORDS))
+                last[item] = (d + 1, p + 1)
         if self.chars and parts and _CJK.search(text):
             s = char_string("".join(parts))
             for at, item, p in self.chars.find(s):
-                if found.get(item, 0) < len(self.units[item]):
+                if last.get(item) != (at, p):
                     found[item] = max(found.get(item, 0), covered(s, self.units[item], at, p, SEED_CHARS, MIN_CHARS))
+                last[item] = (at + 1, p + 1)
         return {self.keys[n]: size for n, size in found.items() if size}
 
 
