@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.arrays import let
+
 MAX_NAME = 100
 
 
@@ -14,11 +16,14 @@ def sanitize_filename(name: Column) -> Column:
     A longer name is cut at its last underscore within the limit. Null and empty become ``untitled``, a name of which
     nothing is left ``untitled_video``.
     """
-    safe = F.regexp_replace(F.regexp_replace(name, r"[^\-_.() A-Za-z0-9]", "_"), "__+", "_")
-    safe = F.regexp_replace(safe, "^[_ ]+|[_ ]+$", "")
-    cut = F.regexp_replace(F.substring(safe, 1, MAX_NAME), "_[^_]*$", "")
-    short = F.when(F.length(safe) > MAX_NAME, F.when(cut == "", F.substring(name, 1, MAX_NAME // 2)).otherwise(cut)).otherwise(safe)
-    return F.when(F.coalesce(name, F.lit("")) == "", F.lit("untitled")).when(short == "", F.lit("untitled_video")).otherwise(short)
+    runs = F.regexp_replace(F.regexp_replace(name, r"[^\-_.() A-Za-z0-9]", "_"), "__+", "_")
+
+    def cut(safe: Column) -> Column:
+        head = F.regexp_replace(F.substring(safe, 1, MAX_NAME), "_[^_]*$", "")
+        return F.when(F.length(safe) > MAX_NAME, let(head, lambda h: F.when(h == "", F.substring(name, 1, MAX_NAME // 2)).otherwise(h))).otherwise(safe)
+
+    short = let(let(F.regexp_replace(runs, "^[_ ]+|[_ ]+$", ""), cut), lambda x: F.when(x == "", F.lit("untitled_video")).otherwise(x))
+    return F.when(F.coalesce(name, F.lit("")) == "", F.lit("untitled")).otherwise(short)
 
 
 def video_id(url: Column) -> Column:

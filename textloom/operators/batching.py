@@ -9,12 +9,11 @@ block), and every block then numbers its items knowing what was open before it.
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.grouped import Columns, map_groups
 from textloom.tables import cut_lineage
 
 #: Estimated tokens of a task: what a reply may have, by the growth in translation, with a margin.
@@ -45,15 +44,14 @@ def _walk(sizes: list[int], limit: int, held: int, empty: bool) -> tuple[list[in
     return out, held, empty
 
 
-def _block_table(limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = [int(x) for x in pdf.sort_values(["pos", "size"])["size"]]
-        # For each item at which the open batch may close: what comes before it, and what the rest does.
-        tails: list[tuple[int, int]] = [(0, 0)] * (len(sizes) + 1)
-        stops, total = [], 0
+def _block_table(limit: int) -> Callable[[tuple, Columns], list[tuple]]:
+    def run(key: tuple, rows: Columns) -> list[tuple]:
+        sizes = rows["size"]
         prefix = [0]
         for s in sizes:
             prefix.append(prefix[-1] + s)
+        # For each item, as the first of a batch: the first item of the next, and what is open at the end of the block.
+        tails: list[tuple[int, int]] = [(0, 0)] * (len(sizes) + 1)
         nxt, j = [0] * len(sizes), 0
         for i in range(len(sizes)):
             j = max(j, i + 1)
@@ -62,47 +60,42 @@ def _block_table(limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             nxt[i] = j
         for i in range(len(sizes) - 1, -1, -1):
             tails[i] = (prefix[-1] - prefix[i], 0) if nxt[i] >= len(sizes) else (tails[nxt[i]][0], tails[nxt[i]][1] + 1)
+        # Where a batch open at the block's start may close, and what follows then.
+        reach, held, closed = [], [], []
         for i, s in enumerate(sizes):
             if i and prefix[i] > limit:
                 break
-            stops.append((prefix[i], prefix[i] + s, tails[i][0], tails[i][1] + 1))
-            total = i + 1
-        every = prefix[-1] if total == len(sizes) else -1
-        return pd.DataFrame(
-            [(pdf["grp"].iloc[0], int(pdf["block"].iloc[0]), [x[1] for x in stops], [x[2] for x in stops], [x[3] for x in stops], every, tails[0][0], tails[0][1])],
-            columns=["grp", "block", "reach", "held", "closed", "every", "held0", "closed0"],
-        )
+            reach.append(prefix[i] + s)
+            held.append(tails[i][0])
+            closed.append(tails[i][1] + 1)
+        return [(*key, reach, held, closed, prefix[-1] if len(reach) == len(sizes) else -1, *tails[0])]
 
     return run
 
 
-def _chain(limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, empty, number, rows = 0, True, 0, []
-        for r in pdf.sort_values("block").itertuples():
-            rows.append((r.grp, r.block, held, empty, number))
+def _chain(limit: int) -> Callable[[tuple, Columns], list[tuple]]:
+    def run(key: tuple, rows: Columns) -> list[tuple]:
+        held, empty, number, out = 0, True, 0, []
+        for block, reach, helds, closed, every, held0, closed0 in zip(*[rows[c] for c in ("block", "reach", "held", "closed", "every", "held0", "closed0")], strict=True):
+            out.append((*key, block, held, empty, number))
             if empty:
-                held, number, empty = r.held0, number + r.closed0, False
+                held, number, empty = held0, number + closed0, False
                 continue
-            k = next((i for i, x in enumerate(r.reach) if held + x > limit), None)
+            k = next((i for i, x in enumerate(reach) if held + x > limit), None)
             if k is None:
-                held += r.every
+                held += every
             else:
-                number += r.closed[k]
-                held = r.held[k]
-        return pd.DataFrame(rows, columns=["grp", "block", "held", "empty", "number"])
+                number += int(closed[k])
+                held = int(helds[k])
+        return out
 
     return run
 
 
-def _number(limit: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(left: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        d = left.sort_values(["pos", "size"])
-        if not len(d):
-            return pd.DataFrame(columns=["grp", "pos", "batch_no"])
-        e = entry.iloc[0]
-        closed, _, _ = _walk([int(x) for x in d["size"]], limit, int(e["held"]), bool(e["empty"]))
-        return pd.DataFrame({"grp": d["grp"], "pos": d["pos"], "batch_no": [int(e["number"]) + c + 1 for c in closed]})
+def _number(limit: int) -> Callable[[tuple, Columns], list[tuple]]:
+    def run(key: tuple, rows: Columns) -> list[tuple]:
+        closed, _, _ = _walk(rows["size"], limit, rows["held"][0], rows["empty"][0])
+        return [(key[0], p, rows["number"][0] + c + 1) for p, c in zip(rows["pos"], closed, strict=True)]
 
     return run
 
@@ -115,9 +108,9 @@ def greedy_batches(items: DataFrame, group: str, pos: str, size: str, limit: int
     """
     own = items.where(F.col(group).isNotNull() & F.col(pos).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.col(pos).cast("long").alias("pos"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
     own = cut_lineage(own.withColumn("block", F.floor(F.col("pos") / block)))
-    tables = own.groupBy("grp", "block").applyInPandas(_block_table(limit), "grp string, block long, reach array<long>, held array<long>, closed array<long>, every long, held0 long, closed0 long")
-    entries = tables.groupBy("grp").applyInPandas(_chain(limit), "grp string, block long, held long, empty boolean, number long")
-    return own.groupBy("grp", "block").cogroup(entries.groupBy("grp", "block")).applyInPandas(_number(limit), "grp string, pos long, batch_no long")
+    tables = map_groups(own, ["grp", "block"], ["pos", "size"], _block_table(limit), "grp string, block long, reach array<long>, held array<long>, closed array<long>, every long, held0 long, closed0 long")
+    entries = map_groups(tables, ["grp"], ["block"], _chain(limit), "grp string, block long, held long, empty boolean, number long")
+    return map_groups(own.join(entries, ["grp", "block"]), ["grp", "block"], ["pos", "size"], _number(limit), "grp string, pos long, batch_no long")
 
 
 def _object(identifier: Column, text: Column, key: str = "text") -> Column:

@@ -63,11 +63,12 @@ def best_split(text: Column, limit: int = MAX_CHARS) -> Column:
     return point.otherwise(F.lit(limit)).cast("int")
 
 
-def best_split_text(text: str, limit: int = MAX_CHARS) -> int:
+def best_split_text(text: str, limit: int = MAX_CHARS, begin: int = 0) -> int:
+    """The same for a string, counted from ``begin``."""
     for d in (*DELIMITERS, " "):
-        p = text.rfind(d, 0, limit)
+        p = text.rfind(d, begin, begin + limit)
         if p >= 0:
-            return p + len(d)
+            return p + len(d) - begin
     return limit
 
 
@@ -95,16 +96,6 @@ def segment_offsets(rows: DataFrame, track: str, pos: str, text: str, start: str
     return joined.select("track", "pos", (F.col("base") + F.col("before")).cast("long").alias("offset"), F.length("text").alias("n"), begin.alias("start_s"), (begin + F.coalesce(F.col("d"), F.coalesce(F.col("e"), begin) - begin)).alias("end_s"), "text")
 
 
-class _Buffer:
-    """A text and the time of each of its characters."""
-
-    def __init__(self) -> None:
-        self.text, self.times = "", []
-
-    def seconds(self) -> float:
-        return self.times[-1] - self.times[0] if self.times else 0.0
-
-
 def merge_run(rows: list[tuple[str, float, float]], max_chars: int = MAX_CHARS, max_seconds: float = MAX_SECONDS, compat: bool = False) -> list[tuple[str, float, float]]:
     """``(text, start, end)`` of the sentences of ``rows`` (text, start, end), in order.
 
@@ -128,40 +119,51 @@ def merge_run(rows: list[tuple[str, float, float]], max_chars: int = MAX_CHARS,
         if shown := restore(text):
             out.append((shown, own[0] if own else 0.0, own[-1] if own else 0.0))
 
-    buf, at = _Buffer(), 0
+    at = 0
     parts: list[tuple[str, int]] = []
     for m in _SPLIT.finditer(shielded):
         parts += [(shielded[at : m.start(1)], at), (m[1], m.start(1))]
         at = m.end()
     parts.append((shielded[at:], at))
-    taken = 0
+    held, own, taken = "", [], 0
     for part, place in parts:
         if not part:
             continue
         begin = taken if compat else place
         taken += len(part)
-        buf.text += part
-        buf.times += times[begin : begin + len(part)]
-        while len(buf.text) > max_chars or buf.seconds() > max_seconds:
-            k = best_split_text(buf.text, max_chars)
-            if k == 0 or k >= len(buf.text):
+        held += part
+        own += times[begin : begin + len(part)]
+        # What has been cut off is passed over, not copied: a run may be one long part.
+        c = t = 0
+        while len(held) - c > max_chars or len(own) > t and own[-1] - own[t] > max_seconds:
+            k = best_split_text(held, max_chars, c)
+            if k == 0 or k >= len(held) - c:
                 break
-            emit(buf.text[:k].rstrip(), buf.times[: len(buf.text[:k].rstrip())])
-            rest = buf.text[k:].lstrip()
-            cut = len(buf.text[:k].rstrip()) if compat else len(buf.text) - len(rest)
-            buf.text, buf.times = rest, buf.times[cut:]
+            piece = held[c : c + k].rstrip()
+            emit(piece, own[t : t + len(piece)])
+            start, c = c, c + k
+            while c < len(held) and held[c].isspace():
+                c += 1
+            t += len(piece) if compat else c - start
+        held, own = held[c:], own[t:]
         if part.strip() and part.strip()[-1] in ".?!":
-            emit(buf.text, buf.times)
-            buf = _Buffer()
-    emit(buf.text, buf.times)
+            emit(held, own)
+            held, own = "", []
+    emit(held, own)
     return out
 
 
 def _times_of_protected(raw: str, shielded: str, times: list[float]) -> list[float]:
     """The time of each character of the protected text: a placeholder has the time of what it stands for."""
+    if shielded == raw:
+        return times
     out: list[float] = []
     i = j = 0
     while j < len(shielded):
+        if shielded[j] == raw[i : i + 1] and shielded[j] not in "<.。":
+            out.append(times[i])
+            i, j = i + 1, j + 1
+            continue
         for mark in (DECIMAL, PERIOD, SPECIAL):
             if shielded.startswith(mark, j):
                 out += [times[min(i, len(times) - 1)]] * len(mark)
