@@ -137,3 +137,12 @@ def test_screen_parts_tile_their_segment(spark):
 def test_walk_is_the_fold(sizes, limit):
     closed, _, _ = batching._walk(sizes, limit, 0, True)
     assert [c + 1 for c in closed] == fold(sizes, limit)
+
+
+def test_a_long_run_without_marks_is_linear():
+    import time
+
+    began = time.time()
+    out = merge.merge_run([("word " * 20 + "end", float(i), i + 0.9) for i in range(6000)])
+    assert len(out) > 2000 and time.time() - began < 20
+    assert sum(len(t.replace(" ", "")) for t, _, _ in out) == 6000 * 83
