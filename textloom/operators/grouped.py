@@ -11,6 +11,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FRAME = 20_000
 
@@ -51,4 +52,6 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], function: Calla
             out += function(key, held)
         yield pd.DataFrame(out, columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    # By a hash of the keys rather than the keys: a repartition by what a join below is partitioned by is planned away, and
+    # adaptive execution may then give that join another partitioning, since nothing above it says what it needs.
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -198,7 +198,7 @@ def merge_sentences(rows: DataFrame, track: str, pos: str, text: str, start: str
     runs = local.join(base, ["track", "block"]).withColumn("run", (F.col("before") + F.col("base")).cast("long"))
     names = ["track", "run", "no", "text", "start_s", "end_s", "duration_s"]
     # Runs are short: a hash of track and run deals them out, and each task merges run after run.
-    dealt = runs.select("track", "run", "pos", "text", "start_s", "end_s").repartition("track", "run").sortWithinPartitions("track", "run", "pos")
+    dealt = runs.select("track", "run", "pos", "text", "start_s", "end_s").repartition(F.xxhash64("track", "run")).sortWithinPartitions("track", "run", "pos")
 
     def run_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, own = None, []
