@@ -29,13 +29,14 @@ def test_groups_span_batches(spark):
 
 def test_groups_stay_whole_above_a_join(spark):
     """A join by the same keys, made a broadcast join at run time, must not part a group."""
-    big = spark.range(20_000).selectExpr("id % 37 AS g", "id AS n").mapInPandas(lambda it: it, "g long, n long")
-    small = spark.range(37).selectExpr("id AS g", "id * 2 AS m").mapInPandas(lambda it: it, "g long, m long")
-    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    big = spark.range(20_000).repartition(5).selectExpr("id % 37 AS g", "id AS n")
+    small = spark.range(37).selectExpr("id AS g", "id * 2 AS m")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
-        got = rows(map_groups(big.groupBy("g", "n").count().join(small, "g"), ["g"], ["n"], lambda k, c: [(k[0], len(c["n"]))], "g long, k long"))
+        got = rows(map_groups(big.join(small, "g"), ["g"], ["n"], lambda k, c: [(k[0], len(c["n"]))], "g long, k long"))
     finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
+        for k in conf:
+            spark.conf.unset(k)
     assert len(got) == 37 and sum(k for _, k in got) == 20_000
