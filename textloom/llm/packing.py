@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.pieces import CHARS_PER_UNIT, split_text
+from textloom.operators.grouped import Columns, map_groups
 from textloom.tables import cut_lineage
 
 CAPACITY = 2000
@@ -46,20 +47,12 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(capacity: int, last: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin", kind="stable").reset_index(drop=True)
-        bins = best_fit([int(x) for x in pdf["size"]], capacity)
-        made = []
-        for members in bins:
-            items = [x for i in members for x in pdf["items"].iloc[i]]
-            made.append((int(sum(pdf["size"].iloc[i] for i in members)), int(sum(pdf["carried"].iloc[i] for i in members)), pdf["bin"].iloc[min(members)], items))
+def _pack(capacity: int, last: bool) -> Callable[[tuple, Columns], list[tuple]]:
+    def run(key: tuple, rows: Columns) -> list[tuple]:
+        sizes, carried, names, items = rows["size"], rows["carried"], rows["bin"], rows["items"]
+        made = [(sum(sizes[i] for i in b), sum(carried[i] for i in b), names[min(b)], [x for i in b for x in items[i]]) for b in best_fit(sizes, capacity)]
         emptiest = set() if last else {k for _, k in heapq.nsmallest(HAND_ON, [(m[0], k) for k, m in enumerate(made)])}
-        rows = []
-        for k, (size, carried, name, items) in enumerate(made):
-            on = k in emptiest and size < FULL * capacity
-            rows.append((pdf["grp"].iloc[0], int(pdf["part"].iloc[0]) if on else -1, name, size, carried, items))
-        return pd.DataFrame(rows, columns=["grp", "part", "bin", "size", "carried", "items"])
+        return [(key[0], key[1] if k in emptiest and m[0] < FULL * capacity else -1, m[2], m[0], m[1], m[3]) for k, m in enumerate(made)]
 
     return run
 
@@ -108,7 +101,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part: int = PART, seed: int
     done: DataFrame | None = None
     while most:
         last = most == 1
-        packed = dealt.groupBy("grp", "part").applyInPandas(_pack(capacity, last), _BIN)
+        packed = map_groups(dealt, ["grp", "part"], ["bin"], _pack(capacity, last), _BIN)
         if not last:
             packed = cut_lineage(packed)
         final = packed.where("part < 0").drop("part")

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import boundaries as B
+from textloom.operators.grouped import Columns, map_groups
 from textloom.tables import cut_lineage
 
 #: Positions of a track in a block, and blocks in a block of blocks.
 BLOCK, SUPER = 512, 512
 
 _EVENTS = "track string, pos long, row_key long, text_hash long, n_chars int, events binary, fn binary, cls int, said int"
-_LINK = "track string, block long, fn binary, cls int, said int, n long"
 
 
 def _row_events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,11 +37,6 @@ def _row_events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in _EVENTS.split(", ")])
 
 
-def _first_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row for each position, in order: copies of a row stored twice are one chunk."""
-    return pdf.sort_values(["pos", "row_key"], kind="stable").drop_duplicates("pos")
-
-
 def _total(fns: list[bytes], classes: list[int], saids: list[int]) -> tuple[bytes, int, int]:
     fn, cls, said = B.IDENTITY, B.PASS, 2
     for f in fns:
@@ -61,61 +56,55 @@ def _before(c: int, s: int, cls: int, said: int) -> tuple[int, int]:
     return c, said
 
 
-def _compose_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    d = _first_rows(pdf)
-    fn, cls, said = _total(list(d["fn"]), list(d["cls"]), list(d["said"]))
-    return pd.DataFrame([(pdf["track"].iloc[0], int(pdf["block"].iloc[0]), fn, cls, said, len(d))], columns=["track", "block", "fn", "cls", "said", "n"])
-
-
-def _compose_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    d = pdf.sort_values("block")
-    fn, cls, said = _total(list(d["fn"]), list(d["cls"]), list(d["said"]))
-    return pd.DataFrame([(pdf["track"].iloc[0], int(pdf["over"].iloc[0]), fn, cls, said, int(d["n"].sum()))], columns=["track", "block", "fn", "cls", "said", "n"])
+def _compose(key: tuple, rows: Columns) -> list[tuple]:
+    """The function and right context of a run of chunks, for the run's number in the level above."""
+    return [(*key, *_total(rows["fn"], rows["cls"], rows["said"]))]
 
 
-_ENTRY = "track string, block long, state int, cls int, said int"
+_ENTRY = "track string, at long, state int, cls int, said int"
 
 
-def _spread(pdf: pd.DataFrame, state: int, cls: int, said: int) -> pd.DataFrame:
+def _entries(rows: Columns, numbers: list[int], state: int, cls: int, said: int) -> list[tuple[int, int, int, int]]:
     """The entry state and right context of each chunk of a run, given those of the run."""
-    d = pdf.sort_values("block")
     states: list[int] = []
-    for f in d["fn"]:
+    for f in rows["fn"]:
         states.append(state)
         state = f[state]
     after: list[tuple[int, int]] = []
-    for c, s in zip(reversed(list(d["cls"])), reversed(list(d["said"])), strict=True):
+    for c, s in zip(reversed(rows["cls"]), reversed(rows["said"]), strict=True):
         after.append((cls, said))
         cls, said = _before(c, s, cls, said)
     after.reverse()
-    return pd.DataFrame({"track": d["track"], "block": d["block"], "state": states, "cls": [a for a, _ in after], "said": [b for _, b in after]})
+    return [(n, x, *a) for n, x, a in zip(numbers, states, after, strict=True)]
 
 
-def _spread_in(left: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-    if not len(left):
-        return pd.DataFrame(columns=["track", "block", "state", "cls", "said"])
-    e = entry.iloc[0]
-    return _spread(left, int(e["state"]), int(e["cls"]), int(e["said"]))
+def _top(key: tuple, rows: Columns) -> list[tuple]:
+    return [(key[0], *e) for e in _entries(rows, rows["over"], 0, B.E, 0)]
+
+
+def _down(key: tuple, rows: Columns) -> list[tuple]:
+    return [(key[0], *e) for e in _entries(rows, rows["block"], rows["state"][0], rows["e_cls"][0], rows["e_said"][0])]
 
 
 _SENT = "track string, pos long, text_hash long, ends array<int>"
 
 
-def _emit(left: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-    names = ["track", "pos", "text_hash", "ends"]
-    if not len(left):
-        return pd.DataFrame(columns=names)
-    left = left.sort_values(["pos", "row_key"], kind="stable").reset_index(drop=True)
-    first = left.drop_duplicates("pos")
-    runs = _spread(pd.DataFrame({"track": first["track"], "block": first["pos"], "fn": first["fn"], "cls": first["cls"], "said": first["said"]}), *(int(entry.iloc[0][c]) for c in ("state", "cls", "said")))
-    at = dict(zip(runs["block"], zip(runs["state"], runs["cls"], runs["said"], strict=True), strict=True))
-    rows = []
-    for track, pos, h, events in zip(left["track"], left["pos"], left["text_hash"], left["events"], strict=True):
-        state, cls, said = at[pos]
-        ends, _ = B.replay(B.unpack_events(events), state, cls, said)
+def _emit(key: tuple, rows: Columns) -> list[tuple]:
+    # Copies of a row that is stored twice are one chunk: the first stands for them.
+    first = [i for i, p in enumerate(rows["pos"]) if i == 0 or p != rows["pos"][i - 1]]
+    chunks = {c: [rows[c][i] for i in first] for c in ("fn", "cls", "said")}
+    at = {n: x for n, *x in _entries(chunks, [rows["pos"][i] for i in first], rows["state"][0], rows["e_cls"][0], rows["e_said"][0])}
+    out = []
+    for pos, h, events in zip(rows["pos"], rows["text_hash"], rows["events"], strict=True):
+        ends, _ = B.replay(B.unpack_events(events), *at[pos])
         if ends:
-            rows.append((track, pos, h, sorted(set(ends))))
-    return pd.DataFrame(rows, columns=names)
+            out.append((key[0], pos, h, sorted(set(ends))))
+    return out
+
+
+def _compose_rows(key: tuple, rows: Columns) -> list[tuple]:
+    first = [i for i, p in enumerate(rows["pos"]) if i == 0 or p != rows["pos"][i - 1]]
+    return _compose(key, {c: [rows[c][i] for i in first] for c in ("fn", "cls", "said")})
 
 
 def run_on_ends(rows: DataFrame, track: str, pos: str, key: str, text: str) -> DataFrame:
@@ -146,11 +135,13 @@ def run_on_ends(rows: DataFrame, track: str, pos: str, key: str, text: str) -> D
         .agg(F.min("row_key").alias("row_key"), F.first("events").alias("events"), F.first("fn").alias("fn"), F.first("cls").alias("cls"), F.first("said").alias("said"))
         .withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long"))
     )
-    blocks = cut_lineage(chunks.groupBy("track", "block").applyInPandas(_compose_rows, _LINK).withColumn("over", F.floor(F.col("block") / SUPER).cast("long")))
-    supers = blocks.groupBy("track", "over").applyInPandas(_compose_blocks, _LINK)
-    top = supers.groupBy("track").applyInPandas(lambda p: _spread(p, 0, B.E, 0), _ENTRY)
-    entries = blocks.groupBy("track", "over").cogroup(top.withColumnRenamed("block", "over").groupBy("track", "over")).applyInPandas(_spread_in, _ENTRY)
-    ends = chunks.groupBy("track", "block").cogroup(entries.groupBy("track", "block")).applyInPandas(_emit, _SENT)
+    link = "fn binary, cls int, said int"
+    blocks = cut_lineage(map_groups(chunks, ["track", "block"], ["pos", "row_key"], _compose_rows, f"track string, block long, {link}").withColumn("over", F.floor(F.col("block") / SUPER).cast("long")))
+    supers = map_groups(blocks, ["track", "over"], ["block"], _compose, f"track string, over long, {link}")
+    entry = [F.col("cls").alias("e_cls"), F.col("said").alias("e_said"), "state"]
+    top = map_groups(supers, ["track"], ["over"], _top, _ENTRY).select("track", F.col("at").alias("over"), *entry)
+    down = map_groups(blocks.join(top, ["track", "over"]), ["track", "over"], ["block"], _down, _ENTRY).select("track", F.col("at").alias("block"), *entry)
+    ends = map_groups(chunks.join(down, ["track", "block"]), ["track", "block"], ["pos", "row_key"], _emit, _SENT)
     found = ends.select("track", "pos", "text_hash", F.explode("ends").alias("end_char"))
     return found.join(copies.select("track", "pos", "text_hash", "row_key"), ["track", "pos", "text_hash"]).select("track", "pos", "row_key", F.col("end_char").cast("long").alias("end_char"))
 
