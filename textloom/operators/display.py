@@ -56,13 +56,16 @@ def _sum_lengths(parts: Column) -> Column:
 def allocate(start: Column, end: Column, parts: Column) -> Column:
     """``{start, end, text}`` of each of ``parts``, in proportion to their lengths; the last ends at ``end``."""
 
-    def shares(ends: Column) -> Column:
-        total = F.greatest(F.element_at(ends, -1), F.lit(1))
-        place = lambda i: start + (end - start) * F.element_at(ends, i) / total
-        return F.transform(parts, lambda p, i: F.struct(F.when(i == 0, start).otherwise(place(i)).alias("start"), F.when(i == F.size(parts) - 1, end).otherwise(place(i + 1)).alias("end"), p.alias("text")))
+    def timed(ps: Column) -> Column:
+        def shares(ends: Column) -> Column:
+            total = F.greatest(F.element_at(ends, -1), F.lit(1))
+            place = lambda i: start + (end - start) * F.element_at(ends, i) / total
+            return F.transform(ps, lambda p, i: F.struct(F.when(i == 0, start).otherwise(place(i)).alias("start"), F.when(i == F.size(ps) - 1, end).otherwise(place(i + 1)).alias("end"), p.alias("text")))
 
-    # The number of characters up to each part's end.
-    return let(F.transform(parts, lambda p, i: _sum_lengths(F.slice(parts, F.lit(1), i + 1))), shares)
+        # The number of characters up to each part's end.
+        return let(F.transform(ps, lambda p, i: _sum_lengths(F.slice(ps, F.lit(1), i + 1))), shares)
+
+    return let(parts, timed)
 
 
 def _split_timed(timed: Column, parts_of: Callable[[Column], Column], least: int = 1) -> Column:
