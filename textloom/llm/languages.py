@@ -228,7 +228,7 @@ _SCHEMA = "doc_id long, label string, segment_no long, segments int, lang string
 def language_segments(df: DataFrame, key: str, text: str, label: str, model: np.ndarray) -> DataFrame:
     """One row for each stretch of each document in one language, as :data:`_SCHEMA`, numbered from 1 in order.
 
-    ``label`` is kept as it is. Null, empty and wordless texts have no stretch. Ties go to the language that
+    ``label`` is kept as it is. Null, empty and wordless texts have no stretch, nor have rows without a key. Ties go to the language that
     :data:`LANGUAGES` names first. Whole texts are read; a document is one row of one task.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -243,7 +243,7 @@ def language_segments(df: DataFrame, key: str, text: str, label: str, model: np.
                 rows = [(k, lab, i, len(own), lang, conf, n) for k, lab, own in zip(part["key"], part["label"], stretches(per_doc, scores), strict=True) for i, (lang, conf, n) in enumerate(own, 1)]
                 yield pd.DataFrame(rows, columns=names)
 
-    return df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).mapInPandas(run, _SCHEMA)
+    return df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).mapInPandas(run, _SCHEMA)
 
 
 def fit_and_segment(df: DataFrame, key: str, text: str, label: str) -> DataFrame:

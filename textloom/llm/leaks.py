@@ -171,7 +171,7 @@ class LeakFinder:
         self.words, self.chars = Searcher.build(words, 8), Searcher.build(chars, 3)
 
     def search(self, text: str) -> dict[int, int]:
-        """The keys of the items that ``text`` leaks, with the units covered."""
+        """The keys of the items that ``text`` leaks, with the size of the first passage of each."""
         parts = blocks(text)
         found: dict[int, int] = {}
         # The place after the last seed of each item, in both texts: a seed that goes on there reaches no further.
@@ -183,14 +183,14 @@ class LeakFinder:
             for at, item, p in self.words.find(s):
                 doc = doc or s.split()
                 d, counted = d + s.count(" ", counted, at), at
-                if last.get(item) != (d, p):
-                    found[item] = max(found.get(item, 0), covered(doc, self.units[item], d, p, SEED_WORDS, MIN_WORDS))
+                if not found.get(item) and last.get(item) != (d, p):
+                    found[item] = covered(doc, self.units[item], d, p, SEED_WORDS, MIN_WORDS)
                 last[item] = (d + 1, p + 1)
         if self.chars and parts and _CJK.search(text):
             s = char_string("".join(parts))
             for at, item, p in self.chars.find(s):
-                if last.get(item) != (at, p):
-                    found[item] = max(found.get(item, 0), covered(s, self.units[item], at, p, SEED_CHARS, MIN_CHARS))
+                if not found.get(item) and last.get(item) != (at, p):
+                    found[item] = covered(s, self.units[item], at, p, SEED_CHARS, MIN_CHARS)
                 last[item] = (at + 1, p + 1)
         return {self.keys[n]: size for n, size in found.items() if size}
 
@@ -206,14 +206,15 @@ def _is_cjk(text: str) -> bool:
 
 
 def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
-    """``doc_key, item_key, units``: each document with each item of which it holds a passage, and the passage's size.
+    """``doc_key, item_key, units``: each document with each item of which it holds a passage, and the size of
+    the first.
 
     Sizes are words of the item, or characters in scripts without spaces. Null, empty and wordless texts on either side
-    match nothing; an item shorter than a passage has no passage; items stored twice are each reported. ``items`` is the
+    match nothing, nor do rows without a key; an item shorter than a passage has no passage; items stored twice are each reported. ``items`` is the
     query set: it is read to the driver and split into blocks of at most :data:`BLOCK_CHARS` characters (one item at
     least), each searched for in all documents.
     """
-    rows = [(int(r[0]), r[1]) for r in items.where(F.col(item_text).isNotNull()).select(F.col(item_key).cast("long"), F.col(item_text)).toLocalIterator()]
+    rows = [(int(r[0]), r[1]) for r in items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).cast("long"), F.col(item_text)).toLocalIterator()]
     groups: list[list[tuple[int, str]]] = [[]]
     size = 0
     for r in rows:
@@ -231,4 +232,4 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
             out = [(k, item, size) for k, t in zip(batch["doc_key"], batch["text"], strict=True) for f in finders for item, size in f.search(t).items()]
             yield pd.DataFrame(out, columns=["doc_key", "item_key", "units"])
 
-    return docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_key"), F.col(text).alias("text")).mapInPandas(run, "doc_key long, item_key long, units int")
+    return docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_key"), F.col(text).alias("text")).mapInPandas(run, "doc_key long, item_key long, units int")

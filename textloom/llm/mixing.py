@@ -51,7 +51,8 @@ def source_name(source: Column) -> Column:
 
 
 def token_counts(df: DataFrame, key: str, text: str, source: str, folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
-    """``doc_key, source, tokens``: the size of each document; a null or empty text has 0 tokens."""
+    """``doc_key, source, tokens``: the size of each document; a null or empty text has 0 tokens, a row without a
+    key is left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(folder, name)
@@ -59,7 +60,7 @@ def token_counts(df: DataFrame, key: str, text: str, source: str, folder: str =
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in b["t"]]
             yield pd.DataFrame({"doc_key": b["k"], "source": b["s"], "tokens": sizes})
 
-    return df.select(F.col(key).cast("long").alias("k"), source_name(F.col(source)).alias("s"), F.col(text).alias("t")).mapInPandas(run, "doc_key long, source string, tokens long")
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), source_name(F.col(source)).alias("s"), F.col(text).alias("t")).mapInPandas(run, "doc_key long, source string, tokens long")
 
 
 def water_fill(targets: dict[str, float], held: dict[str, int], repeats: dict[str, float], total: float | None = None) -> dict[str, float]:

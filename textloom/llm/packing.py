@@ -61,10 +61,11 @@ def cut_to_capacity(df: DataFrame, key: str, group: str, text: str, carried: str
     """``grp, item_key, piece_no, size, carried``: the items of ``df``, those over the capacity cut at natural boundaries.
 
     Sizes are units of ``chars_per_unit`` characters, rounded down; a null text has size 0. ``carried`` (null: 0) is a
-    number that comes along, with the first piece of a cut item. A null group is a group of its own.
+    number that comes along, with the first piece of a cut item. A null group is a group of its own; rows without
+    a key are left out.
     """
     size = F.coalesce(F.floor(F.length(text) / F.lit(chars_per_unit)), F.lit(0)).cast("long")
-    base = df.select(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("grp"), F.col(key).cast("long").alias("item_key"), size.alias("size"), F.coalesce(F.col(carried).cast("long"), F.lit(0)).alias("carried"), F.col(text).alias("t"))
+    base = df.where(F.col(key).isNotNull()).select(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("grp"), F.col(key).cast("long").alias("item_key"), size.alias("size"), F.coalesce(F.col(carried).cast("long"), F.lit(0)).alias("carried"), F.col(text).alias("t"))
     whole = base.where(F.col("size") <= capacity).select("grp", "item_key", F.lit(1).alias("piece_no"), "size", "carried")
     most = (capacity + 1) * chars_per_unit - 1
 

@@ -224,9 +224,9 @@ def _figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def pair_figures(df: DataFrame, key: str, prompt: str, response: str, target: str) -> DataFrame:
-    """What is measured of each pair, as :data:`_FIGURES`; nulls count as empty texts."""
+    """What is measured of each pair, as :data:`_FIGURES`; nulls count as empty texts, rows without a key are left out."""
     lang = F.lower(F.regexp_extract(F.coalesce(F.col(target), F.lit("")), r"^\s*([A-Za-z]+)", 1))
-    return df.select(F.col(key).cast("long").alias("k"), F.col(prompt).alias("p"), F.col(response).alias("r"), lang.alias("t")).mapInPandas(_figures, _FIGURES)
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(prompt).alias("p"), F.col(response).alias("r"), lang.alias("t")).mapInPandas(_figures, _FIGURES)
 
 
 def broken_pairs(df: DataFrame, key: str, prompt: str, response: str, target: str) -> DataFrame:

@@ -130,7 +130,7 @@ def split_items(df: DataFrame, key: str, text: str, max_units: int = MAX_UNITS,
     """``item_key, piece_no, pieces, begin_char, new_char, end_char, piece``: the pieces of each item of more than ``max_units``.
 
     Pieces are numbered from 1 and have at most ``max_units`` each; ``piece`` is the text from ``begin_char`` to
-    ``end_char``, of which what lies before ``new_char`` is repeated. Items within the limit and null texts give no row.
+    ``end_char``, of which what lies before ``new_char`` is repeated. Items within the limit, null texts and rows without a key give no row.
     A text without any boundary is cut at the limit, never between a character and its marks. Items stored twice are each
     cut. Sizes are taken before any text reaches Python.
     """
@@ -146,5 +146,5 @@ def split_items(df: DataFrame, key: str, text: str, max_units: int = MAX_UNITS,
                         columns=["item_key", "piece_no", "pieces", "begin_char", "new_char", "end_char", "piece"],
                     )
 
-    big = df.where(units(F.col(text), chars_per_unit) > max_units).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    big = df.where((units(F.col(text), chars_per_unit) > max_units) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     return big.mapInPandas(run, "item_key long, piece_no int, pieces int, begin_char long, new_char long, end_char long, piece string")

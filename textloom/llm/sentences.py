@@ -112,9 +112,9 @@ def run_on_ends(rows: DataFrame, track: str, pos: str, key: str, text: str) -> D
 
     Rows with the same track and position are copies: one of them is read on, and each gets the ends of its text. A row
     in which no sentence ends, or whose text is null or empty, gives none; it doesn't interrupt the sentence around it.
-    A row whose track or position is null stands for itself.
+    A row whose track or position is null stands for itself; one without a key is left out.
     """
-    own = rows.select(
+    own = rows.where(F.col(key).isNotNull()).select(
         F.coalesce(F.col(track), F.concat(F.lit("\0"), F.col(key).cast("string"))).alias("track"),
         F.when(F.col(track).isNotNull(), F.col(pos)).cast("long").alias("pos0"),
         F.col(key).cast("long").alias("row_key"),
@@ -149,7 +149,8 @@ def run_on_ends(rows: DataFrame, track: str, pos: str, key: str, text: str) -> D
 def whole_text_units(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``row_key, sentence_no, end_char, sentence``: the sentences of texts that are complete in one row.
 
-    The last sentence ends where the text ends, even if cut off. Null, blank and wordless texts have none.
+    The last sentence ends where the text ends, even if cut off. Null, blank and wordless texts have none,
+    and so have rows without a key.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +163,7 @@ def whole_text_units(rows: DataFrame, key: str, text: str) -> DataFrame:
                     begin = e
             yield pd.DataFrame(out, columns=["row_key", "sentence_no", "end_char", "sentence"])
 
-    return rows.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("text")).mapInPandas(run, "row_key long, sentence_no int, end_char long, sentence string")
+    return rows.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("text")).mapInPandas(run, "row_key long, sentence_no int, end_char long, sentence string")
 
 
 def run_on_units(rows: DataFrame, track: str, pos: str, key: str, text: str) -> DataFrame:
@@ -171,7 +172,7 @@ def run_on_units(rows: DataFrame, track: str, pos: str, key: str, text: str) ->
     A row's text is cut at its ends; what a row leaves open goes on in the next. Sentences are numbered in blocks whose
     counts are summed first, so no task holds a whole track. The text after a track's last mark is its last sentence.
     """
-    base = rows.where(F.col(track).isNotNull() & F.col(pos).isNotNull() & F.col(text).isNotNull())
+    base = rows.where(F.col(track).isNotNull() & F.col(pos).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     one = base.groupBy(F.col(track).alias("track"), F.col(pos).cast("long").alias("pos")).agg(F.min_by(F.col(text), F.col(key)).alias("text"), F.min(F.col(key).cast("long")).alias("row_key"))
     ends = run_on_ends(base, track, pos, key, text).groupBy("row_key").agg(F.array_sort(F.collect_set("end_char")).alias("ends"))
     cut = one.join(ends, "row_key", "left").select("track", "pos", "text", F.coalesce("ends", F.array().cast("array<bigint>")).alias("ends"), F.floor(F.col("pos") / BLOCK).alias("block"))

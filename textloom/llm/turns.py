@@ -108,7 +108,7 @@ def _number(label: Column, cast: Column) -> Column:
 def _pieces(rows: DataFrame, cast: DataFrame, track: str, pos: str, key: str, text: str, start: str, duration: str) -> DataFrame:
     """``track, pos, i, speaker, switch, words, text, start, duration, block``: the rows cut at their labels."""
     one = rows.where(F.col(track).isNotNull() & F.col(pos).isNotNull()).groupBy(F.col(track).alias("track"), F.col(pos).cast("long").alias("pos"))
-    one = one.agg(F.min_by(F.struct(F.col(text).alias("text"), F.col(start).alias("start"), F.col(duration).alias("duration")), F.col(key)).alias("r")).select("track", "pos", "r.*")
+    one = one.agg(F.min_by(F.struct(F.col(text).alias("text"), F.col(start).alias("start"), F.col(duration).alias("duration")), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))).alias("r")).select("track", "pos", "r.*")
     with_cast = one.join(cast, "track")
     parts = with_cast.select("track", "pos", "cast", "start", "duration", F.posexplode(F.split(mark_labels(F.coalesce("text", F.lit("")), F.col("forms")), _L)).alias("i", "part"))
     label = F.when(F.col("part").contains(_R), F.substring_index("part", _R, 1))
@@ -156,7 +156,7 @@ def speaker_turns(rows: DataFrame, speakers: DataFrame, track: str = "track_id",
     Rows with the same track and position are one (the first key counts). A turn without spoken words is dropped, and
     turns of one speaker that then follow each other are one; what is spoken before any label, or after a bare change
     mark among more than two speakers, has a null speaker. Tracks without a cast, and rows without a track or position,
-    have no turns. Null times are passed over; a turn lasts to the latest end of its rows.
+    have no turns. Null times are passed over; a turn lasts to the latest end of its rows, and one without times lasts 0.
     """
     spoken = cut_lineage(_filled(_pieces(rows, casts(speakers, track, number, name, role), track, pos, key, text, start, duration)))
     ordered = Window.partitionBy("track", "block").orderBy("pos", "i")
