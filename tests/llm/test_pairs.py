@@ -44,5 +44,32 @@ def test_broken_pairs(spark):
     assert rows(broken_pairs(df.limit(0), "k", "p", "r", "t")) == []
 
 
+def test_truncated_is_the_same_at_every_size(spark):
+    """What stops in the middle is truncated in rare pairs of languages, and where one sentence ends with its last word."""
+    whole = "Die Gärtnerin öffnete die Holzkiste Nummer {} am alten Hafen."
+    for n in (20, 150):
+        good = [(i, f"The gardener opened the wooden box number {i} near the harbour.", whole.format(i), "de") for i in range(100, 100 + n)]
+        odd = (1, "The gardener opened the wooden box number 7 near the harbour.", "Die Gärtnerin öffnete die Holzkiste Nummer 7 alten Hafen am.", "de")
+        cut = (2, odd[1], "Die Gärtnerin öffnete die Holzkiste am", "de")  # lacks about three in ten letters
+        unmarked = (3, odd[1], "Gärtnerin öffnete Holzkiste, alten Hafen", "de")  # as short, stops at a word that ends sentences
+        df = spark.createDataFrame([*good, odd, cut, unmarked], "k long, p string, r string, t string")
+        assert rows(broken_pairs(df, "k", "p", "r", "t")) == [(2, "truncated")]
+        assert rows(broken_pairs(df.where("k != 1"), "k", "p", "r", "t")) == [(2, "truncated")]
+
+
+def test_a_third_less_is_truncated(spark):
+    good = [(i, f"The gardener opened the wooden box number {i} near the harbour.", f"Die Gärtnerin öffnete die Holzkiste Nummer {i} am alten Hafen.", "de") for i in range(100, 160)]
+    short = [(1, good[0][1], "Sie öffnete die Kiste Nummer 100 am alten Hafen", "de"), (2, good[0][1], "Sie öffnete die Kiste Nr 100 am Hafen.", "de")]
+    df = spark.createDataFrame([*good, *short], "k long, p string, r string, t string")
+    assert rows(broken_pairs(df, "k", "p", "r", "t")) == [(2, "truncated")]
+
+
+def test_closings_are_counted():
+    counts: dict[str, list[int]] = {}
+    for text, marked in (("Er ging heim. Sie ging", False), ("Er ging.", True), ("他走了。他走", False)):
+        pairs.count_closings(counts, pairs.ending_units(text), pairs.B.whole_text_ends(text), marked)
+    assert counts == {"er": [2, 0], "ging": [2, 1], "heim": [1, 1], "sie": [1, 0], "他": [1, 0], "他走": [1, 0], "走了": [1, 1], "了他": [1, 0]}
+
+
 def test_lists_are_lower_case():
     assert all(r == r.lower() for r in pairs.REFUSALS)

@@ -51,6 +51,11 @@ REFUSALS = [
 # Letters and digits of a response for each of an English text's, before anything is learned.
 PRIOR = {"en": 1.0, "es": 1.02, "pt": 0.98, "fr": 1.02, "de": 1.03, "ru": 0.8, "zh": 0.29, "ja": 0.38}
 PRIOR_WEIGHT = 20
+#: Letters and digits of a prompt from which on its pair is learned from.
+LEAST_LETTERS = 15
+# The share of a word's occurrences that close a sentence, before anything is learned, and the occurrences it counts as;
+# and the share under which a text that stops at the word without an end mark breaks off there.
+CLOSING_PRIOR, CLOSING_WEIGHT, CLOSING_SHARE = 0.08, 4, 0.15
 
 _TOKEN = re.compile(r"[぀-ヿ㐀-䶿一-鿿]|[^\W_぀-ヿ㐀-䶿一-鿿]+")
 _ALNUM = re.compile(r"[^\W_]")
@@ -192,10 +197,31 @@ def finish(text: str) -> str:
     return "mark"
 
 
-def last_word(text: str) -> str:
-    """The last word of a text that has one (two characters in scripts without spaces), in lower case."""
-    words = _TOKEN.findall(text[-200:].casefold()) or _TOKEN.findall(text.casefold())
-    return "".join(words[-2:]) if words and len(words[-1]) == 1 and words[-1] > "\u3000" else words[-1] if words else ""
+def ending_units(text: str) -> list[tuple[int, str]]:
+    """Where each word of a text ends, and the word in lower case; in scripts without spaces the last two characters."""
+    out: list[tuple[int, str]] = []
+    before = ""
+    for m in _TOKEN.finditer(text):
+        w = m[0].casefold()
+        out.append((m.end(), before + w if len(w) == 1 and w > "\u3000" else w))
+        before = w
+    return out
+
+
+def count_closings(counts: dict[str, list[int]], units: list[tuple[int, str]], ends: list[int], marked: bool) -> None:
+    """Adds to ``counts`` how often each word stands in a text and how often it closes a sentence there.
+
+    What closes the last sentence of a text without an end mark isn't known and isn't counted.
+    """
+    known = units if marked else units[:-1]
+    for _, w in known:
+        counts.setdefault(w, [0, 0])[0] += 1
+    i = 0
+    for end in ends:
+        while i < len(known) and known[i][0] <= end:
+            i += 1
+        if i and (marked or end != ends[-1]):
+            counts[known[i - 1][1]][1] += 1
 
 
 def invariant(text: str) -> bool:
@@ -205,21 +231,26 @@ def invariant(text: str) -> bool:
     return 0 < len(words) <= 3 and all(_NAME.match(w) and w.lower() not in _VOTES for w in words)
 
 
-_FIGURES = "pair_key long, target string, prompt_n int, response_n int, prompt_lang string, response_lang string, fixed boolean, refusal boolean, copied double, finish string, last string, prompt_sentences int, response_sentences int"
+_FIGURES = "pair_key long, target string, prompt_n int, response_n int, prompt_lang string, response_lang string, fixed boolean, refusal boolean, copied double, finish string, last string, prompt_sentences int, response_sentences int, words array<struct<target:string,word:string,seen:long,closed:long>>"
 
 
 def _figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
+        counts: dict[str, dict[str, list[int]]] = {}
         for key, prompt, response, target in zip(batch["k"], batch["p"], batch["r"], batch["t"], strict=True):
             prompt, response = prompt or "", response or ""
             pn, rn = len(_ALNUM.findall(prompt)), len(_ALNUM.findall(response))
             if not pn or not rn:
-                rows.append((key, target, pn, rn, None, None, invariant(prompt), False, 0.0, "none", None, 0, 0))
+                rows.append((key, target, pn, rn, None, None, invariant(prompt), False, 0.0, "none", None, 0, 0, None))
                 continue
-            rows.append(
-                (key, target, pn, rn, vote(prompt), vote(response), invariant(prompt), refuses(response) and not refuses(prompt), copied_share(prompt, response), finish(response), last_word(response), len(B.whole_text_ends(prompt)), len(B.whole_text_ends(response)))
-            )
+            lang, refusal, how, units, ends = vote(response), refuses(response) and not refuses(prompt), finish(response), ending_units(response), B.whole_text_ends(response)
+            if lang == target and not refusal and pn >= LEAST_LETTERS:
+                count_closings(counts.setdefault(target, {}), units, ends, how == "mark")
+            rows.append((key, target, pn, rn, vote(prompt), lang, invariant(prompt), refusal, copied_share(prompt, response), how, units[-1][1] if units else None, len(B.whole_text_ends(prompt)), len(ends), None))
+        if rows:
+            # The words of the whole batch stand in its first row.
+            rows[0] = (*rows[0][:-1], [{"target": t, "word": w, "seen": n, "closed": c} for t, own in counts.items() for w, (n, c) in own.items()])
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in _FIGURES.split(", ")])
 
 
@@ -240,28 +271,28 @@ def broken_pairs(df: DataFrame, key: str, prompt: str, response: str, target: st
     prior = F.create_map(*[F.lit(x) for kv in PRIOR.items() for x in kv])
     ratio = F.try_divide(F.col("response_n"), F.col("prompt_n"))
     base = F.coalesce(F.element_at(prior, F.col("target")) / F.element_at(prior, F.col("prompt_lang")), F.lit(1.0))
-    fit = F.col("response_lang").eqNullSafe(F.col("target")) & ~F.col("refusal") & (F.col("prompt_n") >= 15)
+    fit = F.col("response_lang").eqNullSafe(F.col("target")) & ~F.col("refusal") & (F.col("prompt_n") >= LEAST_LETTERS)
     learned = figures.where(fit).groupBy("prompt_lang", "target").agg(F.percentile_approx(ratio, 0.5, 1000).alias("median"), F.count(F.lit(1)).alias("pairs"))
     learned = learned.select(F.col("prompt_lang").alias("pl"), F.col("target").alias("tl"), "median", "pairs").where(F.col("pl").isNotNull())
     # At most one row for each pair of languages.
-    # Words that end sentences elsewhere: a text without an end mark that stops at another word breaks off there.
-    finals = figures.where(fit & (F.col("finish") == "mark")).groupBy(F.col("target").alias("ft"), F.col("last").alias("fl")).agg(F.count(F.lit(1)).alias("finals"))
-    figures = figures.join(finals, (F.col("target") == F.col("ft")) & (F.col("last") == F.col("fl")), "left")
+    # How often a word closes a sentence where it stands: a text without an end mark that stops at one that seldom does breaks off there.
+    closings = figures.select(F.inline("words")).groupBy(F.col("target").alias("ft"), F.col("word").alias("fl")).agg(F.sum("seen").alias("seen"), F.sum("closed").alias("closed"))
+    figures = figures.drop("words").join(closings, (F.col("target") == F.col("ft")) & (F.col("last") == F.col("fl")), "left")
     judged = figures.join(F.broadcast(learned), (F.col("prompt_lang") == F.col("pl")) & (F.col("target") == F.col("tl")), "left")
     n = F.coalesce("pairs", F.lit(0))
     usual = (n * F.coalesce("median", F.lit(0.0)) + PRIOR_WEIGHT * base) / (n + PRIOR_WEIGHT)
     share = F.try_divide(ratio, usual)
-    dense = F.col("target").isin("zh", "ja")
     fewer = F.col("response_sentences") < F.col("prompt_sentences")
-    dangling = (F.col("finals").isNull() & (F.coalesce("pairs", F.lit(0)) >= 100)) | (F.col("finish") == "open")
-    lacks = share < F.when(dangling, 0.81).when(fewer, 0.72).when(dense, 0.58).otherwise(0.62)
-    broken_off = F.when(F.col("finish") == "mark", fewer & (share < 0.72) | (share < 0.52)).otherwise(lacks)
+    closing = (F.coalesce("closed", F.lit(0)) + CLOSING_WEIGHT * CLOSING_PRIOR) / (F.coalesce("seen", F.lit(0)) + CLOSING_WEIGHT)
+    dangling = (closing < CLOSING_SHARE) | (F.col("finish") == "open")
+    # What lacks a third is truncated; shares are estimates, so what is seen to break off may lack a little less by them.
+    lacks = share < F.when((F.col("finish") != "mark") & dangling, 0.81).when(fewer, 0.72).otherwise(2 / 3)
     defect = (
         F.when(F.col("fixed") | (F.col("prompt_n") == 0), None)
         .when(F.col("response_n") == 0, "empty")
         .when(F.col("refusal"), "refusal")
         .when((F.col("copied") >= 0.9) & ~F.col("prompt_lang").eqNullSafe(F.col("target")), "copy")
         .when(F.col("response_lang").isNotNull() & (F.col("target") != "") & (F.col("response_lang") != F.col("target")) & ~F.col("response_lang").eqNullSafe(F.col("prompt_lang")), "wrong_language")
-        .when((F.col("response_lang").isNull() | (F.col("response_lang") == F.col("target"))) & broken_off, "truncated")
+        .when((F.col("response_lang").isNull() | (F.col("response_lang") == F.col("target"))) & lacks, "truncated")
     )
     return judged.select("pair_key", defect.alias("defect")).where(F.col("defect").isNotNull())
