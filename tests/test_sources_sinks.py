@@ -162,3 +162,17 @@ def test_stream(spark, tmp_path):
         q.awaitTermination()
         (tmp_path / "in" / "b.srt").write_text(SRT, encoding="utf-8")
     assert rows(spark.read.parquet(str(tmp_path / "out")), "track_id", "pos") == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+
+
+def test_merged_positions_of_long_runs(spark):
+    """A run of more than 4,096 sentences, then more runs: each sentence has a position of its own, in order."""
+    words = "word " * 48
+    data = [("t", i, 20.0 * i, 20.0 * i + 19.0, 19.0, f"{words}n{i}") for i in range(4200)]
+    data += [("t", i, 20.0 * i, 20.0 * i + 1.0, 1.0, f"Sentence {i}.") for i in range(4200, 4203)]
+    data += [("u", i, 20.0 * i, 20.0 * i + 1.0, 1.0, f"Sentence {i}.") for i in range(2100)]
+    df = spark.createDataFrame(data, "track_id string, pos long, start_s double, end_s double, duration_s double, text string")
+    got = pipelines.model_segments(df, merge_rows=True).where("track_id = 't'").orderBy("start_s").collect()
+    assert len(got) > 4150 and [r.pos for r in got] == list(range(len(got))) and [r.source_text for r in got[-2:]] == ["Sentence 4201.", "Sentence 4202."]
+    other = pipelines.model_segments(df, merge_rows=True).where("track_id = 'u'").orderBy("pos").collect()
+    assert [(r.pos, r.source_text) for r in other] == [(i, f"Sentence {i}.") for i in range(2100)]
+    assert sorted(r.id for r in got)[:2] == ["seg_0000", "seg_0001"] and len({r.id for r in got}) == len(got)

@@ -221,6 +221,20 @@ def merge_sentences(rows: DataFrame, track: str, pos: str, text: str, start: str
     return dealt.mapInPandas(run_all, "track string, run long, no int, text string, start_s double, end_s double, duration_s double")
 
 
+def sentence_positions(merged: DataFrame) -> DataFrame:
+    """``merged``, as :func:`merge_sentences` gives it, with ``position``: from 0 within the track, in order of run and number.
+
+    The sentences of the runs before are counted in blocks of runs first, so a run may have any number of them.
+    """
+    runs = merged.groupBy("track", "run").agg(F.count(F.lit(1)).alias("n_")).withColumn("b_", F.floor(F.col("run") / BLOCK))
+    earlier = Window.partitionBy("track", "b_").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    local = runs.withColumn("before_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)))
+    blocks = runs.groupBy("track", "b_").agg(F.sum("n_").alias("m_"))
+    base = blocks.select("track", "b_", F.coalesce(F.sum("m_").over(Window.partitionBy("track").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
+    offsets = local.join(base, ["track", "b_"]).select("track", "run", (F.col("base_") + F.col("before_")).alias("offset_"))
+    return merged.join(offsets, ["track", "run"]).withColumn("position", F.col("offset_") + F.col("no")).drop("offset_")
+
+
 def segment_ids(rows: DataFrame, track: str, pos: str) -> DataFrame:
     """``rows`` with ``id``, ``seg_0000`` and so on by position within the track (counted in blocks first)."""
     block = F.floor(F.col(pos) / BLOCK)

@@ -42,9 +42,8 @@ def model_segments(rows: DataFrame, track: str = "track_id", pos: str = "pos", m
     """
     one = rows.where(F.col(track).isNotNull() & F.col(pos).isNotNull()).dropDuplicates([track, pos])
     if merge_rows:
-        merged = merge.merge_sentences(one, track, pos, "text", "start_s", "end_s", "duration_s")
-        # The number of a run and of a sentence in it, as one position.
-        one = merged.select(F.col("track").alias(track), (F.col("run") * 4096 + F.col("no")).alias(pos), "text", "start_s", "end_s", "duration_s")
+        merged = merge.sentence_positions(cut_lineage(merge.merge_sentences(one, track, pos, "text", "start_s", "end_s", "duration_s")))
+        one = merged.select(F.col("track").alias(track), F.col("position").alias(pos), "text", "start_s", "end_s", "duration_s")
     ids = merge.segment_ids(one, track, pos)
     stop = F.coalesce("end_s", F.col("start_s") + F.coalesce("duration_s", F.lit(0.0)))
     return ids.select(F.col(track).alias("track_id"), F.col(pos).cast("long").alias("pos"), "id", "start_s", stop.alias("end_s"), F.col("text").alias("source_text"))
