@@ -88,3 +88,13 @@ def test_other_scripts():
     text = "Слова этого длинного отрывка стоят здесь друг за другом и ничего не значат для того кто их читает вслух сегодня"
     finder = LeakFinder([(1, text)])
     assert not finder.ascii_only and finder.search("До. " + text.upper() + " После.") == {1: 20}
+
+
+def test_units_are_of_the_largest_passage():
+    """A part of 15 words (30 characters) first and the whole item later: the whole counts."""
+    finder = LeakFinder(ITEMS)
+    words, han = ITEMS[0][1].rstrip(".").split(), ITEMS[12][1].rstrip("。")
+    doc = " ".join(words[20:35]) + ". Other words of another text here. " + " ".join(words) + "."
+    assert finder.search(doc) == {0: 40} and finder.search(doc, largest=False) == {0: 15}
+    doc = han[40:70] + "。别的文字写在这里" + han + "。"
+    assert finder.search(doc) == {100: 80} and finder.search(doc, largest=False) == {100: 30}

@@ -170,8 +170,11 @@ class LeakFinder:
                 words += [(f" {' '.join(w[a : a + SEED_WORDS])} ", n, a) for a in range(len(w) - SEED_WORDS + 1)] if len(w) >= MIN_WORDS else []
         self.words, self.chars = Searcher.build(words, 8), Searcher.build(chars, 3)
 
-    def search(self, text: str) -> dict[int, int]:
-        """The keys of the items that ``text`` leaks, with the size of the first passage of each."""
+    def search(self, text: str, largest: bool = True) -> dict[int, int]:
+        """The keys of the items that ``text`` leaks, with the size of the largest passage of each.
+
+        Without ``largest`` an item is passed over once it is found, and the size is that of its first passage.
+        """
         parts = blocks(text)
         found: dict[int, int] = {}
         # The place after the last seed of each item, in both texts: a seed that goes on there reaches no further.
@@ -183,14 +186,14 @@ class LeakFinder:
             for at, item, p in self.words.find(s):
                 doc = doc or s.split()
                 d, counted = d + s.count(" ", counted, at), at
-                if not found.get(item) and last.get(item) != (d, p):
-                    found[item] = covered(doc, self.units[item], d, p, SEED_WORDS, MIN_WORDS)
+                if (largest or not found.get(item)) and last.get(item) != (d, p):
+                    found[item] = max(found.get(item, 0), covered(doc, self.units[item], d, p, SEED_WORDS, MIN_WORDS))
                 last[item] = (d + 1, p + 1)
         if self.chars and parts and _CJK.search(text):
             s = char_string("".join(parts))
             for at, item, p in self.chars.find(s):
-                if not found.get(item) and last.get(item) != (at, p):
-                    found[item] = covered(s, self.units[item], at, p, SEED_CHARS, MIN_CHARS)
+                if (largest or not found.get(item)) and last.get(item) != (at, p):
+                    found[item] = max(found.get(item, 0), covered(s, self.units[item], at, p, SEED_CHARS, MIN_CHARS))
                 last[item] = (at + 1, p + 1)
         return {self.keys[n]: size for n, size in found.items() if size}
 
@@ -205,9 +208,9 @@ def _is_cjk(text: str) -> bool:
     return n * 2 > sum(c.isalpha() for c in text)
 
 
-def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, largest: bool = True) -> DataFrame:
     """``doc_key, item_key, units``: each document with each item of which it holds a passage, and the size of
-    the first.
+    the largest (without ``largest``, of the first, which takes less time).
 
     Sizes are words of the item, or characters in scripts without spaces. Null, empty and wordless texts on either side
     match nothing, nor do rows without a key; an item shorter than a passage has no passage; items stored twice are each reported. ``items`` is the
@@ -229,7 +232,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finders = [LeakFinder(b.value) for b in shared]
         for batch in batches:
-            out = [(k, item, size) for k, t in zip(batch["doc_key"], batch["text"], strict=True) for f in finders for item, size in f.search(t).items()]
+            out = [(k, item, size) for k, t in zip(batch["doc_key"], batch["text"], strict=True) for f in finders for item, size in f.search(t, largest).items()]
             yield pd.DataFrame(out, columns=["doc_key", "item_key", "units"])
 
     return docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_key"), F.col(text).alias("text")).mapInPandas(run, "doc_key long, item_key long, units int")
