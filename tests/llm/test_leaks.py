@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 from tests.conftest import rows
@@ -98,3 +99,11 @@ def test_units_are_of_the_largest_passage():
     assert finder.search(doc) == {0: 40} and finder.search(doc, largest=False) == {0: 15}
     doc = han[40:70] + "。别的文字写在这里" + han + "。"
     assert finder.search(doc) == {100: 80} and finder.search(doc, largest=False) == {100: 30}
+
+
+def test_escaped_scripts():
+    """Chinese only as JSON escapes or HTML entities is found too."""
+    finder = LeakFinder(ITEMS)
+    han = ITEMS[12][1]
+    for doc in (json.dumps([{"id": "seg_0000", "text": han}]), "<p>" + "".join(f"&#{ord(c)};" for c in han) + "</p>", "<p>" + "".join(f"&#x{ord(c):x};" for c in han) + "</p>"):
+        assert doc.isascii() and finder.search(doc) == {100: 80}

@@ -189,7 +189,8 @@ class LeakFinder:
                 if (largest or not found.get(item)) and last.get(item) != (d, p):
                     found[item] = max(found.get(item, 0), covered(doc, self.units[item], d, p, SEED_WORDS, MIN_WORDS))
                 last[item] = (d + 1, p + 1)
-        if self.chars and parts and _CJK.search(text):
+        # The parts are decoded; the text itself may hold these scripts only as escapes or entities.
+        if self.chars and any(map(_CJK.search, parts)):
             s = char_string("".join(parts))
             for at, item, p in self.chars.find(s):
                 if (largest or not found.get(item)) and last.get(item) != (at, p):
