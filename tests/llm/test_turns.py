@@ -32,6 +32,12 @@ def test_noise_and_dropped_turns(spark):
     assert found(spark, texts) == [(1, 0, 0, "At noon"), (2, 5, 5, "he left."), (1, 7, 11, "Chapter 3: Well... Remember: x")]
 
 
+def test_long_noise(spark):
+    """Sound notes and sung lines of any length hold no spoken words."""
+    sung, note = "la la and the river flows " * 8, "the door falls shut behind the two of them with a long echo " * 3
+    assert found(spark, ["GALMAR: One", f"♪ {sung}♪", "FENDO: two", f"*{note.strip()}*", f"KINE: ♫♪ {sung}♪", f"HOST: three *{note.strip()}* four"]) == [(1, 0, 0, "One"), (2, 2, 2, "two"), (1, 5, 5, "three four")]
+
+
 def test_bare_changes(spark):
     assert found(spark, ["lost", "FENDO: a >> b", ">> c", ">> d", "GALMAR: e"]) == [(None, 0, 0, "lost"), (2, 1, 1, "a"), (1, 1, 1, "b"), (2, 2, 2, "c"), (1, 3, 4, "d e")]
     assert [g[0] for g in found(spark, ["CAL: a", ">> b", "Eve Foo: c", "GUEST: d"], "u")] == [2, None, 3]

@@ -21,7 +21,7 @@ BLOCK = 1024
 SOUNDS = r"(?iu)(?<![\p{L}\p{N}])(?:uh-?huh|u+h+m*|u+m+|a+h+a+|mm-?hm+|e+r+m*|h+m+|m+-?h+m+|m{2,}|eh+m?|em|este|ä+h+m?|euh+|heu|hum|né|ahn|э+-?э*|э+м+|м{2,}|гм|угу|嗯+|呃+|えー+と?|えっと|ええと|うーん|あのー*)(?![\p{L}\p{N}]|-\p{L})"
 TIME_CODES = r"[\[({<]\s*(?:\d{1,3}:)?\d{1,3}:\d{2}(?:[.,]\d+)?\s*[\])}>]|(?<![\d:])\d{1,3}:\d{2}:\d{2}(?:[.,]\d+)?(?![\d:])"
 CLOCK = r"(?<![\d:])\d{1,3}:\d{2}(?:[.,]\d+)?(?![\d:])"
-NOISE = r"\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|【[^】]*】|（[^）]*）|\*[^*\n]{1,40}\*|[♪♫]+[^♪♫\n]{0,80}[♪♫]+|[♪♫]|</?[A-Za-z][^>]*>"
+NOISE = r"\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|【[^】]*】|（[^）]*）|\*[^*\n]+\*|[♪♫]+[^♪♫\n]*[♪♫]+|[♪♫]|</?[A-Za-z][^>]*>"
 
 _L, _R = "\x01", "\x02"
 
