@@ -4,7 +4,7 @@ import json
 
 from tests.conftest import rows
 
-from textloom.operators.nested import distinct_objects, flatten_nested, object_bridge, read_document, walk_document
+from textloom.operators.nested import Objects, canonical, distinct_objects, flatten_nested, nested_paths, object_bridge, read_document, rebuild
 
 DOC = [
     {"type": "paragraph", "content_rich_source": ["bare", {"type": "bold", "content": {"type": "text", "content": "x"}}], "content_source": "plain"},
@@ -40,8 +40,66 @@ PATHS = {
 }
 
 
+def places(document):
+    """Path, parent path and type of every node below the root."""
+    store = Objects()
+    return [n[:3] for n in store.occurrences(store.add(document))][1:]
+
+
+def identity(value):
+    return Objects().add(value)
+
+
 def test_paths():
-    assert {n[0]: (n[1], n[2]) for n in walk_document(DOC)} == PATHS
+    assert {n[0]: (n[1], n[2]) for n in places(DOC)} == PATHS
+
+
+def test_identities_tell_every_difference_and_no_more():
+    table = {"type": "table", "content_source": {"headers": ["H"], "rows": [["a", ""], [[], None]]}}
+    apart = [
+        [{"type": "note", "content_source": "A"}],
+        [{"type": "note", "content_source": "B"}],
+        [{"type": "note", "content_source": ["A"]}],
+        [{"type": "code_block", "content_structured_source": ["x"]}],
+        [{"type": "code_block", "content_structured_source": [{"value": "x"}]}],
+        [{"type": "code_block", "content_structured_source": []}],
+        [{"type": "code_block", "content_structured_source": None}],
+        [{"type": "code_block"}],
+        [table],
+        [{**table, "content_source": {**table["content_source"], "caption": "c"}}],
+        [{**table, "content_source": {"headers": ["H"], "rows": [["a", ""], [[], []]]}}],
+        [{**table, "content_source": {"headers": ["H"], "rows": [["a"], [[], None]]}}],
+        [{"type": "list", "items_source": [{"content": "x"}]}],
+        [{"type": "list", "items_source": {"content": "x"}}],
+        [{"type": "list", "items_source": [{"content": ["x"]}]}],
+        [{"type": "list", "items_source": [{"content": ["#0"]}]}],
+        [{"type": "list", "items_source": [{"content": [{"type": "text", "content": "x"}]}]}],
+        {"type": "list", "items_source": [{"content": "x"}]},
+        ["A"],
+        [],
+    ]
+    assert len({identity(x) for x in apart}) == len(apart)
+    item = {"content": ["a", {"type": "bold", "content": ["b"]}], "nested_list": {"type": "list", "items_source": ["c"]}, "x": {"p": 1, "q": [2]}}
+    turned = {"x": {"q": [2], "p": 1}, "nested_list": {"items_source": ["c"], "type": "list"}, "content": ["a", {"content": ["b"], "type": "bold"}]}
+    assert identity([{"type": "list", "items_source": [item]}]) == identity([{"items_source": [turned], "type": "list"}])
+    rows, headers = table["content_source"]["rows"], table["content_source"]["headers"]
+    assert identity([table]) == identity([{"content_source": {"rows": rows, "headers": headers}, "type": "table"}])
+
+
+def test_documents_are_rebuilt_from_objects_and_bridge(spark):
+    """Every chapter of the largest test data, from the tables alone."""
+    chapters = spark.read.parquet("/root/testdata/sf0.1/chapters.parquet").select("chapter_key", "content")
+    nodes = flatten_nested(chapters, "chapter_key", "content").persist()
+    payloads = {r.node_id: r.payload for r in distinct_objects(nodes).collect()}
+    links = {(r.parent_id, r.ordinal): r.child_id for r in object_bridge(nodes).collect()}
+    roots = {r.doc_key: r.node_id for r in nodes.where("node_path = ''").collect()}
+    want = {k: d for k, t in chapters.collect() if (d := read_document(t)) is not None}
+    assert len(want) > 1000 and roots.keys() == want.keys()
+    assert all(rebuild(payloads, links, roots[k]) == canonical(d) for k, d in want.items())
+    assert {i for i, in nodes.select("node_id").distinct().collect()} == payloads.keys()
+    by_payload = {r.node_id: (r.node_type, rebuild(payloads, links, r.node_id)) for r in nodes.select("node_id", "node_type").distinct().collect()}
+    assert len(set(by_payload.values())) == len(by_payload), "equal objects have one identity"
+    nodes.unpersist()
 
 
 def test_wrappings():
@@ -50,15 +108,19 @@ def test_wrappings():
         assert read_document(wrapped) in (DOC, DOC[0]), wrapped[:30]
     for broken in (None, "", "  ", text[:-5], json.dumps(text)[:-9], "hello", '"hello"', "12", "null", "```json\n[{"):
         assert read_document(broken) is None, broken
+    often = "[1]"
+    for _ in range(12):
+        often = json.dumps(often)
+    assert read_document(often) == [1]
     deep = '[{"type": "bold", "content": ' * 20_000 + "null" + "}]" * 20_000
-    assert len(walk_document(read_document(deep.replace('[{"type": "bold"', '[{"type": "paragraph", "content_rich_source": 1, "x": 1}, {"type": "bold"', 1)))) >= 1
+    assert len(places(read_document(deep.replace('[{"type": "bold"', '[{"type": "paragraph", "content_rich_source": 1, "x": 1}, {"type": "bold"', 1)))) >= 1
 
 
 def test_depth_is_no_limit():
     value = "leaf"
     for _ in range(5000):
         value = {"type": "bold", "content": [value]}
-    assert len(walk_document([{"type": "paragraph", "content_rich_source": [value]}])) == 5002
+    assert len(places([{"type": "paragraph", "content_rich_source": [value]}])) == 5002
 
 
 def test_identities_and_bridge(spark):
@@ -66,8 +128,10 @@ def test_identities_and_bridge(spark):
     df = spark.createDataFrame(data, "k long, c string").selectExpr("k", "c", "'x' AS node_id", "1 AS batch")
     nodes = flatten_nested(df, "k", "c")
     found = rows(nodes, "doc_key", "node_path", "node_id")
+    assert found == rows(nested_paths(df, "k", "c"), "doc_key", "node_path", "node_id")
     by = {(k, p): i for k, p, i in found}
-    assert len(found) == 2 * len(PATHS) + 4
+    assert by[1, ""] == by[2, ""] != by[3, ""]
+    assert len(found) == 2 * len(PATHS) + 4 + 3
     assert all(by[1, p] == by[2, p] for p in PATHS)
     assert by[1, "0"] == by[3, "0"] and by[1, "0"] != by[1, "1"]
     objects = rows(distinct_objects(nodes))

@@ -1,15 +1,19 @@
 """Deeply nested records as flat tables that keep parent and child apart but linked (Merkle subtree identities).
 
-Every node of a document gets an identity from the bottom up: the digest of its canonical own fields and of its
-children's identities with the places they stand in. Equal subtrees have equal identities wherever they occur, so
+Every node gets an identity from the bottom up: the digest of its type, of its *payload* and of the identities of the nodes
+it holds. The payload is the node's whole value as canonical JSON in which each child node is replaced by a hole, ``#0``,
+``#1`` and so on; a ``#`` outside a string is no JSON, so holes can't be mistaken for content. Nothing of the value is left
+out, so objects share an identity if and only if they are equal JSON values (keys in any order) of one type, and a document
+can be rebuilt from its root. The document as a whole is a node too, of type :data:`ROOT`. Then
 
 * ``objects`` stores each distinct node once,
-* ``bridge`` stores each distinct parent-child link once, with the field and the ordinal,
+* ``bridge`` stores each distinct parent-child link once, with the steps and the ordinal (the number of the hole),
 * ``occurrences`` keeps every place in every document.
 
-A document is read and walked by one task with explicit stacks, so depth isn't limited by a call stack, and there is no
-shuffle until equal objects are brought together; that aggregation combines on the map side, so an object that makes up
-a third of all occurrences is no hot key.
+A document is read and walked by one task with explicit stacks, so depth isn't limited by a call stack. The task stores its
+objects once and takes the occurrences from the stored links of the root; there is no shuffle until the objects of all tasks
+are brought together, and that aggregation combines on the map side, so an object that makes up a third of all
+occurrences is no hot key.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +32,13 @@ from pyspark.sql import functions as F
 RICH, ITEMS, NESTED, STRUCTURED, SOURCE, INNER = "content_rich_source", "items_source", "nested_list", "content_structured_source", "content_source", "content"
 NOTE_TYPES = frozenset({"note_content", "note"})
 
-NODE_SCHEMA = "doc_key long, node_path string, parent_path string, node_type string, node_id string, parent_id string, field string, ordinal int, payload string"
+ROOT = "document"
+_CHILD_FIELDS = frozenset({RICH, ITEMS, NESTED, STRUCTURED, SOURCE, INNER})
+
+PATH_SCHEMA = "doc_key long, node_path string, parent_path string, node_type string, node_id string"
+NODE_SCHEMA = PATH_SCHEMA + ", parent_id string, field string, ordinal int, payload string"
+#: Distinct objects that a task keeps before it starts anew; what a document holds is kept while it is read.
+KEPT = 200_000
 
 _FENCE = re.compile(r"```[A-Za-z]*[ \t]*\r?\n")
 _TOKEN = re.compile(r'[ \t\r\n]*("(?:[^"\\\x00-\x1f]|\\.)*"|[\[\]{},:]|[^\s\[\]{},:"]+)')
@@ -84,12 +94,10 @@ def _decode_at(text: str, at: int) -> Any:
 def read_document(text: str | None) -> Any:
     """The complete JSON array or object in ``text``, or None.
 
-    It may stand in a code fence, after a byte order mark or a line of introduction, or be encoded once more as a JSON
-    string. A document that breaks off isn't complete.
+    It may stand in a code fence, after a byte order mark or a line of introduction, or be encoded as a JSON string, any
+    number of times. A document that breaks off isn't complete.
     """
-    for _ in range(8):
-        if text is None:
-            return None
+    while text is not None:  # each decoding takes off two quotation marks at least
         body = text.lstrip("﻿ \t\r\n​")
         if body[:1] == '"':
             value = _decode_at(body, 0)
@@ -112,36 +120,13 @@ def read_document(text: str | None) -> Any:
     return None
 
 
-def _many(value: Any) -> list[Any]:
-    return value if isinstance(value, list) else [] if value is None else [value]
-
-
-def _children(value: Any, place: str) -> list[tuple[str, int, Any, str]]:
-    """``(steps below the node, ordinal, value, place)`` of what a value at ``place`` holds, in document order."""
-    if not isinstance(value, dict):
-        return []
-    kind = value.get("type")
-    out: list[tuple[str, int, Any, str]] = []
-    for field, x in value.items():
-        if x is None:
-            continue
-        if field == INNER and (place == "item" or place == "inline" and kind != "text") or field == RICH:
-            out += [(f"{field}/{i}", i, v, "inline") for i, v in enumerate(_many(x))]
-        elif field == ITEMS:
-            out += [(f"{field}/{i}", i, v, "item") for i, v in enumerate(_many(x))]
-        elif field == NESTED:
-            out += [(f"{field}/{i}", i, v, "block") for i, v in enumerate(x)] if isinstance(x, list) else [(field, 0, x, "block")]
-        elif field == STRUCTURED:
-            out += [(f"{field}/{i}", i, v, "block") for i, v in enumerate(_many(x))]
-        elif field == SOURCE and kind in NOTE_TYPES:
-            out += [(f"{field}/{i}", i, v, "block") for i, v in enumerate(_many(x))]
-        elif field == SOURCE and kind == "table" and isinstance(x, dict):
-            for part, cells in x.items():
-                if part == "headers":
-                    out += [(f"{field}/{part}/{c}/{i}", i, v, "inline") for c, cell in enumerate(_many(cells)) for i, v in enumerate(_many(cell))]
-                elif part == "rows":
-                    out += [(f"{field}/{part}/{r}/{c}/{i}", i, v, "inline") for r, row in enumerate(_many(cells)) for c, cell in enumerate(_many(row)) for i, v in enumerate(_many(cell))]
-    return out
+def _rule(field: str, kind: Any, place: str) -> str | None:
+    """Where the child nodes of a value stand that is at ``place`` and has a field ``field``; None: it has none there."""
+    if field == INNER:
+        return "inline" if place == "item" or place == "inline" and kind != "text" else None
+    if field == SOURCE:
+        return "block" if kind in NOTE_TYPES else "table" if kind == "table" else None
+    return {RICH: "inline", ITEMS: "item", NESTED: "block", STRUCTURED: "block"}.get(field)
 
 
 def _node_type(value: Any, place: str) -> str | None:
@@ -154,23 +139,91 @@ def _node_type(value: Any, place: str) -> str | None:
     return kind if isinstance(kind, str) else None
 
 
-def _own(value: Any, place: str) -> str:
-    """The canonical text of a value's own fields, without those that hold child nodes."""
-    if isinstance(value, dict):
-        kind = value.get("type")
-        skip = {RICH, ITEMS, NESTED, STRUCTURED}
-        if place == "item" or place == "inline" and kind != "text":
-            skip.add(INNER)
-        if kind in NOTE_TYPES or kind == "table" and isinstance(value.get(SOURCE), dict):
-            skip.add(SOURCE)
-        value = {k: v for k, v in value.items() if k not in skip}
-    return canonical(value)
+def _spread(value: Any, depth: int, steps: str, place: str) -> list[Any]:
+    """What to write for arrays ``depth`` deep; a lone value where one belongs counts as its position 0."""
+    if not depth:
+        return [(value, place, steps)]
+    if value is None:
+        return ["null"]
+    if not isinstance(value, list):
+        return _spread(value, depth - 1, f"{steps}/0", place)
+    out: list[Any] = ["["]
+    for i, v in enumerate(value):
+        out += [*([","] if i else []), *_spread(v, depth - 1, f"{steps}/{i}", place)]
+    return [*out, "]"]
+
+
+def _fields(value: dict[str, Any], place: str, steps: str) -> list[Any]:
+    """What to write for an object: text, and ``(value, place, steps)`` where nodes can stand."""
+    kind, out, pre = value.get("type"), [], f"{steps}/" if steps else ""
+    text = "{"
+    for key in sorted(value):
+        x = value[key]
+        text += ("," if len(text) > 1 or out else "") + _quoted(key) + ":"
+        where = _rule(key, kind, place) if key in _CHILD_FIELDS and x is not None else None
+        if where == "table" and isinstance(x, dict):
+            out += [text, *_table(x, pre + key)]
+            text = ""
+        elif where is None or where == "table":
+            text += canonical(x)
+        else:
+            out += [text, *_spread(x, 0 if key == NESTED and not isinstance(x, list) else 1, pre + key, where)]
+            text = ""
+    return [*out, text + "}"]
+
+
+def _table(value: dict[str, Any], steps: str) -> list[Any]:
+    out: list[Any] = ["{"]
+    for n, part in enumerate(sorted(value)):
+        out.append(("," if n else "") + _quoted(part) + ":")
+        depth = {"headers": 2, "rows": 3}.get(part)
+        out += [canonical(value[part])] if depth is None else _spread(value[part], depth, f"{steps}/{part}", "inline")
+    return [*out, "}"]
+
+
+def describe(value: Any, place: str) -> tuple[str, list[tuple[Any, str, str]]]:
+    """The payload of the node ``value``, and ``(value, place, steps)`` of the node in each of its holes.
+
+    What isn't a node but stands where nodes do (objects without a type, bare strings among blocks) is written out, and the
+    nodes it holds are this node's.
+    """
+    if place == ROOT:
+        todo = _spread(value, 1, "", "block")[::-1]
+        todo = [x if isinstance(x, str) else (x[0], x[1], x[2][1:]) for x in todo]
+    elif isinstance(value, dict) and not _CHILD_FIELDS.isdisjoint(value):
+        todo = _fields(value, place, "")[::-1]
+    else:
+        return canonical(value), []
+    if len(todo) == 1 and isinstance(todo[0], str):
+        return todo[0], []
+    out: list[str] = []
+    held: list[tuple[Any, str, str]] = []
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif _node_type(x[0], x[1]) is not None:
+            out.append(f"#{len(held)}")
+            held.append(x)
+        elif isinstance(x[0], dict):
+            todo += _fields(*x)[::-1]
+        else:
+            out.append(canonical(x[0]))
+    return "".join(out), held
+
+
+_ENCODE = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"), check_circular=False).encode
+_quoted = json.encoder.encode_basestring
 
 
 def canonical(value: Any) -> str:
     """JSON with sorted keys and no blanks, of a value nested to any depth."""
+    if isinstance(value, str):
+        return _quoted(value)
+    if value is None or value is True or value is False:
+        return "null" if value is None else "true" if value else "false"
     try:
-        return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        return _ENCODE(value)
     except RecursionError:
         pass
     out: list[str] = []
@@ -194,55 +247,120 @@ def canonical(value: Any) -> str:
     return "".join(out)
 
 
-def walk_document(document: Any) -> list[tuple[str, str, str, str, str | None, str, int, str]]:
-    """``(path, parent path, type, identity, parent's identity, steps from the parent, ordinal, own fields)`` of each node."""
-    nodes: list[list[Any]] = []  # path, parent's number, type, steps, ordinal, own fields
-    todo = [(str(i), -1, str(i), i, v, "block") for i, v in enumerate(_many(document))][::-1]
+class Objects:
+    """Distinct nodes by identity: type, payload, and the steps and identity of the node in each hole."""
+
+    def __init__(self) -> None:
+        self.nodes: dict[str, tuple[str, str, tuple[tuple[str, str], ...]]] = {}
+
+    def add(self, document: Any) -> str:
+        """The identity of the document's root, with all nodes under it stored."""
+        kinds, payloads, parents, steps = [ROOT], [""], [-1], [""]
+        todo: list[tuple[int, Any, str]] = [(0, document, ROOT)]
+        while todo:
+            n, value, place = todo.pop()
+            payloads[n], held = describe(value, place)
+            for v, p, s in held:
+                kinds.append(_node_type(v, p) or "")
+                payloads.append("")
+                parents.append(n)
+                steps.append(s)
+                todo.append((len(kinds) - 1, v, p))
+        # Parents have lower numbers than their children, so the reverse order is bottom up.
+        below: list[list[tuple[str, str]]] = [[] for _ in kinds]
+        for n in range(len(kinds) - 1, -1, -1):
+            links = tuple(reversed(below[n]))
+            text = f"{len(kinds[n])}:{kinds[n]}{payloads[n]}" + "".join([f"#{i}" for _, i in links])
+            me = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+            if me not in self.nodes:
+                self.nodes[me] = (kinds[n], payloads[n], links)
+            if n:
+                below[parents[n]].append((steps[n], me))
+        return me
+
+    def occurrences(self, root: str) -> Iterator[tuple[str, str | None, str, str, str | None, str | None, int | None, str]]:
+        """``path, parent path, type, identity, parent's identity, steps, ordinal, payload`` of the root and all places below."""
+        todo: list[tuple[str, str | None, str, str | None, str | None, int | None]] = [("", None, root, None, None, None)]
+        while todo:
+            path, up, me, over, step, ordinal = todo.pop()
+            kind, payload, links = self.nodes[me]
+            yield path, up, kind, me, over, step, ordinal, payload
+            if links:
+                pre = f"{path}/" if path else ""
+                todo += [(pre + s, path, i, me, s, n) for n, (s, i) in enumerate(links)][::-1]
+
+
+_HOLE = re.compile(r'"(?:[^"\\]|\\.)*"|#([0-9]+)')
+
+
+def rebuild(payloads: dict[str, str], links: dict[tuple[str, int], str], root: str) -> str:
+    """The canonical JSON of the document with this root, from objects and bridge alone."""
+    out: list[str] = []
+    todo: list[tuple[str, int]] = [(root, 0)]
     while todo:
-        path, parent, steps, ordinal, value, place = todo.pop()
-        kind = _node_type(value, place)
-        if kind is not None:
-            nodes.append([path, parent, kind, steps, ordinal, _own(value, place)])
-            parent, steps = len(nodes) - 1, ""
-        below = _children(value, place)
-        todo += [(f"{path}/{s}", parent, f"{steps}/{s}" if steps else s, i, v, p) for s, i, v, p in below][::-1]
-    # Parents stand before their children, so the reverse order is bottom up.
-    held: list[list[str]] = [[] for _ in nodes]
-    identity = [""] * len(nodes)
-    for k in range(len(nodes) - 1, -1, -1):
-        _, parent, kind, steps, _, own = nodes[k]
-        digest = hashlib.blake2b("\x1f".join([kind, own, *reversed(held[k])]).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-        identity[k] = digest
-        if parent >= 0:
-            held[parent].append(f"{steps}={digest}")
-    return [(path, nodes[parent][0] if parent >= 0 else "", kind, identity[k], identity[parent] if parent >= 0 else None, steps, ordinal, own) for k, (path, parent, kind, steps, ordinal, own) in enumerate(nodes)]
-
-
-def _plain(text: str) -> str:
+        me, at = todo.pop()
+        text = payloads[me]
+        for m in _HOLE.finditer(text, at):
+            if m[1] is not None:
+                out.append(text[at : m.start()])
+                todo += [(me, m.end()), (links[me, int(m[1])], 0)]
+                break
+        else:
+            out.append(text[at:])
+    return "".join(out)
+
+
+def _plain(text: str | None) -> str | None:
     """Lone surrogates can't be written as UTF-8; they become replacement characters."""
-    return text.encode("utf-8", "replace").decode() if any("\ud800" <= c <= "\udfff" for c in text) else text
+    return text.encode("utf-8", "replace").decode() if text and not text.isascii() and any("\ud800" <= c <= "\udfff" for c in text) else text
+
+
+def _flatten(df: DataFrame, key: str, content: str, schema: str) -> DataFrame:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    fields = [(n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+        arrays = []
+        for (_, kind), values in zip(fields, columns, strict=False):
+            try:
+                arrays.append(pa.array(values, kind))
+            except UnicodeEncodeError:
+                arrays.append(pa.array([_plain(v) for v in values], kind))
+        return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, short = Objects(), len(fields) == len(PATH_SCHEMA.split(", "))
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, text in zip(batch.column("k").to_pylist(), batch.column("c").to_pylist(), strict=True):
+                if (document := read_document(text)) is None:
+                    continue
+                if len(store.nodes) > KEPT:
+                    store = Objects()
+                found = store.occurrences(store.add(document))
+                rows += [(k, *x[:4]) for x in found] if short else [(k, *x) for x in found]
+                if len(rows) > 20_000:
+                    yield batch_of(rows)
+                    rows = []
+            yield batch_of(rows)
+
+    return df.where(F.col(content).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(content).alias("c")).mapInArrow(run, schema)
 
 
 def flatten_nested(df: DataFrame, key: str, content: str) -> DataFrame:
     """One row for each occurrence of a node in ``content``, as :data:`NODE_SCHEMA`; ``doc_key`` is the row's ``key``.
 
-    Null, empty or incomplete content gives no row; a row stored twice gives its nodes twice, under its own key. Lone
-    objects or strings where an array belongs count as position 0. Columns other than the two named are ignored.
+    The document itself is the row with the empty ``node_path`` and a null parent. Null, empty or incomplete content gives no
+    row; a row stored twice gives its nodes twice, under its own key. Lone objects or strings where an array belongs count
+    as position 0. Rows without a key are left out, columns other than the two named are ignored.
     """
+    return _flatten(df, key, content, NODE_SCHEMA)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in NODE_SCHEMA.split(", ")]
-        for batch in batches:
-            rows: list[tuple[Any, ...]] = []
-            for k, text in zip(batch["k"], batch["c"], strict=True):
-                for path, up, kind, me, over, steps, ordinal, own in walk_document(read_document(text)):
-                    rows.append((k, path, up, _plain(kind), me, over, steps, ordinal, _plain(own)))
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
 
-    return df.where(F.col(content).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(content).alias("c")).mapInPandas(run, NODE_SCHEMA)
+def nested_paths(df: DataFrame, key: str, content: str) -> DataFrame:
+    """The occurrences of :func:`flatten_nested` as :data:`PATH_SCHEMA`, without what ``objects`` and ``bridge`` hold."""
+    return _flatten(df, key, content, PATH_SCHEMA)
 
 
 def distinct_objects(nodes: DataFrame) -> DataFrame:

@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.intervals import interval_bounds, interval_gaps, interval_periods
-from textloom.operators.nested import distinct_objects, flatten_nested, object_bridge
+from textloom.operators.nested import distinct_objects, flatten_nested, nested_paths, object_bridge
 from textloom.tables import table
 
 
+def _chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chapters", "chapter_key", "content")
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten_nested(table(spark, sf_dir, "chapters", "chapter_key", "content"), "chapter_key", "content")
+    return flatten_nested(_chapters(spark, sf_dir), "chapter_key", "content")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir).select(F.col("doc_key").alias("chapter_key"), "node_path", "parent_path", "node_type")
+    below = nested_paths(_chapters(spark, sf_dir), "chapter_key", "content").where("parent_path IS NOT NULL")
+    return below.select(F.col("doc_key").alias("chapter_key"), "node_path", "parent_path", "node_type")
 
 
 def p2_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +34,8 @@ def p2_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir).select(F.col("doc_key").alias("chapter_key"), "node_path", "node_id")
+    """Every place of every object; the root of a chapter is the row with the empty path."""
+    return nested_paths(_chapters(spark, sf_dir), "chapter_key", "content").select(F.col("doc_key").alias("chapter_key"), "node_path", "node_id")
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
