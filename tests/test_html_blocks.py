@@ -76,3 +76,23 @@ def test_frames(spark):
     back = spark.createDataFrame([("a", content), ("b", "broken ["), ("c", None)], "k string, c string")
     assert rows(blocks_to_html(back, "k", "c")) == [("a", 0, "heading", "<h1>t</h1>"), ("a", 2, None, "")]
     assert rows(html_to_blocks(df.limit(0), "k", "h")) == []
+
+
+def test_depth_is_no_limit(spark):
+    n = 5000
+    inline, lists, notes = "bold", {"type": "list", "items_source": []}, {"type": "note_content", "id": "n", "content_source": [{"type": "paragraph", "content_source": "in"}]}
+    for i in range(n):
+        inline = {"type": "bold", "content": [inline]}
+        lists = {"type": "list", "items_source": [{"content": "x", "nested_list": lists}]}
+        notes = {"type": "note_content", "id": f"n{i}", "content_source": [notes]}
+    html = [render_block(b) for b in ({"type": "paragraph", "content_rich_source": [inline]}, lists, notes)]
+    assert html[0].count("<b>") == n and html[1].count("<li>") == n and html[2].count("<div") == n + 1
+    for text, kind in zip(html, ("paragraph", "list", "note_content"), strict=True):
+        found = parse_blocks(text)
+        assert kinds(found) == [kind]
+        again = render_block(found[0])
+        assert again == text or kind != "paragraph" and abs(len(again) - len(text)) < 100
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(html)], "k string, h string")
+    back = html_to_blocks(df, "k", "h")
+    assert rows(back, "doc_key", "block_type") == [("0", "paragraph"), ("1", "list"), ("2", "note_content")]
+    assert rows(blocks_to_html(back, "doc_key", "block"), "doc_key", "block_type") == rows(back, "doc_key", "block_type")

@@ -48,9 +48,9 @@ def test_reassemble_patch_toc(spark):
     blocks = spark.createDataFrame([("i", "old"), ("j", "old"), (None, "old")], "id string, c string")
     fixes = spark.createDataFrame([("i", "new"), ("k", "x"), (None, "y"), ("j", None)], "id string, c string")
     assert rows(replies.patch_blocks(blocks, fixes, "id", "c")) == sorted([("i", "new"), ("j", "old"), (None, "old")], key=repr)
-    links = spark.createDataFrame([("text/c1.html#x", "12 Old"), ("OEBPS/text/c2.html", "旧"), ("c9.html", "keep")], "href string, text string")
-    titles = spark.createDataFrame([("text/c1.html", "Neu"), ("text/c2.html", "Zwei"), ("c9.html", None)], "chapter_id string, title string")
-    assert rows(replies.patch_toc(links, titles), "text") == [("12 Neu",), ("Zwei",), ("keep",)]
+    links = spark.createDataFrame([(1, "text/c1.html#x", "12 Old"), (1, "OEBPS/text/c2.html", "旧"), (1, "c9.html", "keep"), (2, "text/c1.html", "A Old"), (None, "c1.html", "other")], "book_id int, href string, text string")
+    titles = spark.createDataFrame([(1, "text/c1.html", "Neu"), (1, "text/c2.html", "Zwei"), (1, "c9.html", None), (2, "c1.html", "Nova")], "book_id int, chapter_id string, title string")
+    assert rows(replies.patch_toc(links, titles), "text") == [("12 Neu",), ("A Nova",), ("Zwei",), ("keep",), ("other",)]
     assert one(spark, ["zh-CN", "ja", "de"], lambda c: replies.target_title(F.lit("T"), c)) == ["【中文翻译】T", "【日本語訳】T", "[de] T"]
 
 

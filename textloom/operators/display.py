@@ -49,8 +49,14 @@ def weak_parts(text: Column, longer_than: int = LONG) -> Column:
     return let(marked_parts(text, WEAK), lambda parts: F.when((F.length(text) > longer_than) & (F.size(parts) > 1), parts).otherwise(F.array(text)))
 
 
-def _sum_lengths(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + F.length(p))
+def _running_lengths(parts: Column) -> Column:
+    """The number of characters up to each part's end, in one pass that carries the sum."""
+    begin = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("ends"))
+
+    def step(a: Column, p: Column) -> Column:
+        return let(a["n"] + F.length(p), lambda n: F.struct(n.alias("n"), F.concat(a["ends"], F.array(n)).alias("ends")))
+
+    return F.aggregate(parts, begin, step, lambda a: a["ends"])
 
 
 def allocate(start: Column, end: Column, parts: Column) -> Column:
@@ -62,8 +68,7 @@ def allocate(start: Column, end: Column, parts: Column) -> Column:
             place = lambda i: start + (end - start) * F.element_at(ends, i) / total
             return F.transform(ps, lambda p, i: F.struct(F.when(i == 0, start).otherwise(place(i)).alias("start"), F.when(i == F.size(ps) - 1, end).otherwise(place(i + 1)).alias("end"), p.alias("text")))
 
-        # The number of characters up to each part's end.
-        return let(F.transform(ps, lambda p, i: _sum_lengths(F.slice(ps, F.lit(1), i + 1))), shares)
+        return let(_running_lengths(ps), shares)
 
     return let(parts, timed)
 
@@ -96,7 +101,9 @@ def wrap_lines(text: Column, width: int = MAX_LINE) -> Column:
             F.struct(F.concat(state["lines"], F.array(strip(F.substring(rest, F.lit(1), k)))).alias("lines"), strip(F.substring(rest, k + 1, F.length(rest))).alias("rest")),
         ).otherwise(state)
 
-    steps = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    # A line takes up a mark, or the whole width, or is the last one.
+    marks = F.length(text) - F.length(F.translate(text, "".join(BREAKS), ""))
+    steps = F.sequence(F.lit(1), marks + F.ceil(F.length(text) / F.lit(width)).cast("int") + 1)
     return F.aggregate(steps, begin, step, lambda s: F.when(s["rest"] != "", F.concat(s["lines"], F.array(s["rest"]))).otherwise(s["lines"]))
 
 

@@ -1,7 +1,8 @@
 """HTML and typed blocks, both ways.
 
 The parser is the standard library's; the tree is ours: void elements hold nothing, and a paragraph, list item, table row
-or cell ends where the next one of its kind begins. Blocks are dictionaries shaped like the items of a chapter's content.
+or cell ends where the next one of its kind begins. Trees are read and written with explicit stacks, so elements may be
+nested to any depth. Blocks are dictionaries shaped like the items of a chapter's content.
 Ids come from the document's key and the block's place, so a run repeated gives the same ids.
 """
 
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.nested import canonical, read_document
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # An element of the key ends an open one of its values, if nothing of the third kind lies between.
 _ENDS = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
@@ -105,22 +108,27 @@ def parse_tree(text: str) -> Node:
 
 def rich_items(node: Node) -> list[dict[str, Any]]:
     """The inline items of an element; blank text is dropped, unknown elements become their text."""
-    out: list[dict[str, Any]] = []
-    for c in node.contents:
-        if isinstance(c, str):
-            if c.strip():
-                out.append({"type": "text", "content": c})
-        elif c.name in ("b", "strong", "i", "em", "small"):
-            out.append({"type": {"b": "bold", "strong": "bold", "i": "italic", "em": "italic"}.get(c.name, "small"), "content": rich_items(c)})
-        elif c.name == "a" and "noteref" in c.attrs.get("epub:type", ""):
-            out.append({"type": "note_reference", "marker": c.text(), "note_id": c.attrs.get("href", "#")[1:]})
-        elif c.name == "a":
-            out.append({"type": "hyperlink", "href": c.attrs.get("href", ""), "title": c.attrs.get("title") or None, "content": rich_items(c)})
-        elif c.name == "br":
-            out.append({"type": "line_break"})
-        elif c.text().strip():
-            out.append({"type": "text", "content": c.text()})
-    return out
+    top: list[dict[str, Any]] = []
+    todo = [(node, top)]
+    while todo:
+        at, out = todo.pop()
+        for c in at.contents:
+            if isinstance(c, str):
+                if c.strip():
+                    out.append({"type": "text", "content": c})
+            elif c.name in ("b", "strong", "i", "em", "small"):
+                out.append({"type": {"b": "bold", "strong": "bold", "i": "italic", "em": "italic"}.get(c.name, "small"), "content": []})
+                todo.append((c, out[-1]["content"]))
+            elif c.name == "a" and "noteref" in c.attrs.get("epub:type", ""):
+                out.append({"type": "note_reference", "marker": c.text(), "note_id": c.attrs.get("href", "#")[1:]})
+            elif c.name == "a":
+                out.append({"type": "hyperlink", "href": c.attrs.get("href", ""), "title": c.attrs.get("title") or None, "content": []})
+                todo.append((c, out[-1]["content"]))
+            elif c.name == "br":
+                out.append({"type": "line_break"})
+            elif (text := c.text()).strip():
+                out.append({"type": "text", "content": text})
+    return top
 
 
 def resolve_image(src: str, base: str, known: set[str] | None) -> str:
@@ -136,15 +144,22 @@ def resolve_image(src: str, base: str, known: set[str] | None) -> str:
 
 
 def _list(node: Node) -> dict[str, Any]:
-    items = []
-    for li in node.elements("li", deep=False):
-        nested = next(li.elements("ul", "ol"), None)
-        block = None
-        if nested is not None:
-            block = _list(nested)
-            nested.parent.contents.remove(nested)
-        items.append({"content": rich_items(li), "nested_list": block})
-    return {"type": "list", "ordered": node.name == "ol", "items_source": items, "mmg_id": node.attrs.get("data-mmg-id"), "css_classes": node.classes()}
+    def empty(at: Node) -> dict[str, Any]:
+        return {"type": "list", "ordered": at.name == "ol", "items_source": [], "mmg_id": at.attrs.get("data-mmg-id"), "css_classes": at.classes()}
+
+    top = empty(node)
+    todo = [(node, top)]
+    while todo:
+        at, block = todo.pop()
+        for li in at.elements("li", deep=False):
+            nested = next(li.elements("ul", "ol"), None)
+            inner = None
+            if nested is not None:
+                inner = empty(nested)
+                todo.append((nested, inner))
+                nested.parent.contents.remove(nested)
+            block["items_source"].append({"content": rich_items(li), "nested_list": inner})
+    return top
 
 
 def _table(node: Node) -> dict[str, Any]:
@@ -182,6 +197,25 @@ def _code(node: Node) -> dict[str, Any]:
 
 def parse_block(node: Node, base: str = "", known: set[str] | None = None, keep_unknown: bool = True) -> dict[str, Any] | None:
     """The block of one element; None for what is no block (with ``keep_unknown``, elements with text are paragraphs)."""
+    top: list[dict[str, Any]] = []
+    todo, notes = [(node, top, keep_unknown)], []
+    while todo:
+        at, out, keep = todo.pop()
+        block = _one_block(at, base, known, keep)
+        if block is None:
+            continue
+        out.append(block)
+        if block["type"] == "note_content":
+            notes.append(block)
+            todo += [(c, block["content_source"], True) for c in at.elements(deep=False)][::-1]
+    # Notes without anything are no blocks; those inside come later in the list.
+    for note in reversed(notes):
+        note["content_source"] = [b for b in note["content_source"] if b["type"] != "note_content" or b["content_source"]]
+    return next((b for b in top if b["type"] != "note_content" or b["content_source"]), None)
+
+
+def _one_block(node: Node, base: str, known: set[str] | None, keep_unknown: bool) -> dict[str, Any] | None:
+    """The block of one element; a note still without what it holds."""
     mmg, classes = node.attrs.get("data-mmg-id"), node.classes()
     image = node if node.name == "img" else next(node.elements("img"), None)
     if image is not None and (image is node or not node.text().strip()):
@@ -205,8 +239,7 @@ def parse_block(node: Node, base: str = "", known: set[str] | None = None, keep_
     if node.name == "hr":
         return {"type": "marker", "role": "doc-pagebreak", "title": node.attrs.get("title") or None, "mmg_id": mmg, "css_classes": classes} if "doc-pagebreak" in (classes or []) else None
     if node.name == "div" and node.attrs.get("id") and keep_unknown:
-        inner = [b for c in node.elements(deep=False) if (b := parse_block(c, base, known))]
-        return {"type": "note_content", "id": node.attrs["id"], "marker_source": "", "content_source": inner, "mmg_id": mmg, "css_classes": classes} if inner else None
+        return {"type": "note_content", "id": node.attrs["id"], "marker_source": "", "content_source": [], "mmg_id": mmg, "css_classes": classes}
     if keep_unknown and node.name not in ("script", "style", "head", "title", "meta", "link") and node.text().strip():
         return {"type": "paragraph", "content_rich_source": rich_items(node), "content_source": node.plain(), "mmg_id": mmg, "css_classes": classes}
     return None
@@ -249,9 +282,26 @@ def _many(x: Any) -> list[Any]:
     return x if isinstance(x, list) else [] if x is None else [x]
 
 
+def _written(todo: list[Any]) -> str:
+    """Text put together from strings and ``(function, value)``, whose functions give more of both."""
+    out: list[str] = []
+    todo = todo[::-1]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            todo += x[0](x[1])[::-1]
+    return "".join(out)
+
+
 def render_rich(items: Any) -> str:
     """The HTML of inline items; a bare string is text."""
-    out = []
+    return _written([(_rich_parts, items)])
+
+
+def _rich_parts(items: Any) -> list[Any]:
+    out: list[Any] = []
     for x in _many(items):
         kind = x.get("type") if isinstance(x, dict) else "text"
         inner = x.get("content") if isinstance(x, dict) else x
@@ -259,58 +309,65 @@ def render_rich(items: Any) -> str:
             out.append(html_lib.escape(inner or "", quote=False))
         elif kind in ("bold", "italic", "small"):
             tag = {"bold": "b", "italic": "i", "small": "small"}[kind]
-            out.append(f"<{tag}>{render_rich(inner)}</{tag}>")
+            out += [f"<{tag}>", (_rich_parts, inner), f"</{tag}>"]
         elif kind == "hyperlink":
-            out.append(f'<a href="{html_lib.escape(x.get("href") or "")}"{_attributes({"title": x.get("title")})}>{render_rich(inner)}</a>')
+            out += [f'<a href="{html_lib.escape(x.get("href") or "")}"{_attributes({"title": x.get("title")})}>', (_rich_parts, inner), "</a>"]
         elif kind == "line_break":
             out.append("<br/>")
         elif kind == "note_reference":
             out.append(f'<a href="#{html_lib.escape(x.get("note_id") or "")}" epub:type="noteref">{html_lib.escape(x.get("marker") or "", quote=False)}</a>')
         elif inner is not None:
-            out.append(render_rich(inner))
-    return "".join(out)
+            out.append((_rich_parts, inner))
+    return out
 
 
 def render_block(block: dict[str, Any]) -> str:
     """The HTML of a block, target before source; empty for what isn't shown."""
+    return _written([(_block_parts, block)])
+
+
+def _block_parts(block: dict[str, Any]) -> list[Any]:
     kind, own = block.get("type"), _common(block)
     text = block.get("content_target") or block.get("content_source") or ""
     if kind == "heading":
         tag = f"h{block.get('level') or 1}"
-        return f"<{tag}{_attributes(own)}>{html_lib.escape(text, quote=False)}</{tag}>"
+        return [f"<{tag}{_attributes(own)}>{html_lib.escape(text, quote=False)}</{tag}>"]
     if kind == "paragraph":
-        return f"<p{_attributes(own)}>{render_rich(block.get('content_rich_target') or block.get('content_rich_source') or text)}</p>"
+        return [f"<p{_attributes(own)}>", (_rich_parts, block.get("content_rich_target") or block.get("content_rich_source") or text), "</p>"]
     if kind == "image":
         img = {"src": f"../images/{posixpath.basename(block.get('path') or '')}", "alt": text, "class": " ".join(block.get("img_css_classes") or [])}
         if tag := block.get("container_tag"):
-            return f"<{tag}{_attributes(own)}><img{_attributes(img)}/></{tag}>"
-        return f"<img{_attributes({**img, **{k: v for k, v in own.items() if v}})}/>"
+            return [f"<{tag}{_attributes(own)}><img{_attributes(img)}/></{tag}>"]
+        return [f"<img{_attributes({**img, **{k: v for k, v in own.items() if v}})}/>"]
     if kind == "list":
         tag, classes = ("ol" if block.get("ordered") else "ul"), list(block.get("css_classes") or [])
         pseudo = ' class="pseudo-list-item"' if "pseudo-list-marker" in classes else ""
         own["class"] = " ".join(c for c in classes if c != "pseudo-list-marker")
-        items = []
+        items: list[Any] = []
         for it in _many(block.get("items_target") or block.get("items_source")):
             it = it if isinstance(it, dict) else {"content": it}
-            items.append(f"<li{pseudo}>{render_rich(it.get('content'))}{''.join(render_block(n) for n in _many(it.get('nested_list')))}</li>")
-        return f"<{tag}{_attributes(own)}>{''.join(items)}</{tag}>"
+            items += [f"<li{pseudo}>", (_rich_parts, it.get("content")), *[(_block_parts, n) for n in _many(it.get("nested_list")) if isinstance(n, dict)], "</li>"]
+        return [f"<{tag}{_attributes(own)}>", *items, f"</{tag}>"]
     if kind == "table":
         t = block.get("content_target") or {}
         t = t if t.get("headers") or t.get("rows") else block.get("content_source") or {}
-        head = "".join(f"<th>{render_rich(c)}</th>" for c in _many(t.get("headers")))
-        rows = "".join("<tr>" + "".join(f"<td>{render_rich(c)}</td>" for c in _many(r)) + "</tr>" for r in _many(t.get("rows")))
-        return f"<table{_attributes(own)}>{f'<thead><tr>{head}</tr></thead>' if head else ''}{f'<tbody>{rows}</tbody>' if rows else ''}</table>"
+        head = [p for c in _many(t.get("headers")) for p in ("<th>", (_rich_parts, c), "</th>")]
+        rows = [p for r in _many(t.get("rows")) for p in ("<tr>", *[q for c in _many(r) for q in ("<td>", (_rich_parts, c), "</td>")], "</tr>")]
+        head = ["<thead><tr>", *head, "</tr></thead>"] if head else []
+        rows = ["<tbody>", *rows, "</tbody>"] if rows else []
+        return [f"<table{_attributes(own)}>", *head, *rows, "</table>"]
     if kind == "code_block":
         lines = []
         for x in _many(block.get("content_structured_target") or block.get("content_structured_source")):
-            value = html_lib.escape(x.get("value") or "", quote=False)
+            x = x if isinstance(x, dict) else {"value": x}
+            value = html_lib.escape(str(x.get("value") or ""), quote=False)
             lines.append(f'<span class="comment">{value}</span>' if x.get("type") == "comment" else value)
-        return f"<pre{_attributes(own)}><code{_attributes({'class': 'language-' + block['language'] if block.get('language') else ''})}>{'<br/>'.join(lines)}</code></pre>"
+        return [f"<pre{_attributes(own)}><code{_attributes({'class': 'language-' + block['language'] if block.get('language') else ''})}>{'<br/>'.join(lines)}</code></pre>"]
     if kind == "marker":
-        return f"<hr{_attributes({'class': own['class'] or 'doc-pagebreak', 'title': block.get('title'), 'data-mmg-id': own['data-mmg-id']})}/>" if block.get("role") == "doc-pagebreak" else ""
+        return [f"<hr{_attributes({'class': own['class'] or 'doc-pagebreak', 'title': block.get('title'), 'data-mmg-id': own['data-mmg-id']})}/>"] if block.get("role") == "doc-pagebreak" else []
     if kind in ("note_content", "note"):
-        return f"<div{_attributes({'id': block.get('id'), **own})}>{''.join(render_block(b) for b in _many(block.get('content_target') or block.get('content_source')) if isinstance(b, dict))}</div>"
-    return ""
+        return [f"<div{_attributes({'id': block.get('id'), **own})}>", *[(_block_parts, b) for b in _many(block.get("content_target") or block.get("content_source")) if isinstance(b, dict)], "</div>"]
+    return []
 
 
 def source_text(block: dict[str, Any]) -> str:
@@ -322,6 +379,13 @@ def source_text(block: dict[str, Any]) -> str:
     return ""
 
 
+def _json(value: Any) -> str:
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return canonical(value)
+
+
 _SCHEMA = "doc_key string, block_no int, block_type string, level int, block_text string, mmg_id string, block string"
 
 
@@ -331,7 +395,7 @@ def html_to_blocks(df: DataFrame, key: str, html: str, unwrap: bool = False, kee
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [
-                (k, n, x["type"], x.get("level"), source_text(x), x.get("mmg_id"), json.dumps(x, ensure_ascii=False))
+                (k, n, x["type"], x.get("level"), source_text(x), x.get("mmg_id"), _json(x))
                 for k, t in zip(b["k"], b["t"], strict=True)
                 for n, x in enumerate(parse_blocks(t, k or "", unwrap=unwrap, keep_unknown=keep_unknown))
             ]
@@ -346,8 +410,6 @@ def blocks_to_html(df: DataFrame, key: str, content: str) -> DataFrame:
 
     Content is read as leniently as by :func:`textloom.operators.nested.read_document`; what holds no document has none.
     """
-    from textloom.operators.nested import read_document
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(k, n, x.get("type") if isinstance(x.get("type"), str) else None, render_block(x)) for k, t in zip(b["k"], b["t"], strict=True) for n, x in enumerate(_many(read_document(t))) if isinstance(x, dict)]

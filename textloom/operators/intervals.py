@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 SHARD_MS = 600_000
 MIN_GAP_MS = 500
+#: The most gaps that a block of an entity's time can hold, for numbering periods.
+BLOCK_GAPS = 8192
 
 
 def milliseconds(seconds: Column) -> Column:
@@ -86,9 +88,18 @@ def interval_periods(bounds: DataFrame, min_gap_ms: int = MIN_GAP_MS, shard_ms:
     covers doesn't end a period. One entity with intervals has at least one period.
     """
     gaps = interval_gaps(bounds, min_gap_ms, shard_ms)
+    # Gaps are disjoint and longer than ``min_gap_ms``, so a block of time holds a bounded number of them.
+    width = BLOCK_GAPS * max(min_gap_ms, 1)
     ends = bounds.groupBy("entity").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     cuts = gaps.select("entity", F.col("gap_start_ms").alias("stop"), F.col("gap_end_ms").alias("go")).unionByName(ends.select("entity", F.col("b").alias("stop"), F.lit(None).cast("long").alias("go")))
-    w = Window.partitionBy("entity").orderBy("stop")
-    first = ends.select(F.col("entity").alias("e"), F.col("a").alias("first"))
-    begun = cuts.select("entity", "stop", F.lag("go").over(w).alias("prev"), F.row_number().over(w).cast("int").alias("period_no"))
-    return begun.join(first, F.col("entity") == F.col("e")).select("entity", "period_no", F.coalesce("prev", "first").alias("period_start_ms"), F.col("stop").alias("period_end_ms"))
+    cuts = cuts.withColumn("block", F.floor(F.col("stop") / width))
+    own = Window.partitionBy("entity", "block").orderBy("stop")
+    begun = cuts.withColumns({"prev": F.lag("go").over(own), "n": F.row_number().over(own)})
+    # One row for each block that holds a cut carries the number of periods and the start of the next one on.
+    over = Window.partitionBy("entity").orderBy("block")
+    blocks = cuts.groupBy("entity", "block").agg(F.count(F.lit(1)).alias("m"), F.max_by("go", "stop").alias("last"))
+    blocks = blocks.select("entity", "block", F.coalesce(F.sum("m").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lag("last").over(over).alias("left"))
+    first = ends.select("entity", F.col("a").alias("first"))
+    joined = begun.join(blocks, ["entity", "block"]).join(first, "entity")
+    start = F.coalesce("prev", F.when(F.col("n") == 1, F.col("left")), "first")
+    return joined.select("entity", (F.col("before") + F.col("n")).cast("int").alias("period_no"), start.alias("period_start_ms"), F.col("stop").alias("period_end_ms"))

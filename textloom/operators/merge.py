@@ -24,11 +24,13 @@ BLOCK = 1024
 DECIMAL, PERIOD, SPECIAL = "<DECIMAL_DOT>", "<PERIOD>", "<SPECIALPUNC>"
 DELIMITERS = (",", ";", ":", " and ", " but ", " or ", " so ")
 TITLES = "Mr|Mrs|Miss|Ms|Dr|St"
+# Fixed value: where a sentence is split.
 _SPLIT = re.compile(rf"(?<!{SPECIAL})([.?!])[\"']?(?!{SPECIAL})(?=\s+|$)")
 
 
 def protect(text: Column) -> Column:
     """The text with decimals, titles and runs of marks replaced or framed by placeholders, in this order."""
+    # What is protected.
     t = F.regexp_replace(text, r"(\d)\.(\d)", f"$1{DECIMAL}$2")
     t = F.regexp_replace(t, "。。+", "...")
     t = F.regexp_replace(t, rf"({TITLES})\.", f"$1{PERIOD}")

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,9 +150,12 @@ def map_once(tasks: DataFrame, make: Callable[[], Provider], results_path: str,
     spark = tasks.sparkSession
     try:
         there = spark.read.parquet(results_path)
-        missing = tasks.join(there.select(F.col("task_id").alias(task_id)), task_id, "left_anti")
-    except Exception:  # noqa: BLE001
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # results may be there but not readable; sending all again would pay for them twice
         missing = tasks
+    else:
+        missing = tasks.join(there.select(F.col("task_id").alias(task_id)).distinct(), task_id, "left_anti")
     map_remote(missing, make, task_id=task_id, **options).write.mode("append").parquet(results_path)
     done = spark.read.parquet(results_path)
     return done.join(tasks.select(F.col(task_id).alias("task_id")), "task_id", "left_semi")

@@ -22,6 +22,7 @@ def repaired_items(reply: Column) -> Column:
 
     A key written twice is written once first. What still doesn't parse, or is no array, is null.
     """
+    # Fixed value: a key written twice.
     fixed = F.regexp_replace(reply, r'"(id|text)"\s*:\s*"(?:id|text)"\s*:', '"$1":')
     inner = F.regexp_extract(fixed, r"(?s)(\[.*\})", 1)
     closed = F.concat(F.regexp_replace(inner, r",\s*$", ""), F.lit("]"))
@@ -53,6 +54,7 @@ def book_items(reply: Column) -> Column:
     fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1)
     bare = F.regexp_extract(reply, r"(?s)([\[{].*)", 1)
     candidate = F.when(fenced != "", fenced).when(bare != "", bare).otherwise(reply)
+    # Fixed value: an empty anchor.
     return _array(F.trim(F.regexp_replace(candidate, r'(<a href=\\"\\"></a>)+', "")), BOOK_ITEMS)
 
 
@@ -77,6 +79,7 @@ def patch_blocks(blocks: DataFrame, fixes: DataFrame, identifier: str, content:
 
 def take_injected_title(html: Column, injected: Column) -> Column:
     """``{title, html}``: a leading heading of a chapter that got one injected becomes its title and is taken out."""
+    # Fixed value: what a leading heading looks like.
     pattern = r"(?is)^\s*<h[1-6][^>]*>(.*?)</h[1-6]>"
     title = F.trim(F.regexp_replace(F.regexp_extract(html, pattern, 1), r"<[^>]*>", ""))
     hit = F.coalesce(injected, F.lit(False)) & html.rlike(pattern)
@@ -90,15 +93,16 @@ def final_titles(chapters: DataFrame, headings: DataFrame, chapter: str, target:
     return chapters.join(first, F.col(chapter) == F.col("c_"), "left").select(F.col(chapter).alias("chapter_id"), F.coalesce(some(F.col(target)), F.col("h_"), some(F.col(source))).alias("title"))
 
 
-def patch_toc(links: DataFrame, titles: DataFrame) -> DataFrame:
-    """``links`` (``href, text``) with the target titles of the chapters they lead to, found by file name.
+def patch_toc(links: DataFrame, titles: DataFrame, book: str = "book_id") -> DataFrame:
+    """``links`` (``book, href, text``) with the target titles of the chapters of the same book they lead to, found by file name.
 
     The first word of ASCII letters and digits of the old text is kept in front; links to unknown chapters keep their text.
     """
     base = lambda c: F.substring_index(F.element_at(F.split(F.substring_index(c, "#", 1), "/"), -1), "_split_", 1)
-    one = titles.where(F.trim("title") != "").groupBy(base(F.col("chapter_id")).alias("b_")).agg(F.max("title").alias("t_"))
+    one = titles.where(F.trim("title") != "").groupBy(F.col(book).alias("k_"), base(F.col("chapter_id")).alias("b_")).agg(F.max("title").alias("t_"))
     prefix = F.regexp_extract("text", r"^\s*([a-zA-Z0-9]+\s*)", 1)
-    return links.join(one, base(F.col("href")) == F.col("b_"), "left").withColumn("text", F.coalesce(F.trim(F.concat(prefix, "t_")), "text")).drop("b_", "t_")
+    found = F.col(book).eqNullSafe(F.col("k_")) & (base(F.col("href")) == F.col("b_"))
+    return links.join(one, found, "left").withColumn("text", F.coalesce(F.trim(F.concat(prefix, "t_")), "text")).drop("k_", "b_", "t_")
 
 
 # How a book's title is marked in a language.
@@ -116,6 +120,7 @@ def is_repeated(text: Column) -> Column:
     Under 10 characters never; a character five times in a row, a run four times in a row, or a bracketed text.
     """
     t = strip(text)
+    # What counts as repeated, and from which length on.
     looks = t.rlike(r"(?s)(.)\1{4,}") | t.rlike(r"(?s)(.{2,}?)\1{3,}") | (t.startswith("[") & t.endswith("]"))
     return F.coalesce((F.length(t) >= 10) & looks, F.lit(False))
 
@@ -133,6 +138,7 @@ def untranslated(source: Column, translated: Column) -> Column:
 
 def failed_block_ids(replies: DataFrame, text: str) -> DataFrame:
     """``mmg_id``: the blocks that replies mark as failed, each once."""
+    # Fixed value: how a failed block is marked.
     found = F.regexp_extract_all(F.col(text), F.lit(r"\[TRANSLATION_FAILED: (chp\d+-blk\d+)\]"), 1)
     return replies.select(F.explode(found).alias("mmg_id")).distinct()
 

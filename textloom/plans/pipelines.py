@@ -38,9 +38,10 @@ def run_stages(df: DataFrame, *stages: Callable[[DataFrame], DataFrame]) -> Data
 def model_segments(rows: DataFrame, track: str = "track_id", pos: str = "pos", merge_rows: bool = False) -> DataFrame:
     """``track_id, pos, id, start_s, end_s, source_text``: the rows of each track as segments, or their sentences.
 
-    Rows with the same track and position are one.
+    Rows with the same track and position are one: the least by text and times.
     """
-    one = rows.where(F.col(track).isNotNull() & F.col(pos).isNotNull()).dropDuplicates([track, pos])
+    held = [c for c in ("text", "start_s", "end_s", "duration_s") if c in rows.columns]
+    one = rows.where(F.col(track).isNotNull() & F.col(pos).isNotNull()).groupBy(track, pos).agg(F.min(F.struct(*held)).alias("r_")).select(track, pos, "r_.*")
     if merge_rows:
         merged = merge.sentence_positions(cut_lineage(merge.merge_sentences(one, track, pos, "text", "start_s", "end_s", "duration_s")))
         one = merged.select(F.col("track").alias(track), F.col("position").alias(pos), "text", "start_s", "end_s", "duration_s")

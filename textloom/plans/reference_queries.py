@@ -385,13 +385,13 @@ def final_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT split_part(list_extract(string_split(split_part(chapter_id, '#', 1), '/'), -1), '_split_', 1) AS b, max('<' || title || '>') AS t FROM chapters WHERE trim(title) <> '' GROUP BY 1)
+WITH t AS (SELECT book_id AS k, split_part(list_extract(string_split(split_part(chapter_id, '#', 1), '/'), -1), '_split_', 1) AS b, max('<' || title || '>') AS t FROM chapters WHERE trim(title) <> '' GROUP BY 1, 2)
 SELECT chapter_key, coalesce(trim(regexp_extract('Part ' || CAST(chapter_pos AS VARCHAR), '^\s*([a-zA-Z0-9]+\s*)', 1) || t), 'Part ' || CAST(chapter_pos AS VARCHAR)) AS text
-FROM chapters LEFT JOIN t ON b = split_part(list_extract(string_split(split_part(chapter_id, '#', 1), '/'), -1), '_split_', 1)""")
+FROM chapters LEFT JOIN t ON k IS NOT DISTINCT FROM book_id AND b = split_part(list_extract(string_split(split_part(chapter_id, '#', 1), '/'), -1), '_split_', 1)""")
 def toc_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "chapters")
-    links = c.select("chapter_key", F.concat("chapter_id", F.lit("#top")).alias("href"), F.concat(F.lit("Part "), F.col("chapter_pos").cast("string")).alias("text"))
-    titles = c.where("title IS NOT NULL").select("chapter_id", F.when(F.trim("title") != "", F.concat(F.lit("<"), "title", F.lit(">"))).alias("title"))
+    links = c.select("chapter_key", "book_id", F.concat("chapter_id", F.lit("#top")).alias("href"), F.concat(F.lit("Part "), F.col("chapter_pos").cast("string")).alias("text"))
+    titles = c.where("title IS NOT NULL").select("book_id", "chapter_id", F.when(F.trim("title") != "", F.concat(F.lit("<"), "title", F.lit(">"))).alias("title"))
     return replies.patch_toc(links, titles).select("chapter_key", "text")
 
 
