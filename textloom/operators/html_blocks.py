@@ -30,12 +30,14 @@ _BLOCKS = frozenset("address article aside blockquote div dl fieldset figure foo
 
 
 class Node:
-    """An element: its name, attributes and contents (nodes and strings)."""
+    """An element: its name, attributes and contents (nodes and strings); its first image, and whether it holds words."""
 
-    __slots__ = ("attrs", "contents", "name", "parent")
+    __slots__ = ("attrs", "contents", "image", "name", "parent", "worded")
 
     def __init__(self, name: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.name, self.attrs, self.parent, self.contents = name, attrs, parent, []
+        self.image: Node | None = None
+        self.worded = False
 
     def strings(self) -> Iterator[str]:
         todo: list[Any] = [self]
@@ -72,7 +74,7 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         enders = _ENDS.get(tag, ()) + (("p",) if tag in _BLOCKS else ())
-        x: Node | None = self.at
+        x: Node | None = self.at if enders else None
         while x is not None and x.name:
             if x.name in enders:
                 self.at = x.parent or self.root
@@ -80,13 +82,21 @@ class _Builder(HTMLParser):
             if x.name in _WALLS and not (tag in ("tr",) and x.name in ("td", "th")):
                 break
             x = x.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.contents.append(node)
+        node = self.add(tag, attrs)
         if tag not in VOID:
             self.at = node
 
+    def add(self, tag: str, attrs: list[tuple[str, str | None]]) -> Node:
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.contents.append(node)
+        x: Node | None = self.at if tag == "img" else None
+        while x is not None and x.image is None:
+            x.image = node
+            x = x.parent
+        return node
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.at.contents.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+        self.add(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         x: Node | None = self.at
@@ -97,6 +107,10 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.at.contents.append(data)
+        x: Node | None = self.at if data.strip() else None
+        while x is not None and not x.worded:
+            x.worded = True
+            x = x.parent
 
 
 def parse_tree(text: str) -> Node:
@@ -217,8 +231,8 @@ def parse_block(node: Node, base: str = "", known: set[str] | None = None, keep_
 def _one_block(node: Node, base: str, known: set[str] | None, keep_unknown: bool) -> dict[str, Any] | None:
     """The block of one element; a note still without what it holds."""
     mmg, classes = node.attrs.get("data-mmg-id"), node.classes()
-    image = node if node.name == "img" else next(node.elements("img"), None)
-    if image is not None and (image is node or not node.text().strip()):
+    image = node if node.name == "img" else node.image
+    if image is not None and (image is node or not node.worded):
         if "src" not in image.attrs:
             return None
         out = {"type": "image", "path": resolve_image(image.attrs["src"], base, known), "content_source": image.attrs.get("alt", ""), "mmg_id": mmg, "img_css_classes": image.classes()}
@@ -229,7 +243,7 @@ def _one_block(node: Node, base: str, known: set[str] | None, keep_unknown: bool
         return _list(node)
     if node.name == "p":
         only = [c for c in node.contents if isinstance(c, Node)]
-        if len(only) == 1 and only[0].name in ("span", "i") and "bullet" in (only[0].classes() or []) and not node.text().strip():
+        if len(only) == 1 and only[0].name in ("span", "i") and "bullet" in (only[0].classes() or []) and not node.worded:
             return {"type": "list", "ordered": False, "items_source": [{"content": [{"type": "text", "content": only[0].text()}], "nested_list": None}], "mmg_id": mmg, "css_classes": ["pseudo-list-generated", "bullet"]}
         return {"type": "paragraph", "content_rich_source": rich_items(node), "content_source": node.plain(), "mmg_id": mmg, "css_classes": classes}
     if node.name == "table":
@@ -240,7 +254,7 @@ def _one_block(node: Node, base: str, known: set[str] | None, keep_unknown: bool
         return {"type": "marker", "role": "doc-pagebreak", "title": node.attrs.get("title") or None, "mmg_id": mmg, "css_classes": classes} if "doc-pagebreak" in (classes or []) else None
     if node.name == "div" and node.attrs.get("id") and keep_unknown:
         return {"type": "note_content", "id": node.attrs["id"], "marker_source": "", "content_source": [], "mmg_id": mmg, "css_classes": classes}
-    if keep_unknown and node.name not in ("script", "style", "head", "title", "meta", "link") and node.text().strip():
+    if keep_unknown and node.name not in ("script", "style", "head", "title", "meta", "link") and node.worded:
         return {"type": "paragraph", "content_rich_source": rich_items(node), "content_source": node.plain(), "mmg_id": mmg, "css_classes": classes}
     return None
 
