@@ -68,8 +68,7 @@ def test_best_fit(sizes):
 
 
 @pytest.mark.parametrize("part", [8, 50, 4096])
-def test_pack(spark, part, monkeypatch):
-    monkeypatch.setattr(packing, "HAND_ON", 6)
+def test_pack(spark, part):
     rnd = random.Random(part)
     data = [("hot", k, "x" * (3 * rnd.choice([1, 5, 30, 700, 1500, 1999, 2000]) + 2), rnd.choice([None, 0, 1, 3])) for k in range(400)]
     data += [("one", 900, None, 2), (None, 901, "abc", 1), ("big", 902, "w. " * 5000, 4), ("big", 903, "", None), ("one", 900, None, 2)]
@@ -84,3 +83,39 @@ def test_pack(spark, part, monkeypatch):
         floor = math.ceil(sum(w[3] for w in want if w[0] == g) / 2000)
         assert len([b for b in got if b.grp == g]) <= max(1, floor * 1.15 + 1)
     assert packing.pack(items.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["mixed", "large", "two sizes", "equal"])
+def test_a_tree_of_parts_is_as_good_as_one_best_fit(spark, kind):
+    """Twelve parts, one of them in the last merge: at most one bin in 500 more than a best fit of the whole group."""
+    rnd = random.Random(3)
+    one = {"mixed": lambda: rnd.choice([0, 1, 5, 90, 300, 600, 1100, 1900]), "large": lambda: rnd.randrange(600, 1400), "two sizes": lambda: rnd.choice([900, 1100]), "equal": lambda: 1100}[kind]
+    sizes = [one() for _ in range(6000)]
+    items = spark.createDataFrame([("=g", k, 1, s, 1) for k, s in enumerate(sizes)], "grp string, item_key long, piece_no int, size long, carried long")
+    got = packing.pack(items, 2000, 512).select("size", "carried").collect()
+    assert sum(b["size"] for b in got) == sum(sizes) and sum(b.carried for b in got) == 6000
+    assert len(got) <= len(packing.best_fit(sizes, 2000)) * 1.002 + 1
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 20), min_size=1, max_size=300), st.integers(0, 10**6))
+def test_no_bin_that_is_not_handed_on_could_be_filled(sizes, seed):
+    """Handing on :func:`packing.kept` bins gives as few bins as handing on all."""
+
+    def bins(keep_all):
+        rnd = random.Random(seed)
+        groups = {}
+        for s in sizes:
+            groups.setdefault(rnd.randrange(64), []).append(s)
+        done = 0
+        for rounds in (2, 1, 0):
+            above = {}
+            for p, own in groups.items():
+                made = sorted(sum(own[i] for i in b) for b in packing.best_fit(own, 20))
+                held = made[: len(made) if keep_all and rounds else packing.kept(rounds)]
+                done += len(made) - len(held)
+                above.setdefault(p // packing.FAN, []).extend(held)
+            groups = above
+        return done
+
+    assert bins(False) <= bins(True)

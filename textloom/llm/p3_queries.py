@@ -15,7 +15,16 @@ def p3_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     A task is a row of the table; a retry is another task. A null text takes no room and still is in a request.
     """
     tasks = table(spark, sf_dir, "tasks", "task_key", "book_id", "text_to_translate", "chapter_count")
-    bins = pack(cut_to_capacity(tasks, "task_key", "book_id", "text_to_translate", "chapter_count"), CAPACITY)
+    return _requests(pack(cut_to_capacity(tasks, "task_key", "book_id", "text_to_translate", "chapter_count"), CAPACITY))
+
+
+def p3_shared_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all tasks of the table in one group."""
+    tasks = table(spark, sf_dir, "tasks", "task_key", "text_to_translate", "chapter_count").withColumn("one", F.lit(0))
+    return _requests(pack(cut_to_capacity(tasks, "task_key", "one", "text_to_translate", "chapter_count"), CAPACITY)).drop("book_id")
+
+
+def _requests(bins: DataFrame) -> DataFrame:
     return bins.select(
         F.expr("try_cast(substring(grp, 2) AS bigint)").alias("book_id"),
         F.col("bin").alias("request_id"),
@@ -26,4 +35,20 @@ def p3_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_requests": p3_requests}
+def p3_book_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the requests of each book hold in all, for a check against the tasks: none is lost, none is there twice."""
+    requests = p3_requests(spark, sf_dir).select("book_id", "units", "chapter_count", "tasks")
+    return requests.groupBy("book_id").agg(
+        F.sum(F.size(F.filter("tasks", lambda x: x["piece_no"] == 1))).alias("tasks"),
+        F.sum("chapter_count").alias("chapter_count"),
+        F.sum(F.aggregate(F.filter("tasks", lambda x: x["units"] <= 0), F.lit(0).cast("long"), lambda a, x: a + 1)).alias("weightless"),
+        F.count_if(F.col("units") > CAPACITY).alias("overfull"),
+    )
+
+
+SQL = {
+    "p3_book_totals": """
+SELECT book_id, count(*) AS tasks, CAST(sum(coalesce(chapter_count, 0)) AS BIGINT) AS chapter_count, count(*) FILTER (WHERE coalesce(length(text_to_translate), 0) < 3) AS weightless, CAST(0 AS BIGINT) AS overfull
+FROM tasks GROUP BY book_id"""
+}
+QUERIES = {f.__name__: f for f in (p3_requests, p3_shared_requests, p3_book_totals)}
