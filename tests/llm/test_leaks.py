@@ -88,7 +88,7 @@ def test_blocks_of_items(spark, monkeypatch):
 def test_other_scripts():
     text = "Слова этого длинного отрывка стоят здесь друг за другом и ничего не значат для того кто их читает вслух сегодня"
     finder = LeakFinder([(1, text)])
-    assert not finder.ascii_only and finder.search("До. " + text.upper() + " После.") == {1: 20}
+    assert finder.search("До. " + text.upper() + " После.") == {1: 20}
 
 
 def test_units_are_of_the_largest_passage():
@@ -107,3 +107,13 @@ def test_escaped_scripts():
     han = ITEMS[12][1]
     for doc in (json.dumps([{"id": "seg_0000", "text": han}]), "<p>" + "".join(f"&#{ord(c)};" for c in han) + "</p>", "<p>" + "".join(f"&#x{ord(c):x};" for c in han) + "</p>"):
         assert doc.isascii() and finder.search(doc) == {100: 80}
+
+
+def test_items_of_other_scripts_change_nothing():
+    """Words in other scripts count as added words, whatever the other items are."""
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+    doc = item.replace(" ", " слово слово ")
+    russian = "раз два три четыре пять шесть семь восемь девять десять " * 2
+    assert LeakFinder([(1, item)]).search(doc) == LeakFinder([(1, item), (2, russian)]).search(doc) == {}
+    near = item.replace("ten ", "ten слово ")
+    assert LeakFinder([(1, item)]).search(near) == LeakFinder([(1, item), (2, russian)]).search(near) == {1: 19}

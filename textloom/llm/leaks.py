@@ -7,26 +7,29 @@ for each block of characters how far the search can move on; almost every block
 a whole pattern. A block of zero shift selects a bucket of patterns, whose texts are compared directly, and the place is
 then extended both ways word by word with as many changes as its length allows.
 
-The items are the stated query set: their tables have a size that is checked, and are sent to the executors in blocks of
-items. Each document is one row of one task; nothing is shuffled.
+The items are the stated query set. Their characters are counted first and the items cut into blocks of a bounded size; all
+documents are searched for one block after the other, so no executor (and not the driver) holds more than one block's
+tables. Each document is one row of one task; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.plain import blocks
+from textloom.tables import cut_lineage
 
 MIN_WORDS, SEED_WORDS = 15, 6
 MIN_CHARS, SEED_CHARS = 30, 7
-#: Characters of items whose tables are sent to the executors at once (some hundred bytes each).
+#: Characters of items of a block, whose tables are sent to the executors at once (some hundred bytes for each).
 BLOCK_CHARS = 2_000_000
 
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
@@ -42,15 +45,10 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-def word_string(text: str, ascii_only: bool) -> str:
-    """The words of ``text``, folded, each followed by one blank, after a first blank.
-
-    ``ascii_only``: no pattern has other letters, so a word with any can't be part of a match.
-    """
-    if ascii_only:
-        words = fold(text).encode("ascii", "replace").translate(_ASCII).decode("ascii").split()
-    else:
-        words = _WORDLESS.sub(" ", fold(text)).split()
+def word_string(text: str) -> str:
+    """The words of ``text``, folded, each followed by one blank, after a first blank."""
+    text = fold(text)
+    words = (text.encode("ascii").translate(_ASCII).decode("ascii") if text.isascii() else _WORDLESS.sub(" ", text)).split()
     return f" {' '.join(words)} " if words else " "
 
 
@@ -156,7 +154,6 @@ class LeakFinder:
         words: list[tuple[str, int, int]] = []
         chars: list[tuple[str, int, int]] = []
         texts = [(k, " ".join(blocks(t))) for k, t in items if t]
-        self.ascii_only = all(fold(t).encode("ascii", "ignore").decode() == _non_word_free(t) for _, t in texts if not _is_cjk(t))
         for key, text in texts:
             n = len(self.keys)
             self.keys.append(key)
@@ -165,7 +162,7 @@ class LeakFinder:
                 self.units.append(s)
                 chars += [(s[a : a + SEED_CHARS], n, a) for a in range(len(s) - SEED_CHARS + 1)] if len(s) >= MIN_CHARS else []
             else:
-                w = word_string(text, False).split()
+                w = word_string(text).split()
                 self.units.append(w)
                 words += [(f" {' '.join(w[a : a + SEED_WORDS])} ", n, a) for a in range(len(w) - SEED_WORDS + 1)] if len(w) >= MIN_WORDS else []
         self.words, self.chars = Searcher.build(words, 8), Searcher.build(chars, 3)
@@ -180,7 +177,7 @@ class LeakFinder:
         # The place after the last seed of each item, in both texts: a seed that goes on there reaches no further.
         last: dict[int, tuple[int, int]] = {}
         if self.words and parts:
-            s = word_string(" ".join(parts), self.ascii_only)
+            s = word_string(" ".join(parts))
             doc: list[str] | None = None
             d = counted = 0
             for at, item, p in self.words.find(s):
@@ -199,11 +196,6 @@ class LeakFinder:
         return {self.keys[n]: size for n, size in found.items() if size}
 
 
-def _non_word_free(text: str) -> str:
-    """``text`` folded, without what is neither ASCII nor part of a word."""
-    return "".join(c for c in fold(text) if c.isascii() or c.isalnum())
-
-
 def _is_cjk(text: str) -> bool:
     n = len(_CJK.findall(text))
     return n * 2 > sum(c.isalpha() for c in text)
@@ -214,26 +206,32 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     the largest (without ``largest``, of the first, which takes less time).
 
     Sizes are words of the item, or characters in scripts without spaces. Null, empty and wordless texts on either side
-    match nothing, nor do rows without a key; an item shorter than a passage has no passage; items stored twice are each reported. ``items`` is the
-    query set: it is read to the driver and split into blocks of at most :data:`BLOCK_CHARS` characters (one item at
-    least), each searched for in all documents.
+    match nothing, nor do rows without a key; an item shorter than a passage has no passage; items stored twice are each
+    reported. ``items`` is the query set: a hash of their keys deals them to blocks of about :data:`BLOCK_CHARS` characters, and
+    all documents are searched for one block after the other. What is found doesn't depend on the blocks.
     """
-    rows = [(int(r[0]), r[1]) for r in items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).cast("long"), F.col(item_text)).toLocalIterator()]
-    groups: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in rows:
-        if groups[-1] and size + len(r[1]) > BLOCK_CHARS:
-            groups.append([])
-            size = 0
-        groups[-1].append(r)
-        size += len(r[1])
+    own = items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t"))
+    chars = own.agg(F.sum(F.length("t"))).first()[0] or 0
+    n_blocks = max(1, -(-chars // BLOCK_CHARS))
+    asked = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_key"), F.col(text).alias("text"))
     context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(g) for g in groups]
-
+    done: DataFrame | None = None
+    for n in range(n_blocks):
+        rows = [(r[0], r[1]) for r in own.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == n).collect()]  # one block
+        shared = context.broadcast(rows)
+        found = asked.mapInPandas(_search(shared, largest), "doc_key long, item_key long, units int")
+        if n_blocks > 1:
+            found = cut_lineage(found)
+            shared.unpersist()
+        done = found if done is None else done.unionByName(found)
+    return done
+
+
+def _search(shared: Any, largest: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finders = [LeakFinder(b.value) for b in shared]
+        finder = LeakFinder(shared.value)
         for batch in batches:
-            out = [(k, item, size) for k, t in zip(batch["doc_key"], batch["text"], strict=True) for f in finders for item, size in f.search(t, largest).items()]
+            out = [(k, item, size) for k, t in zip(batch["doc_key"], batch["text"], strict=True) for item, size in finder.search(t, largest).items()]
             yield pd.DataFrame(out, columns=["doc_key", "item_key", "units"])
 
-    return docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_key"), F.col(text).alias("text")).mapInPandas(run, "doc_key long, item_key long, units int")
+    return run

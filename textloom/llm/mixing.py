@@ -22,6 +22,8 @@ from textloom.tables import cut_lineage
 
 #: Where the vocabulary files of the public tokenizers are, and which one counts.
 TOKENIZER_DIR, TOKENIZER = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
+# Fixed value: the pattern this vocabulary was made with.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEED, BUCKETS = 7, 1 << 14
 
 _ENCODINGS: dict[str, Any] = {}
@@ -35,12 +37,7 @@ def encoding(folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> Any:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        try:
-            from public_tokenizers import PATTERN as pattern
-        except ImportError:
-            # Fixed value: the pattern this vocabulary was made with.
-            pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        _ENCODINGS[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _ENCODINGS[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODINGS[path]
 
 
@@ -138,15 +135,27 @@ def mix_documents(counts: DataFrame, targets: DataFrame, total: float | None = N
 
 
 def mix_shares(counts: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED) -> DataFrame:
-    """``source, target_share, max_repeats, held_tokens, mix_tokens, documents, most_repeats, actual_share`` of each source of the mix."""
+    """``source, target_share, max_repeats, held_tokens, wanted_tokens, mix_tokens, documents, most_repeats, actual_share`` of
+    each source of the mix; ``wanted_tokens`` is what water-filling gives it, and ``mix_tokens`` is that to within one document."""
     plan = counts.sparkSession.createDataFrame(_allocate(counts, targets, total), _PLAN)
     got = mix_documents(counts, targets, total, seed).groupBy(F.col("source").alias("s")).agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mix"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most"))
     mix = F.coalesce("mix", F.lit(0))
     return plan.join(got, F.col("source") == F.col("s"), "left").select(
-        "source", "target_share", "max_repeats", F.col("held").alias("held_tokens"), mix.alias("mix_tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most", F.lit(0)).alias("most_repeats"), F.coalesce(F.try_divide(mix, F.sum(mix).over(Window.partitionBy(F.lit(1)))), F.lit(0.0)).alias("actual_share")
+        "source", "target_share", "max_repeats", F.col("held").alias("held_tokens"), F.col("wanted").alias("wanted_tokens"), mix.alias("mix_tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most", F.lit(0)).alias("most_repeats"), F.coalesce(F.try_divide(mix, F.sum(mix).over(Window.partitionBy(F.lit(1)))), F.lit(0.0)).alias("actual_share")
     )
 
 
+def held_tokens(counts: DataFrame, targets: DataFrame) -> int:
+    """All tokens of the sources that ``targets`` lists."""
+    listed = targets.select(source_name(F.col("source")).alias("source")).distinct()  # one row for each source of the stated mix
+    return counts.join(F.broadcast(listed), "source", "left_semi").agg(F.sum("tokens")).first()[0] or 0
+
+
+def char_counts(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """As :func:`token_counts`, with characters for tokens."""
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_key"), source_name(F.col(source)).alias("source"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("tokens"))
+
+
 def counted(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """:func:`token_counts`, written once."""
     return cut_lineage(token_counts(df, key, text, source))
