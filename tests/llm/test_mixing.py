@@ -71,8 +71,3 @@ def test_names(spark):
     df = spark.createDataFrame([(" Local-SRT ",), ("local srt",), ("",), (None,), ("-",)], "s string")
     assert [r[0] for r in df.select(source_name(df.s)).collect()] == ["local_srt", "local_srt", None, None, None]
     assert mixing.TOKENIZER_DIR
-
-
-def test_pattern_is_that_of_the_vocabulary():
-    public = pytest.importorskip("public_tokenizers")
-    assert mixing.PATTERN == public.PATTERN

@@ -22,8 +22,6 @@ from textloom.tables import cut_lineage
 
 #: Where the vocabulary files of the public tokenizers are, and which one counts.
 TOKENIZER_DIR, TOKENIZER = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
-# Fixed value: the pattern this vocabulary was made with.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEED, BUCKETS = 7, 1 << 14
 
 _ENCODINGS: dict[str, Any] = {}
@@ -34,6 +32,7 @@ def encoding(folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> Any:
     path = os.path.join(folder, name)
     if path not in _ENCODINGS:
         import tiktoken
+        from public_tokenizers import PATTERN  # the pattern these vocabularies were made with
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
