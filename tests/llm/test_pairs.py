@@ -72,4 +72,61 @@ def test_closings_are_counted():
 
 
 def test_lists_are_lower_case():
-    assert all(r == r.lower() for r in pairs.REFUSALS)
+    phrases = [p for lists in (pairs.CANNOT, pairs.ASKED) for own in lists.values() for p in own] + pairs.SERVICE
+    assert all(p == p.lower() for p in phrases)
+
+
+# Ordinary sentences in eight languages, none of them like the test tables'.
+PARALLEL = [
+    {"en": "The committee will publish the results of the survey next month, but the members have not agreed on the budget.", "es": "El comité publicará los resultados de la encuesta el próximo mes, pero los miembros no se han puesto de acuerdo sobre el presupuesto.", "pt": "O comitê vai publicar os resultados da pesquisa no próximo mês, mas os membros não chegaram a um acordo sobre o orçamento.", "fr": "Le comité publiera les résultats de l'enquête le mois prochain, mais les membres ne se sont pas mis d'accord sur le budget.", "de": "Der Ausschuss wird die Ergebnisse der Umfrage im nächsten Monat veröffentlichen, aber die Mitglieder haben sich nicht auf das Budget geeinigt.", "ru": "Комитет опубликует результаты опроса в следующем месяце, но члены комитета не договорились о бюджете.", "zh": "委员会将在下个月公布调查结果，但成员们还没有就预算达成一致。", "ja": "委員会は来月に調査の結果を公表しますが、委員たちは予算についてまだ合意していません。"},
+    {"en": "My sister works in a hospital and she often comes home late because the trains are slow.", "es": "Mi hermana trabaja en un hospital y a menudo llega tarde a casa porque los trenes son lentos.", "pt": "Minha irmã trabalha em um hospital e muitas vezes chega tarde em casa porque os trens são lentos.", "fr": "Ma sœur travaille dans un hôpital et elle rentre souvent tard à la maison parce que les trains sont lents.", "de": "Meine Schwester arbeitet in einem Krankenhaus und kommt oft spät nach Hause, weil die Züge langsam sind.", "ru": "Моя сестра работает в больнице и часто приходит домой поздно, потому что поезда ходят медленно.", "zh": "我的姐姐在医院工作，因为火车很慢，她经常很晚才回家。", "ja": "私の姉は病院で働いていて、電車が遅いのでよく遅く家に帰ります。"},
+    {"en": "If you want to learn a language, you should read every day and speak with people who use it.", "es": "Si quieres aprender un idioma, debes leer todos los días y hablar con la gente que lo usa.", "pt": "Se você quer aprender uma língua, deve ler todos os dias e falar com as pessoas que a usam.", "fr": "Si vous voulez apprendre une langue, vous devriez lire tous les jours et parler avec les gens qui l'utilisent.", "de": "Wenn du eine Sprache lernen willst, solltest du jeden Tag lesen und mit den Menschen sprechen, die sie benutzen.", "ru": "Если вы хотите выучить язык, вам надо читать каждый день и говорить с людьми, которые на нём говорят.", "zh": "如果你想学习一门语言，就应该每天阅读，并和使用这门语言的人交谈。", "ja": "言語を学びたいなら、毎日読んで、その言語を使う人たちと話すべきです。"},
+    {"en": "The new bridge was opened in 1987. It carries more than forty thousand cars a day.", "es": "El nuevo puente se abrió en 1987. Por él pasan más de cuarenta mil coches al día.", "pt": "A nova ponte foi aberta em 1987. Por ela passam mais de quarenta mil carros por dia.", "fr": "Le nouveau pont a été ouvert en 1987. Plus de quarante mille voitures y passent par jour.", "de": "Die neue Brücke wurde 1987 eröffnet. Mehr als vierzigtausend Autos fahren jeden Tag darüber.", "ru": "Новый мост был открыт в 1987 году. По нему проезжает более сорока тысяч машин в день.", "zh": "新桥于1987年通车。每天有四万多辆汽车从桥上经过。", "ja": "新しい橋は1987年に開通しました。毎日四万台以上の車が通ります。"},
+]
+REFUSED = {
+    "en": ["I won't be able to provide that.", "I'm sorry, that request goes against policy.", "Sorry, I can't help with this one.", "Unfortunately I am not able to complete this request.", "The translation failed because of an error."],
+    "es": ["Lo siento, pero no me es posible ayudarte con eso.", "No puedo responder a esta solicitud.", "Esa petición va en contra de nuestras normas.", "No se pudo procesar la traducción."],
+    "pt": ["Desculpe, não consigo ajudar com esse pedido.", "Infelizmente não é possível traduzir este trecho.", "Não posso fornecer esse conteúdo."],
+    "fr": ["Désolé, je ne suis pas en mesure de répondre à cette demande.", "Il m'est impossible de traduire ce passage.", "La traduction a échoué."],
+    "de": ["Es tut mir leid, dabei kann ich leider nicht weiterhelfen.", "Diese Anfrage verstößt gegen die Richtlinien.", "Ich bin nicht in der Lage, diesen Text zu übersetzen."],
+    "ru": ["Извините, я не смогу выполнить этот запрос.", "К сожалению, не удалось обработать текст: перевод недоступен.", "Я не могу с этим помочь."],
+    "zh": ["抱歉，我不能协助完成这个请求。", "很遗憾，无法提供该内容的翻译。"],
+    "ja": ["申し訳ありませんが、そのご要望にはお応えできません。", "この文章は翻訳できませんでした。"],
+}
+
+
+def held_out():
+    """``prompt, response, target, defect`` of every kind, from the sentences above."""
+    rnd = random.Random(9)
+    out = []
+    for n, row in enumerate(PARALLEL):
+        for a in row:
+            for b in row:
+                if a == b:
+                    continue
+                p, r = row[a], row[b]
+                out.append((p, r, b, None))
+                out.append((p, r.rstrip(".。"), b, None))
+                if n < 2:
+                    out.append((p, rnd.choice(["", " ", "…", "—"]), b, "empty"))
+                    out.append((p, p.upper() if rnd.random() < 0.5 else p.rstrip(".。"), b, "copy"))
+                    other = rnd.choice([x for x in row if x not in (a, b)])
+                    out.append((p, row[other], b, "wrong_language"))
+                cut = r[: int(len(r) * rnd.uniform(0.3, 0.6))]
+                out.append((p, cut.rstrip() if b in ("zh", "ja") else cut.rsplit(" ", 1)[0], b, "truncated"))
+    out += [(PARALLEL[i % 4]["en" if b != "en" else "de"], r, b, "refusal") for b, own in REFUSED.items() for i, r in enumerate(own)]
+    out += [(PARALLEL[i % 4]["fr"], r, "de", "refusal") for i, r in enumerate(REFUSED["en"])]
+    # What people say in a text that is translated is no refusal.
+    out += [("I cannot help you with the translation, she said.", "Ich kann dir bei der Übersetzung nicht helfen, sagte sie.", "de", None), ("Он не может ответить.", "No puede responder.", "es", None), ("They could not come to the garden.", "Sie konnten nicht in den Garten kommen.", "de", None)]
+    return out
+
+
+def test_held_out_sentences(spark):
+    cases = held_out()
+    df = spark.createDataFrame([(i, p, r, t) for i, (p, r, t, _) in enumerate(cases)], "k long, p string, r string, t string")
+    got = dict(rows(broken_pairs(df, "k", "p", "r", "t")))
+    for defect in ("empty", "truncated", "refusal", "copy", "wrong_language"):
+        true, found = {i for i, c in enumerate(cases) if c[3] == defect}, {i for i, d in got.items() if d == defect}
+        assert len(true) > 20
+        for share in (len(true & found) / len(true), len(true & found) / max(1, len(found))):
+            assert share >= 0.9, (defect, share, [cases[i] + (got.get(i),) for i in true ^ found][:8])

@@ -20,32 +20,49 @@ from pyspark.sql import functions as F
 from textloom.llm import boundaries as B
 from textloom.tables import cut_lineage
 
-# Frequent function words of each language.
+# The function words of each language, most frequent first.
 STOPWORDS = {
-    "en": "the and of in to a an is was that at on by with for it as his her they were are this you not did from under near beside during after before yesterday two ago i do go know see some things had all be but he she we have will would there what which who",
-    "es": "el la los las y en de del un una que al por con se lo su es no más antes después ayer hace dos días bajo junto según véase algunas cosas faltaban para como pero este esta son fue era ya muy sin sobre también",
-    "pt": "o a os as e em no na nos nas do da dos das um uma que ao à por com se não mais antes depois ontem há dois dias sob perto segundo veja algumas coisas faltavam para como mas este esta são foi era lhe já muito sem sobre também você de",
-    "fr": "le la les et en du des un une que au aux à dans sur sous par avec se ne pas plus avant après hier il y a deux jours près selon voir choses manquait pour comme mais ce cette sont fut était lui déjà très sans aussi vous de d l est on qui",
-    "de": "der die das und in im den dem des ein eine einen am auf mit von zu nicht ist war vor nach gestern zwei tagen unter neben laut siehe einiges fehlte für wie aber dieser diese sind er sie es sich auch so ich wir ihr an aus bei bis wussten rief",
-    "ru": "и в во на не что с со по к у за под из он она они это был была вы мы я но как его её до после вчера два дня назад словам см стр рис знали же бы от для о об при",
+    "en": "the of and to in a is that for it as was with be by on not he i this are or his from at which but have an had they you were their there we can her has all been if would who so no will what she do when my him them your me its our than then very just into about could after before between under while because these those where how does did here also only",
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando esta ser son también fue había era muy hasta desde nos durante ni contra ese eso qué quien donde porque unos unas ellos él mi tu te les e está están antes después según",
+    "pt": "de a o que e do da em um para com não uma os no se na por mais as dos como mas ao ele das à seu sua ou quando muito nos já eu também só pelo pela até isso ela entre depois sem mesmo aos seus quem nas me esse eles você essa num nem suas meu às minha lhe está é são foi era há ser sobre sob antes durante onde este esta",
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont ou avec son aux elle comme mais on nous vous je tu sa ses leur si cette été fait ces entre sans très l d qu n s c j y lui être tout où quand sous vers chez après avant pendant aussi donc était fut ont ni",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde unter zwischen gegen ohne seit wenn wer was wann wo kein keine ich du wir ihr ihre seine weil dieser diese dieses",
+    "ru": "и в не на я что он с как это по но из у за же от так для мы к то вы бы о его её их она они оно мне меня нас вас ему ей под над при до без через между или если когда где кто ни ли был была были было есть со ко об уже ещё только также потому чтобы этот эта эти тот та",
 }
-_VOTES: dict[str, list[str]] = {}
+# What a word says for a language: more, the more frequent it is there.
+_VOTES: dict[str, list[tuple[str, float]]] = {}
 for _lang, _words in STOPWORDS.items():
-    for _w in _words.split():
-        _VOTES.setdefault(_w, []).append(_lang)
+    for _rank, _w in enumerate(_words.split()):
+        _VOTES.setdefault(_w, []).append((_lang, 25 / (25 + _rank)))
 # Letters that only some of the languages use.
 _LETTERS = {"ñ": ["es"], "¿": ["es"], "¡": ["es"], "ã": ["pt"], "õ": ["pt"], "ç": ["pt", "fr"], "ê": ["pt", "fr"], "è": ["fr"], "û": ["fr"], "î": ["fr"], "œ": ["fr"], "ß": ["de"], "ä": ["de"], "ö": ["de"], "ü": ["de"], "â": ["pt", "fr"], "à": ["pt", "fr"], "ù": ["fr"], "ô": ["pt", "fr"], "á": ["es", "pt"], "í": ["es", "pt"], "ó": ["es", "pt"], "ú": ["es", "pt"]}
 
-# What a service says when it declines or reports failure, in lower case.
-REFUSALS = [
-    "cannot translate", "can't translate", "can not translate", "unable to translate", "unable to help with", "not able to translate", "cannot help with", "can't help with", "i can't do that", "i cannot do that", "as an assistant", "as an ai", "language model", "against my guidelines", "against our guidelines", "cannot assist", "can't assist", "unable to assist", "cannot fulfill", "cannot process", "provide another text", "translation_failed", "translation failed", "no answer came", "request failed", "could not be translated",
-    "no puedo traducir", "no es posible traducir", "no puedo ayudar", "no puedo hacer eso", "como asistente", "modelo de lenguaje",
-    "não posso traduzir", "não consigo traduzir", "não sei traduzir", "não posso ajudar", "como assistente", "modelo de linguagem",
-    "ne peux pas traduire", "ne sais pas traduire", "impossible de traduire", "ne peux pas vous aider", "en tant qu'assistant", "modèle de langage",
-    "nicht übersetzen", "nicht übersetzt werden", "als sprachmodell", "als ki", "kann ich nicht helfen", "dabei nicht helfen",
-    "не могу перевести", "не могу это перевести", "не удалось перевести", "не могу помочь", "языковая модель", "как ассистент", "как ии",
-    "无法翻译", "不能翻译", "翻译不了", "无法处理", "无法提供", "无法协助", "作为ai", "作为一个ai", "语言模型", "翻译失败",
-    "翻訳できません", "翻訳することはできません", "訳せない", "訳せません", "翻訳できない", "お手伝いできません", "言語モデル", "翻訳に失敗",
+# How inability or refusal is said, and what a service is asked to do, in lower case. Both in one sentence refuse.
+CANNOT = {
+    "en": ["cannot", "can't", "can not", "unable", "not able to", "won't", "will not", "couldn't", "could not", "not allowed", "not permitted", "not possible", "impossible to", "failed", "refuse", "decline", "against", "violate", "no answer", "no response", "not going to"],
+    "es": ["no puedo", "no podemos", "no podré", "no pude", "no es posible", "no me es posible", "no se pudo", "no ha sido posible", "no sé", "no soy capaz", "no estoy en condiciones", "imposible", "me niego", "en contra de", "error al", "no puedes pedirme", "no me está permitido"],
+    "pt": ["não posso", "não podemos", "não consigo", "não consegui", "não poderei", "não pude", "não é possível", "não foi possível", "não sei", "não sou capaz", "impossível", "recuso", "contra as", "não me é permitido", "erro ao"],
+    "fr": ["ne peux pas", "ne peux malheureusement pas", "ne pouvons pas", "ne pourrai pas", "ne suis pas en mesure", "pas possible", "n'est pas possible", "n'ai pas pu", "ne sais pas", "incapable de", "impossible", "refuse de", "contraire à", "contre mes", "échec", "a échoué", "ne m'est pas permis"],
+    "de": ["kann ich nicht", "kann ich leider nicht", "kann das nicht", "kann das leider nicht", "kann dies", "kann diesen", "kann dir", "kann ihnen", "kann leider nicht", "kann ich das nicht", "können wir nicht", "können wir leider nicht", "nicht in der lage", "nicht möglich", "konnte nicht", "konnten nicht", "leider nicht", "nicht erlaubt", "verstößt gegen", "gegen meine", "fehlgeschlagen", "lehne", "weigere"],
+    "ru": ["не могу", "не можем", "не смогу", "не смог", "не удалось", "не получится", "не способ", "не в состоянии", "невозможно", "не имею возможности", "отказыва", "вынужден отказать", "противоречит", "нарушает", "не разрешено", "ошибка при"],
+    "zh": ["无法", "不能", "不了", "不可以", "没办法", "没法", "拒绝", "不允许", "违反", "失败"],
+    "ja": ["できません", "できない", "できかねます", "られません", "られない", "せません", "せない", "不可能", "お断り", "失敗", "違反", "しかねます"],
+}
+ASKED = {
+    "en": ["translat", "help", "assist", "provide", "fulfil", "comply", "process", "respond", "answer", "request", "complete", "generate", "do that", "do this", "policy", "policies", "guideline", "content", "came"],
+    "es": ["traduc", "traduzc", "ayudar", "asistir", "proporcionar", "ofrecer", "responder", "procesar", "cumplir", "completar", "hacer eso", "solicitud", "petición", "política", "normas", "contenido"],
+    "pt": ["tradu", "ajudar", "auxiliar", "fornecer", "responder", "processar", "atender", "completar", "fazer isso", "solicitação", "pedido", "política", "diretrizes", "conteúdo"],
+    "fr": ["tradui", "traduc", "aider", "assister", "fournir", "répondre", "traiter", "donner suite", "effectuer", "demande", "requête", "politique", "règles", "consignes", "contenu"],
+    "de": ["übersetz", "helfen", "weiterhelfen", "unterstützen", "bereitstellen", "beantworten", "bearbeiten", "verarbeiten", "erfüllen", "liefern", "anfrage", "richtlinie", "inhalt"],
+    "ru": ["перевести", "перевод", "переве", "помочь", "помощ", "предоставить", "ответить", "выполнить", "обработать", "запрос", "правил", "политик", "содержан"],
+    "zh": ["翻译", "译", "帮助", "帮", "协助", "提供", "回答", "处理", "完成", "满足", "请求", "政策", "准则", "规定"],
+    "ja": ["翻訳", "訳", "手伝い", "提供", "お答え", "回答", "対応", "応じ", "処理", "お力", "リクエスト", "ご要望", "ポリシー", "ガイドライン"],
+}
+# What only a service says.
+SERVICE = [
+    "as an ai", "as an assistant", "as a language model", "language model", "translation_failed", "i'm an ai", "i am an ai",
+    "como asistente", "modelo de lenguaje", "como ia", "como assistente", "modelo de linguagem", "en tant qu'assistant", "en tant qu'ia", "modèle de langage",
+    "als sprachmodell", "als ki", "als assistent", "языковая модель", "как ассистент", "как ии", "作为ai", "作为一个ai", "作为人工智能", "语言模型", "言語モデル", "aiとして", "aiアシスタント",
 ]
 
 # Letters and digits of a response for each of an English text's, before anything is learned.
@@ -53,6 +70,8 @@ PRIOR = {"en": 1.0, "es": 1.02, "pt": 0.98, "fr": 1.02, "de": 1.03, "ru": 0.8, "
 PRIOR_WEIGHT = 20
 #: Letters and digits of a prompt from which on its pair is learned from.
 LEAST_LETTERS = 15
+#: The share of a response from which on it is a copy.
+COPIED = 0.9
 # The share of a word's occurrences that close a sentence, before anything is learned, and the occurrences it counts as;
 # and the share under which a text that stops at the word without an end mark breaks off there.
 CLOSING_PRIOR, CLOSING_WEIGHT, CLOSING_SHARE = 0.08, 4, 0.15
@@ -68,21 +87,46 @@ _FINISH = re.compile(r"([.!?。！？｡]+|…+|\.{3,})[\s»”」』\"'’“)\
 
 
 def _automaton() -> ahocorasick.Automaton:
+    """All phrases, each with what it says: ``(language, whether it refuses)``, or None for what only a service says."""
+    said: dict[str, list[tuple[str, bool] | None]] = {p: [None] for p in SERVICE}
+    for refuses_, lists in ((True, CANNOT), (False, ASKED)):
+        for lang, phrases in lists.items():
+            for p in phrases:
+                said.setdefault(p, []).append((lang, refuses_))
     a = ahocorasick.Automaton()
-    for r in REFUSALS:
-        a.add_word(r, r)
+    for p, what in said.items():
+        a.add_word(p, (len(p), what))
     a.make_automaton()
     return a
 
 
 _AUTOMATON: list[ahocorasick.Automaton] = []
+_SENTENCE_END = re.compile(r"[.!?。！？\n]")
 
 
 def refuses(text: str) -> bool:
-    """Whether ``text`` holds a phrase of refusal or failure."""
+    """Whether a sentence of ``text`` says that something asked of a service isn't done, or ``text`` speaks as a service.
+
+    A phrase counts from the start of a word on.
+    """
     if not _AUTOMATON:
         _AUTOMATON.append(_automaton())
-    return next(_AUTOMATON[0].iter(text.lower().replace("’", "'")), None) is not None
+    low = text.lower().replace("’", "'")
+    sentence, said = 0, set()
+    for last, (n, whats) in _AUTOMATON[0].iter(low):
+        begin = last - n + 1
+        if begin and low[begin - 1].isalpha() and low[begin] < "\u3000":
+            continue
+        if sentence <= begin and _SENTENCE_END.search(low, sentence, begin):
+            sentence = begin
+            said.clear()
+        for what in whats:
+            if what is None:
+                return True
+            said.add(what)
+            if (what[0], not what[1]) in said:
+                return True
+    return False
 
 
 def vote(text: str) -> str | None:
@@ -96,8 +140,8 @@ def vote(text: str) -> str | None:
     tally: dict[str, float] = {}
     for w in re.findall(r"[^\W\d_]+", low):
         hits = _VOTES.get(w, ())
-        for k in hits:
-            tally[k] = tally.get(k, 0.0) + 1.0 / len(hits) ** 0.5
+        for k, weight in hits:
+            tally[k] = tally.get(k, 0.0) + weight / len(hits) ** 0.5
     for c in set(low) & _LETTERS.keys():
         for k in _LETTERS[c]:
             tally[k] = tally.get(k, 0.0) + 1.0
@@ -157,7 +201,8 @@ class SuffixAutomaton:
 
 
 def copied_share(prompt: str, response: str) -> float:
-    """The share of the longer of the two, in words, that the response copies from the prompt.
+    """The share of the longer of the two, in words, that the response copies from the prompt; 0 where it is under
+    :data:`COPIED` for want of common words.
 
     A heading word before a colon isn't counted to the response.
     """
@@ -167,7 +212,12 @@ def copied_share(prompt: str, response: str) -> float:
     head, colon, rest = response.partition(":")
     if colon and len(_TOKEN.findall(head)) <= 3 and not prompt.lstrip().casefold().startswith(head.strip().casefold()):
         r = _TOKEN.findall(rest.casefold()) or r
-    return SuffixAutomaton(p).copied(r, min(3, len(p))) / max(len(p), len(r))
+    most = max(len(p), len(r))
+    held = set(p)
+    # Words that the prompt doesn't hold aren't copied: where too many are, the automaton would only say so again.
+    if sum(w in held for w in r) < COPIED * most:
+        return 0.0
+    return SuffixAutomaton(p).copied(r, min(3, len(p))) / most
 
 
 def open_delimiters(text: str) -> int:
@@ -291,7 +341,7 @@ def broken_pairs(df: DataFrame, key: str, prompt: str, response: str, target: st
         F.when(F.col("fixed") | (F.col("prompt_n") == 0), None)
         .when(F.col("response_n") == 0, "empty")
         .when(F.col("refusal"), "refusal")
-        .when((F.col("copied") >= 0.9) & ~F.col("prompt_lang").eqNullSafe(F.col("target")), "copy")
+        .when((F.col("copied") >= COPIED) & ~F.col("prompt_lang").eqNullSafe(F.col("target")), "copy")
         .when(F.col("response_lang").isNotNull() & (F.col("target") != "") & (F.col("response_lang") != F.col("target")) & ~F.col("response_lang").eqNullSafe(F.col("prompt_lang")), "wrong_language")
         .when((F.col("response_lang").isNull() | (F.col("response_lang") == F.col("target"))) & lacks, "truncated")
     )
