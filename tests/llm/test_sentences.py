@@ -7,7 +7,7 @@ import pytest
 from tests.conftest import rows
 from textloom.llm import boundaries as B
 from textloom.llm import sentences
-from textloom.llm.sentences import run_on_ends, run_on_units, whole_text_units
+from textloom.llm.sentences import run_on_ends, run_on_units, whole_text_ends, whole_text_units
 
 GOLDEN = {
     "See p. 100 and fig. 6: the painter forgot the key. At 3 a.m. the postman left.": 2,
@@ -35,22 +35,87 @@ def test_whole_texts(text):
     assert ends == sorted(set(ends)) and (not ends or ends[-1] == len(text.rstrip()))
 
 
+WORDS = ["“Wait!", "go!”", "called", "the", "man.", "Dr.", "Who", "etc.", "At", "3", "3.", "am", "Am", "31.", "a.", "a.m.", "m.", "z.", "B.", "等等！", "”", "说", "了。", "...", "…", "and", "«Ну", "да.»", "да!", "»", "— он", '"Yes."', '"', "„Geh", "nicht!“", "Next?", "т.", "д.", "и", "(No.)", "「待って！", "行かないで！」と", "!”", "?!", ") ", "- Hi", "と", "\n", "12", "5", "E.", "Kap."]
+
+
+def random_text(rnd, n):
+    return "".join(rnd.choice(WORDS) + rnd.choice([" ", " ", " ", "  ", "\n", ""]) for _ in range(n))
+
+
 def sequential(texts):
-    out, state = [], 0
-    for i, t in enumerate(texts):
-        cls, said = B.right_class("\n".join(x or "" for x in texts[i + 1 :]))
-        ends, state = B.replay([e for e in B.scan_events(t or "", False)], state, cls, said)
-        out.append(sorted(set(ends)))
+    """The ends in each of the texts joined by blanks, read as one."""
+    joined = B.chunk_ends(["\n".join(x or "" for x in texts)], False)
+    out, begin = [], 0
+    for t in texts:
+        n = len(t or "")
+        out.append([e - begin for e in joined if begin < e <= begin + n])
+        begin += n + 1
+    assert sum(map(len, out)) == len(joined)
     return out
 
 
+def test_every_cut_at_blanks_gives_the_ends_of_the_whole():
+    rnd = random.Random(11)
+    for _ in range(3000):
+        text = random_text(rnd, rnd.randrange(1, 14))
+        places = [i + 1 for i, c in enumerate(text) if c.isspace() and i + 1 < len(text)]
+        cuts = sorted(rnd.sample(places, rnd.randrange(len(places) + 1)))
+        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        assert B.chunk_ends(parts, False) == B.chunk_ends([text], False), (text, cuts)
+
+
+def test_complete_texts_in_chunks_have_the_same_ends():
+    rnd = random.Random(12)
+    fill = ["the man", "老师买下了信在学校旁边", "он ушёл", "der Hafen"]
+    for _ in range(2000):
+        text = "".join(rnd.choice(WORDS + 6 * fill) + rnd.choice([" ", " ", " ", "", "\n"]) for _ in range(rnd.randrange(1, 30)))
+        if not any(c.isalnum() for c in text):
+            continue
+        cuts = list(B.cut_text(text, 3))
+        assert cuts[0][0] == 0 and cuts[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:], strict=False))
+        assert B.chunk_ends([text[a:b] for a, b in cuts], True) == B.whole_text_ends(text), (text, cuts)
+
+
+def test_rows_are_read_as_one_text():
+    assert sequential(["He waited.", "... Then he left."]) == [[10], [17]]
+    assert sequential(["Am", "7. Mai kam er. Er ging."]) == [[], [14, 23]] and sequential(["At", "7. Then"]) == [[], [2]]
+    assert sequential(["« Attends !", "» cria l'homme. Voir"]) == [[], [15]] and sequential(["Attends !", "» Il part."]) == [[], [1, 10]]
+
+
+def test_quotations_of_any_length():
+    inside = "This is sentence number {}! "
+    said = "“" + "".join(inside.format(i) for i in range(30)).strip() + "” said the man. He left."
+    assert B.whole_text_ends(said) == [len(said) - 9, len(said)]
+    never = "“" + "".join(inside.format(i) for i in range(8)).strip()
+    assert len(B.whole_text_ends(never)) == 8
+    assert len(B.whole_text_ends("“Wait! Do not go! Come")) == 1  # breaks off in a quotation
+    assert len(B.whole_text_ends("“One. Two. “Three. Four.” said he.")) == 3
+
+
 def test_composition_is_associative_and_exact():
     rnd = random.Random(5)
-    symbols = [bytes(rnd.randrange(15) for _ in range(rnd.randrange(6))) for _ in range(40)]
-    whole = B.function_of(b"".join(symbols))
-    for cut in (0, 7, 40):
-        left, right = B.function_of(b"".join(symbols[:cut])), B.function_of(b"".join(symbols[cut:]))
-        assert B.compose(left, right) == whole
+    chunks = [random_text(rnd, rnd.randrange(6)) + " " for _ in range(40)]
+    functions = [B.function_of(e, B.edge_of(t, e)) for t in chunks for e in [B.scan_events(t, False)]]
+    rights = [B.right_of(t, B.scan_events(t, False)) for t in chunks]
+
+    def fold(fs):
+        out = B.IDENTITY
+        for f in fs:
+            out = B.compose(out, f)
+        return out
+
+    def join(rs):
+        out = B.EMPTY
+        for r in reversed(rs):
+            out = r.then(out)
+        return out
+
+    for cut in (0, 7, 23, 40):
+        assert B.compose(fold(functions[:cut]), fold(functions[cut:])) == fold(functions)
+        assert join(rights[:cut]).then(join(rights[cut:])) == join(rights)
+    whole = "".join(chunks)
+    e = B.scan_events(whole, False)
+    assert B.function_of(e, B.edge_of(whole, e))[B.START] == fold(functions)[B.START]
 
 
 @pytest.mark.parametrize("block", [2, 5, 512])
@@ -58,10 +123,9 @@ def test_scan_equals_reading_in_order(spark, monkeypatch, block):
     monkeypatch.setattr(sentences, "BLOCK", block)
     monkeypatch.setattr(sentences, "SUPER", 3)
     rnd = random.Random(block)
-    words = ["“Wait!", "go!”", "called", "the", "man.", "Dr.", "Who", "etc.", "At", "3", "a.m.", "z.", "B.", "等等！", "”", "说", "了。", "...", "and", "«Ну", "да.»", "— он", '"Yes."', "", "Next?"]
     data, want = [], {}
     for track in ("a", "b"):
-        texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 5))) or None for _ in range(60)]
+        texts = [random_text(rnd, rnd.randrange(0, 5)) or None for _ in range(60)]
         keys = [len(data) + i for i in range(len(texts))]
         data += [(track, i, k, t) for i, (k, t) in enumerate(zip(keys, texts, strict=True))]
         for k, e in zip(keys, sequential(texts), strict=True):
@@ -91,3 +155,12 @@ def test_whole_units(spark):
     got = rows(whole_text_units(df, "k", "x"))
     assert [g for g in got if g[0] == 1] == [(1, 1, 4, "One."), (1, 1, 4, "One."), (1, 2, 9, "Two."), (1, 2, 9, "Two.")]
     assert {g[0] for g in got} == {1, 5}
+
+
+def test_long_texts_are_scanned_in_chunks(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(["the man left.", "Dr. Who", "“Wait! Go!”", "he said", "Am 3. Mai", "等等！别走"]) for _ in range(n)) for n in (900, 5, 2000)]
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[0])], "k long, x string")
+    want = sorted([(i, e) for i in (0, 0, 1, 2) for e in B.replay(*(lambda ev, t: (ev, B.edge_of(t, ev), B.START, B.right_of(t, ev), B.END))(B.scan_events(texts[i], True, True), texts[i]))], key=repr)
+    assert rows(whole_text_ends(df, "k", "x")) == want
+    assert len(rows(whole_text_units(df.where("k = 2"), "k", "x"))) == len([w for w in want if w[0] == 2])

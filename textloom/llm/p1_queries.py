@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.sentences import run_on_ends, run_on_units, whole_text_units
+from textloom.llm.sentences import run_on_ends, run_on_units, whole_text_ends, whole_text_units
 from textloom.tables import table
 
 
@@ -16,7 +16,7 @@ def _manual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = run_on_ends(_manual(spark, sf_dir), "track_id", "pos", "row_id", "text").select(F.lit("raw_segments").alias("source_table"), "row_key", "end_char")
-    shown = whole_text_units(table(spark, sf_dir, "subtitle_segments", "seg_key", "translated_text"), "seg_key", "translated_text")
+    shown = whole_text_ends(table(spark, sf_dir, "subtitle_segments", "seg_key", "translated_text"), "seg_key", "translated_text")
     return raw.unionByName(shown.select(F.lit("subtitle_segments").alias("source_table"), "row_key", "end_char"))
 
 

@@ -77,7 +77,8 @@ COPIED = 0.9
 CLOSING_PRIOR, CLOSING_WEIGHT, CLOSING_SHARE = 0.08, 4, 0.15
 
 _TOKEN = re.compile(r"[぀-ヿ㐀-䶿一-鿿]|[^\W_぀-ヿ㐀-䶿一-鿿]+")
-_ALNUM = re.compile(r"[^\W_]")
+_ALNUM = re.compile(r"[^\W_]+")
+_LETTERS_RUN, _KANA, _HAN, _CYRILLIC = re.compile(r"[^\W\d_]+"), re.compile(r"[぀-ヿ]+"), re.compile(r"[㐀-䶿一-鿿]+"), re.compile(r"[а-яё]")
 _NAME = re.compile(r"\d[\d.,:]*\Z|[A-Z][\w'’\-]*\Z|[A-Z0-9][A-Z0-9\-.]*\Z")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】"}
 _MARKS = re.compile("[" + "".join(map(re.escape, sorted({*_PAIRS, *"".join(_PAIRS.values())}))) + "]")
@@ -131,22 +132,22 @@ def refuses(text: str) -> bool:
 
 def vote(text: str) -> str | None:
     """The language that the script, the stopwords and the letters of ``text`` speak for; None if none leads."""
-    kana = len(re.findall(r"[぀-ヿ]", text))
-    han = len(re.findall(r"[㐀-䶿一-鿿]", text))
-    latin = len(re.findall(r"[^\W\d_぀-ヿ㐀-䶿一-鿿]", text))
-    if kana + han > latin / 2:
-        return "ja" if kana * 8 > han else "zh"
     low = text.lower()
+    words = _LETTERS_RUN.findall(low)
+    if not low.isascii():
+        kana, han = (sum(map(len, p.findall(low))) for p in (_KANA, _HAN))
+        if kana + han > (sum(map(len, words)) - kana - han) / 2:
+            return "ja" if kana * 8 > han else "zh"
+        if _CYRILLIC.search(low):
+            return "ru"
     tally: dict[str, float] = {}
-    for w in re.findall(r"[^\W\d_]+", low):
+    for w in words:
         hits = _VOTES.get(w, ())
         for k, weight in hits:
             tally[k] = tally.get(k, 0.0) + weight / len(hits) ** 0.5
     for c in set(low) & _LETTERS.keys():
         for k in _LETTERS[c]:
             tally[k] = tally.get(k, 0.0) + 1.0
-    if re.search(r"[а-яё]", low):
-        return "ru"
     ranked = sorted(tally.items(), key=lambda x: -x[1])
     return ranked[0][0] if ranked and (len(ranked) == 1 or ranked[0][1] > ranked[1][1]) else None
 
@@ -290,7 +291,7 @@ def _figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, dict[str, list[int]]] = {}
         for key, prompt, response, target in zip(batch["k"], batch["p"], batch["r"], batch["t"], strict=True):
             prompt, response = prompt or "", response or ""
-            pn, rn = len(_ALNUM.findall(prompt)), len(_ALNUM.findall(response))
+            pn, rn = sum(map(len, _ALNUM.findall(prompt))), sum(map(len, _ALNUM.findall(response)))
             if not pn or not rn:
                 rows.append((key, target, pn, rn, None, None, invariant(prompt), False, 0.0, "none", None, 0, 0, None))
                 continue
