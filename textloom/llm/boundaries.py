@@ -96,6 +96,7 @@ def _tables() -> tuple[list[bytes], list[bytes], list[bytes]]:
 #: By 4 * symbol + what lies between: the state each state leads to, and what the event does. By 4 * tail + what lies between the
 #: last event and the chunk's end: the same for the edge.
 TO, DOES, EDGE = _tables()
+EDGE_AT_END = BLANKS
 IDENTITY = bytes(range(STATES))
 
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ々〆"
@@ -288,10 +289,16 @@ _TAIL, _HEAD = 10, 12
 END, EMPTY = Right(E, 0, 0), Right(PASS, 2, 0)
 
 
+def _tail_of(text: str) -> int:
+    """How a chunk ends: what doesn't end in a mark, or ends in dots, breaks off (2)."""
+    body = text.rstrip(_TRAIL)
+    return 0 if not body else 1 if body[-1] in _MARKS and not body.endswith(("…", "..")) else 2
+
+
 def right_of(text: str, events: list[Event]) -> Right:
-    marks = 0
+    marks = _tail_of(text) << _TAIL
     for _, symbol, _, _ in reversed(events):
-        for style in range(1, 6):
+        for style in range(1, 6) if symbol >= Q_OPEN_E else ():
             shift = 2 * style - 2
             if symbol in _CLOSED_BY[style]:
                 marks = marks & ~(3 << shift) | 1 << shift
@@ -299,9 +306,6 @@ def right_of(text: str, events: list[Event]) -> Right:
                 marks = marks & ~(3 << shift) | 2 << shift
     if text and not text.isspace():
         marks |= (1 if text.lstrip()[0] == "»" else 2) << _HEAD
-        if body := text.rstrip(_TRAIL):
-            # What doesn't end in a mark, or ends in dots, breaks off.
-            marks |= (1 if body[-1] in _MARKS and not body.endswith(("…", "..")) else 2) << _TAIL
     return Right(follow_class(text, 0), chunk_said(text) if not text.isascii() else 2, marks)
 
 
@@ -340,9 +344,10 @@ def replay(events: list[Event], edge: int, state: int, own: Right, after: Right)
     # For each style, whether a quotation that is open at the chunk's end is closed: by a mark, or where the text breaks off.
     broken = (after.marks >> _TAIL & 3 or own.marks >> _TAIL & 3) == 2
     closed = [False] + [after.marks >> 2 * i & 3 in ((0, 1) if broken else (1,)) for i in range(5)]
-    ahead: list[list[bool]] = []
-    for _, symbol, _, _ in reversed(events):
-        ahead.append(closed)
+    ahead = [closed] * len(events)
+    for i in range(len(events) - 1, -1, -1) if state >= 9 or any(e[1] >= Q_OPEN_E for e in events) else ():
+        symbol = events[i][1]
+        ahead[i] = closed
         if symbol >= Q_OPEN_E:
             closed = closed[:]
             for style in range(1, 6):
@@ -350,7 +355,6 @@ def replay(events: list[Event], edge: int, state: int, own: Right, after: Right)
                     closed[style] = True
                 elif _OPENS.get(symbol) == style:
                     closed[style] = False
-    ahead.reverse()
     words = False  # there are some since the last end
     moved = False  # the last event ended a sentence, and its end may still move to a closing mark
     for (end, symbol, ctx, between), closed in zip(events, ahead, strict=True):
@@ -399,7 +403,7 @@ def whole_text_ends(text: str | None) -> list[int]:
         return []
     if len(text) <= CHUNK:
         events = scan_events(text, True, True)
-        return replay(events, edge_of(text, events), START, right_of(text, events), END)
+        return replay(events, EDGE_AT_END, START, Right(E, 0, _tail_of(text) << _TAIL), END)
     parts = [text[a:b] for a, b in cut_text(text)]
     return chunk_ends(parts, True)
 
