@@ -63,7 +63,7 @@ def test_error_classes(spark):
 def test_fixes(spark):
     rep = spark.createDataFrame([("x [TRANSLATION_FAILED: chp1-blk2] y [TRANSLATION_FAILED: chp1-blk2][TRANSLATION_FAILED: chp9-blk9]",), (None,), ("good",)], "r string")
     blocks = spark.createDataFrame([("chp1-blk2", "a"), ("chp1-blk3", "b")], "mmg_id string, c string")
-    assert rows(replies.fix_tasks(blocks, rep, "r")) == [("chp1-blk2", "a", "fix::chp1-blk2")]
+    assert rows(replies.fix_tasks(blocks, replies.failed_block_ids(rep, "r"))) == [("chp1-blk2", "a", "fix::chp1-blk2")]
 
 
 def test_prompts(spark, tmp_path):

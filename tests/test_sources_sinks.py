@@ -1,12 +1,18 @@
 from __future__ import annotations
 
+import asyncio
+import http.server
 import io
 import json
+import re
+import threading
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from textloom.logs import task_logger
 from textloom.operators import remote
 from textloom.plans import pipelines
 from textloom.sinks import epub as epub_sink
@@ -95,7 +101,6 @@ def test_epub_ncx_and_broken():
     got = epub.parse_epub(out.getvalue())
     assert got.metadata["isbn"] == "99" and got.metadata["title"] == "T" and [c["title"] for c in got.chapters] == ["Last"]
     assert epub.parse_epub(b"no zip").chapters == [] and epub.parse_epub(b"").metadata == {}
-    assert epub.is_contents("nav.xhtml", "toc", None) and not epub.is_contents("c1.xhtml", "toc", "One") and epub.is_contents("c1.xhtml", None, "Contents")
 
 
 def test_epub_frames(spark, tmp_path):
@@ -176,3 +181,126 @@ def test_merged_positions_of_long_runs(spark):
     other = pipelines.model_segments(df, merge_rows=True).where("track_id = 'u'").orderBy("pos").collect()
     assert [(r.pos, r.source_text) for r in other] == [(i, f"Sentence {i}.") for i in range(2100)]
     assert sorted(r.id for r in got)[:2] == ["seg_0000", "seg_0001"] and len({r.id for r in got}) == len(got)
+
+
+def test_contents(spark):
+    df = spark.createDataFrame([("nav.xhtml", "toc", None), ("c1.xhtml", "toc", "One"), ("c1.xhtml", None, "Contents"), (None, None, None)], "c string, n string, t string")
+    assert [r[0] for r in df.select(epub.is_contents(F.col("c"), F.col("n"), F.col("t"))).collect()] == [True, False, True, False]
+
+
+def test_ass(spark):
+    text = "[Events]\nFormat: Layer, Start\nDialogue: 0,0:00:05.00,0:00:06.50,Default,,0,0,0,,{\\i1}Two, really\\Nlines\nDialogue: 0,0:00:01.20,0:00:02.00,Default,,0,0,0,,One\nDialogue: broken\nComment: 0,0:00:01.20,0:00:02.00,Default,,0,0,0,,No\n"
+    got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(srt.parse_ass(F.col("t")).alias("c")).collect()
+    assert [tuple(c) for c in got[0].c] == [(1.2, 2.0, "One"), (5.0, 6.5, "Two, really\nlines")] and not got[1].c and got[2].c == []
+
+
+class Marking:
+    """Leaves out the second block of the first chapter of a batch; knows the terms of a glossary."""
+
+    def __init__(self, mends=True):
+        self.mends = mends
+
+    async def complete(self, prompt, task_id):
+        text = remote.payload_of(prompt).replace("lantern", "Laterne")
+        if not task_id.startswith("fix::"):
+            return re.sub(r'(data-mmg-id=\\?"chp0-blk1\\?">)[^<]*<', r"\1[TRANSLATION_FAILED: chp0-blk1]<", text), None
+        return (text if self.mends else "[TRANSLATION_FAILED: chp0-blk1]"), None
+
+
+class Never:
+    async def complete(self, prompt, task_id):
+        raise AssertionError("a paid call")
+
+
+def page_of(*paragraphs, title=None):
+    blocks = [{"type": "heading", "level": 1, "content_source": title}] if title else []
+    return json.dumps(blocks + [{"type": "paragraph", "content_rich_source": p if isinstance(p, list) else [p]} for p in paragraphs])
+
+
+def test_books_from_file_to_file(spark, tmp_path):
+    link = {"type": "hyperlink", "href": "c1.xhtml", "content": [{"type": "text", "content": "1 Old"}]}
+    chapters = [
+        {"chapter_id": "c1.xhtml", "title": "The lantern", "content": page_of("A lantern.", "No lantern.", title="The lantern"), "css": None},
+        {"chapter_id": "c2.xhtml", "title": "Second", "content": page_of("Some words.", "A lantern " * 200), "css": None},
+        {"chapter_id": "toc.xhtml", "title": "Contents", "content": page_of([link]), "css": None},
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.epub").write_bytes(epub_sink.build_epub({"title": "My Book", "authors": ["A"], "language": "en"}, chapters, [{"href": "s.css", "media_type": "text/css", "content": b"p {}"}]))
+    options = {"limit": 300, "backoff": 0.0, "results": str(tmp_path / "results")}
+
+    def read():
+        return epub.parse_epub((tmp_path / "out" / "epub_translated" / "My_Book_de.epub".replace("My_Book", "My Book")).read_bytes())
+
+    run = pipelines.translate_path(spark, str(tmp_path / "in" / "b.epub"), str(tmp_path / "out"), Marking, "en", "de", **options)
+    got = read()
+    assert got.metadata["title"] == "[de] My Book" and got.metadata["language"] == "de" and len(got.resources) == 1 and run.errors.count() == 0
+    assert [c["title"] for c in got.chapters] == ["The Laterne", "Second", "Contents"]
+    texts = [json.dumps(json.loads(c["content"]), ensure_ascii=False) for c in got.chapters]
+    assert "No Laterne." in texts[0] and "FAILED" not in texts[0] and texts[1].count("Laterne") >= 200 and "lantern" not in texts[1]
+    assert "1 The Laterne" in texts[2] and "Old" not in texts[2]
+    pipelines.translate_path(spark, str(tmp_path / "in" / "b.epub"), str(tmp_path / "out"), Never, "en", "de", **options)
+    assert [c["content"] for c in read().chapters] == [c["content"] for c in got.chapters]
+
+
+def test_blocks_that_still_fail_are_errors(spark):
+    blocks = spark.createDataFrame([("1/0", 0, "chp0-blk0", "good"), ("1/0", 1, "chp0-blk1", "[TRANSLATION_FAILED: chp0-blk1]"), ("2/0", 0, "chp0-blk1", "other")], "k_ string, block_no int, mmg_id string, block string")
+    sources = spark.createDataFrame([(k, f"chp0-blk{n}", f"<p>lantern {k}</p>") for k in ("1/0", "2/0") for n in (0, 1)], "k_ string, mmg_id string, html string")
+    for make, kept, wrong in ((Marking, ["good", "Laterne 1/0", "other"], 0), (lambda: Marking(False), ["good", "[TRANSLATION_FAILED", "other"], 1)):
+        fixed, errors = pipelines._repaired(blocks, sources, make, "en", "de", None, None, backoff=0.0)
+        assert errors.count() == wrong
+        assert all(k in b for k, b in zip(kept, [r.block for r in fixed.orderBy("k_", "block_no").collect()], strict=True))
+
+
+def test_subtitles_from_file_to_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a film.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nA lantern\n\n2\n00:00:02,000 --> 00:00:03,000\nstands here.\n", encoding="utf-8")
+    options = {"backoff": 0.0, "results": str(tmp_path / "results")}
+    make = remote.provider("substituting", glossary={"lantern": "Laterne"})
+    for own in (make, Never):
+        pipelines.translate_path(spark, str(tmp_path / "in" / "a film.srt"), str(tmp_path / "out"), own, "en", "de", **options)
+        text = (tmp_path / "out" / "a film" / "subtitle" / "a film_de.srt").read_text(encoding="utf-8")
+        assert text == "1\n00:00:01,000 --> 00:00:02,917\nA Laterne stands here.\n"
+    (tmp_path / "v1.json").write_text(json.dumps([{"text": "A lantern", "start": 0.0, "duration": 1.0}, {"text": "stands here.", "start": 1.0, "duration": 1.0}]))
+    pipelines.translate_path(spark, "https://youtu.be/v1", str(tmp_path / "out"), make, "en", "de", transcripts=str(tmp_path), backoff=0.0)
+    assert "A Laterne stands here." in (tmp_path / "out" / "v1" / "subtitle" / "v1_de.srt").read_text(encoding="utf-8")
+    for path in ("x.txt", "https://youtu.be/v1"):
+        with pytest.raises(ValueError):
+            pipelines.translate_path(spark, path, str(tmp_path / "out"), make, "en", "de")
+
+
+def test_http_provider(spark, monkeypatch):
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers["Authorization"], body["messages"][0]["content"]))
+            status = 503 if len(seen) == 1 else 400 if "bad" in seen[-1][1] else 200
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"text": body["messages"][0]["content"].upper()}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("A_KEY", "k")
+    make = remote.provider("http", url=f"http://127.0.0.1:{server.server_port}/", body={"messages": [{"role": "user", "content": "{prompt}"}]}, answer="choices/0/text", key_variable="A_KEY")
+    gate = asyncio.run(_calls(make(), ["one", "bad"]))
+    assert gate[0][0] == "ONE" and gate[1][0].startswith("[TRANSLATION_FAILED]") and seen[0] == ("Bearer k", "one") and len(seen) == 3
+    server.shutdown()
+    assert asyncio.run(_calls(make(), ["one"]))[0][0].startswith("[TRANSLATION_FAILED]")
+    with pytest.raises(ValueError):
+        remote.Http("http://x", {}, "a", "NO_SUCH_KEY")
+
+
+async def _calls(model, prompts):
+    return [await remote._call(model, asyncio.Semaphore(1), p, "t", 2, 0.0, 5.0) for p in prompts]
+
+
+def test_logger(tmp_path):
+    for _ in range(2):
+        logger = task_logger("x.y", str(tmp_path / "a" / "log.txt"), console_level=50)
+        logger.debug("said")
+    assert (tmp_path / "a" / "log.txt").read_text().count("said") == 2 and len(logger.handlers) == 2

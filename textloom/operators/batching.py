@@ -127,6 +127,7 @@ def json_tasks(rows: DataFrame, base: str, pos: str, identifier: str, text: str,
     """
     own = rows.where(F.col(base).isNotNull() & F.col(pos).isNotNull()).groupBy(F.col(base).cast("string").alias("grp"), F.col(pos).cast("long").alias("pos"))
     sized = own.agg(F.min(F.struct(F.col(identifier).alias("i"), F.col(text).alias("t"))).alias("x")).select("grp", "pos", "x.i", "x.t", item_tokens(F.col("x.i"), F.col("x.t")).alias("size"))
+    sized = cut_lineage(sized)  # read for the batches and for the payloads
     batched = sized.join(greedy_batches(sized, "grp", "pos", "size", limit), ["grp", "pos"])
     items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", _object(F.col("i"), F.col("t"), key).alias("o")))), lambda x: x["o"]), ", ")
     return batched.groupBy("grp", "batch_no").agg(F.count(F.lit(1)).alias("n_items"), F.sum("size").alias("tokens"), F.concat(F.lit("["), items, F.lit("]")).alias("payload")).select(

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import asyncio
 import json
+import os
 import re
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -84,7 +87,51 @@ class Faulty:
         return text, json.dumps({"task_id": task_id, "kind": kind})
 
 
-PROVIDERS: dict[str, Callable[..., Provider]] = {"identity": Identity, "substituting": Substituting, "faulty": Faulty}
+class Http:
+    """A model behind an HTTP endpoint that takes and gives JSON.
+
+    ``body`` is the request, in which the string ``{prompt}`` stands for the prompt; ``answer`` are the steps to the text in the
+    reply, as in ``choices/0/message/content``. The key is read from the environment variable ``key_variable`` of the executor and
+    sent as a bearer token. A busy or broken server, and no connection, are worth repeating; other errors aren't.
+    """
+
+    def __init__(self, url: str, body: dict[str, object], answer: str, key_variable: str | None = None, timeout: float = TIMEOUT) -> None:
+        self.url, self.body, self.answer, self.timeout = url, body, answer.split("/"), timeout
+        self.key = os.environ.get(key_variable, "") if key_variable else ""
+        if key_variable and not self.key:
+            raise ValueError(f"the environment variable {key_variable} holds no key")
+
+    def _filled(self, value: object, prompt: str) -> object:
+        if isinstance(value, dict):
+            return {k: self._filled(v, prompt) for k, v in value.items()}
+        if isinstance(value, list):
+            return [self._filled(v, prompt) for v in value]
+        return prompt if value == "{prompt}" else value
+
+    def _send(self, prompt: str) -> str:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        request = urllib.request.Request(self.url, json.dumps(self._filled(self.body, prompt)).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:  # noqa: S310
+                return reply.read().decode("utf-8", "replace")
+        except urllib.error.HTTPError as e:
+            if e.code == 429 or e.code >= 500:
+                raise Transient(f"status {e.code}") from e
+            raise
+        except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
+            raise Transient(repr(e)) from e
+
+    async def complete(self, prompt: str, task_id: str) -> tuple[str | None, str | None]:
+        text = await asyncio.to_thread(self._send, prompt)
+        at: object = json.loads(text)
+        for step in self.answer:
+            at = at[int(step)] if isinstance(at, list) else at.get(step) if isinstance(at, dict) else None
+            if at is None:
+                break
+        return (at if isinstance(at, str) else None), json.dumps({"task_id": task_id, "reply": text})
+
+
+PROVIDERS: dict[str, Callable[..., Provider]] = {"identity": Identity, "substituting": Substituting, "faulty": Faulty, "http": Http}
 
 
 def register_provider(name: str, make: Callable[..., Provider]) -> None:
@@ -120,10 +167,10 @@ async def _call(model: Provider, gate: asyncio.Semaphore, prompt: str | None, ta
 _SCHEMA = "task_id string, translated_text string, log string"
 
 
-def map_remote(tasks: DataFrame, make: Callable[[], Provider], task_id: str = "task_id", prompt: str = "prompt", concurrency: int = CONCURRENCY, attempts: int = ATTEMPTS, backoff: float = BACKOFF, timeout: float = TIMEOUT, partitions: int | None = None) -> DataFrame:
+def map_remote(tasks: DataFrame, make: Callable[[], Provider], task_id: str = "task_id", prompt: str = "prompt", concurrency: int = CONCURRENCY, attempts: int = ATTEMPTS, backoff: float = BACKOFF, timeout: float = TIMEOUT, partitions: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``task_id, translated_text, log`` for each task, in :data:`_SCHEMA`; a failed one's text begins with the mark.
 
-    ``partitions`` bounds how many loops run at once, and with ``concurrency`` how many calls.
+    The columns ``keep`` of a task come along with its result. ``partitions`` bounds how many loops run at once, and with ``concurrency`` how many calls.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,10 +183,11 @@ def map_remote(tasks: DataFrame, make: Callable[[], Provider], task_id: str = "t
                 return await asyncio.gather(*[_call(model, gate, p, i, attempts, backoff, timeout) for i, p in zip(ids, prompts, strict=True)])
 
             done = asyncio.run(all_of(list(b["i"]), list(b["p"])))
-            yield pd.DataFrame({"task_id": b["i"], "translated_text": [t for t, _ in done], "log": [x for _, x in done]})
+            yield pd.DataFrame({"task_id": b["i"], "translated_text": [t for t, _ in done], "log": [x for _, x in done], **{k: b[k] for k in keep}})
 
-    own = tasks.where(F.col(task_id).isNotNull()).select(F.col(task_id).alias("i"), F.col(prompt).alias("p"))
-    return (own.repartition(partitions) if partitions else own).mapInPandas(run, _SCHEMA)
+    own = tasks.where(F.col(task_id).isNotNull()).select(F.col(task_id).alias("i"), F.col(prompt).alias("p"), *keep)
+    schema = ", ".join([_SCHEMA, *[f"`{k}` {tasks.schema[k].dataType.simpleString()}" for k in keep]])
+    return (own.repartition(partitions) if partitions else own).mapInPandas(run, schema)
 
 
 def map_once(tasks: DataFrame, make: Callable[[], Provider], results_path: str, task_id: str = "task_id", **options: object) -> DataFrame:

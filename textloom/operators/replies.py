@@ -99,10 +99,10 @@ def patch_toc(links: DataFrame, titles: DataFrame, book: str = "book_id") -> Dat
     The first word of ASCII letters and digits of the old text is kept in front; links to unknown chapters keep their text.
     """
     base = lambda c: F.substring_index(F.element_at(F.split(F.substring_index(c, "#", 1), "/"), -1), "_split_", 1)
-    one = titles.where(F.trim("title") != "").groupBy(F.col(book).alias("k_"), base(F.col("chapter_id")).alias("b_")).agg(F.max("title").alias("t_"))
+    one = titles.where(F.trim("title") != "").groupBy(F.col(book).alias("toc_book_"), base(F.col("chapter_id")).alias("b_")).agg(F.max("title").alias("t_"))
     prefix = F.regexp_extract("text", r"^\s*([a-zA-Z0-9]+\s*)", 1)
-    found = F.col(book).eqNullSafe(F.col("k_")) & (base(F.col("href")) == F.col("b_"))
-    return links.join(one, found, "left").withColumn("text", F.coalesce(F.trim(F.concat(prefix, "t_")), "text")).drop("k_", "b_", "t_")
+    found = F.col(book).eqNullSafe(F.col("toc_book_")) & (base(F.col("href")) == F.col("b_"))
+    return links.join(one, found, "left").withColumn("text", F.coalesce(F.trim(F.concat(prefix, "t_")), "text")).drop("toc_book_", "b_", "t_")
 
 
 # How a book's title is marked in a language.
@@ -136,16 +136,20 @@ def untranslated(source: Column, translated: Column) -> Column:
     return F.coalesce((strip(source) == strip(translated)) & (strip(source) != ""), F.lit(False))
 
 
-def failed_block_ids(replies: DataFrame, text: str) -> DataFrame:
-    """``mmg_id``: the blocks that replies mark as failed, each once."""
-    # Fixed value: how a failed block is marked.
-    found = F.regexp_extract_all(F.col(text), F.lit(r"\[TRANSLATION_FAILED: (chp\d+-blk\d+)\]"), 1)
-    return replies.select(F.explode(found).alias("mmg_id")).distinct()
+# Fixed value: how a failed block is marked.
+FAILED_BLOCK = r"\[TRANSLATION_FAILED: (chp\d+-blk\d+)\]"
 
 
-def fix_tasks(blocks: DataFrame, replies: DataFrame, text: str, identifier: str = "mmg_id") -> DataFrame:
-    """The source blocks that need a repair: those whose id a reply marks as failed, with a task id."""
-    return blocks.join(failed_block_ids(replies, text), F.col(identifier) == F.col("mmg_id") if identifier != "mmg_id" else "mmg_id", "left_semi").withColumn("task_id", F.concat(F.lit("fix::"), F.col(identifier)))
+def failed_block_ids(replies: DataFrame, text: str, *keep: str) -> DataFrame:
+    """``mmg_id``: the blocks that replies mark as failed, each once (for each value of the columns ``keep``)."""
+    found = F.regexp_extract_all(F.col(text), F.lit(FAILED_BLOCK), 1)
+    return replies.select(*keep, F.explode(found).alias("mmg_id")).distinct()
+
+
+def fix_tasks(blocks: DataFrame, failed: DataFrame) -> DataFrame:
+    """The source blocks that need a repair, with a task id: those whose id is in the one column of ``failed``."""
+    (identifier,) = failed.columns
+    return blocks.join(failed, identifier, "left_semi").withColumn("task_id", F.concat(F.lit("fix::"), F.col(identifier)))
 
 
 def retry_rounds(segments: DataFrame, translate: Callable[[DataFrame], DataFrame], key: list[str], translated: str, rounds: int = 3) -> tuple[DataFrame, list[dict[str, int]]]:

@@ -419,7 +419,7 @@ def untranslated_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repair_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "chapters", "chapter_pos", "title").withColumn("mmg_id", batching.block_ids(F.col("chapter_pos"), F.lit(0)))
     answers = c.where("title IS NULL").select(F.concat(F.lit("x [TRANSLATION_FAILED: "), "mmg_id", F.lit("] y")).alias("reply"))
-    return replies.fix_tasks(c.select("mmg_id").distinct(), answers, "reply")
+    return replies.fix_tasks(c.select("mmg_id").distinct(), replies.failed_block_ids(answers, "reply"))
 
 
 @query(f"WITH {_SEG} SELECT track_id, pos, coalesce(source_text, '') AS translated_text FROM seg")

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.html_blocks import parse_blocks, parse_tree
@@ -169,9 +169,11 @@ def read_epubs(spark: SparkSession, path: str, what: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, _TABLES[what])
 
 
-def is_contents(chapter: str, nav_type: str | None, title: str | None) -> bool:
+def is_contents(chapter: Column, nav_type: Column, title: Column) -> Column:
     """Whether a chapter is a table of contents, by its type or its title."""
-    return bool(nav_type and re.search(r"\btoc\b", nav_type) and re.search(r"toc|nav|contents", chapter)) or bool(title and ("contents" in title.lower() or "目录" in title))
+    # How types, file names and titles of contents are told.
+    typed = nav_type.rlike(r"\btoc\b") & chapter.rlike("toc|nav|contents")
+    return F.coalesce(typed, F.lit(False)) | F.coalesce(F.lower(title).contains("contents") | title.contains("目录"), F.lit(False))
 
 
 def spine_chapters(spine: DataFrame, manifest: DataFrame, titles: DataFrame, book: str) -> DataFrame:

@@ -36,16 +36,32 @@ def parse_vtt(text: Column) -> Column:
     return parse_srt(numbered)
 
 
+def parse_ass(text: Column) -> Column:
+    """The cues of an ASS or SSA text in order of time: its dialogue lines, without override tags; ``\\N`` breaks a line."""
+    lines = F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x: x.startswith("Dialogue:"))
+
+    def cue(line: Column) -> Column:
+        parts = F.split(F.regexp_replace(line, r"^Dialogue:\s*", ""), ",", 10)
+        # Hundredths of a second become milliseconds.
+        seconds = lambda n: seconds_of(F.concat(F.regexp_replace(F.trim(F.try_element_at(parts, F.lit(n))), r"^(\d+:\d{2}:\d{2})[.](\d{2})$", "$1,$2"), F.lit("0")))
+        body = F.regexp_replace(F.regexp_replace(F.try_element_at(parts, F.lit(10)), r"\{[^}]*\}", ""), r"\\[Nn]", "\n")
+        good = seconds(2).isNotNull() & seconds(3).isNotNull() & body.isNotNull()
+        return F.when(good, F.struct(seconds(2).alias("start_s"), seconds(3).alias("end_s"), body.alias("text")))
+
+    return F.array_sort(F.filter(F.transform(lines, cue), lambda c: c.isNotNull()))
+
+
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
-    """``track_id, source_lang, source_type, title, pos, start_s, end_s, text`` of all SRT and VTT files under ``path``.
+    """``track_id, source_lang, source_type, title, pos, start_s, end_s, text`` of all SRT, VTT, ASS and SSA files under ``path``.
 
     The title is the file's name without its ending; the language is ``auto``. A file that isn't UTF-8 is read as far as
     it is; a file without cues has no row.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{srt,vtt}").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{srt,vtt,ass,ssa}").load(path)
     text = F.decode("content", "UTF-8")
     name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    cues = F.when(F.lower("path").endswith(".vtt"), parse_vtt(text)).otherwise(parse_srt(text))
+    low = F.lower("path")
+    cues = F.when(low.endswith(".vtt"), parse_vtt(text)).when(low.rlike(r"\.(ass|ssa)$"), parse_ass(text)).otherwise(parse_srt(text))
     rows = files.select(F.col("path").alias("track_id"), F.url_decode(name).alias("title"), F.posexplode(cues).alias("pos", "c"))
     return rows.select("track_id", F.lit("auto").alias("source_lang"), F.lit("local_srt_file").alias("source_type"), "title", F.col("pos").cast("long").alias("pos"), "c.start_s", "c.end_s", "c.text")
 

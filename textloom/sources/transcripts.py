@@ -11,10 +11,12 @@ import os
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from textloom.operators.merge import merge_sentences
+
 # Fixed value: the languages asked for first.
 PREFERRED = ("en",)
 ATTEMPTS, DELAY = 3, 5.0
@@ -94,3 +96,10 @@ class TranscriptSource(DataSource):
 
     def reader(self, schema: object) -> DataSourceReader:
         return _Reader(self.options)
+
+
+def read_merged_transcripts(spark: SparkSession, videos: list[str], folder: str, delay: float = DELAY) -> DataFrame:
+    """The sentences of the transcripts of ``videos``, fetched with retries and merged; a video without one has no row."""
+    spark.dataSource.register(TranscriptSource)
+    rows = spark.read.format("transcripts").option("videos", ",".join(videos)).option("folder", folder).option("delay", delay).load()
+    return merge_sentences(rows.withColumn("end_s", F.lit(None).cast("double")), "track_id", "pos", "text", "start_s", "end_s", "duration_s")
