@@ -286,10 +286,11 @@ def test_http_provider(spark, monkeypatch):
     server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     monkeypatch.setenv("A_KEY", "k")
-    make = remote.provider("http", url=f"http://127.0.0.1:{server.server_port}/", body={"messages": [{"role": "user", "content": "{prompt}"}]}, answer="choices/0/text", key_variable="A_KEY")
+    make = remote.provider("http", url=f"http://127.0.0.1:{server.server_port}/", body={"messages": [{"role": "user", "content": "{prompt}"}]}, answer="choices/0/text", key_variable="A_KEY", timeout=5.0)
     gate = asyncio.run(_calls(make(), ["one", "bad"]))
     assert gate[0][0] == "ONE" and gate[1][0].startswith("[TRANSLATION_FAILED]") and seen[0] == ("Bearer k", "one") and len(seen) == 3
     server.shutdown()
+    server.server_close()
     assert asyncio.run(_calls(make(), ["one"]))[0][0].startswith("[TRANSLATION_FAILED]")
     with pytest.raises(ValueError):
         remote.Http("http://x", {}, "a", "NO_SUCH_KEY")
