@@ -66,11 +66,11 @@ _STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 
 
 @query(f"""
-WITH t AS (SELECT row_id, start_s, {_code("start_s")} AS code FROM raw_segments WHERE isfinite(start_s) AND start_s >= 0)
+WITH t AS (SELECT row_id, start_s, {_code("start_s")} AS code FROM raw_segments)
 SELECT row_id, code, round(CAST(split_part(code, ':', 1) AS BIGINT) * 3600 + CAST(split_part(code, ':', 2) AS BIGINT) * 60
   + CAST(split_part(split_part(code, ':', 3), ',', 1) AS BIGINT) + CAST(split_part(code, ',', 2) AS BIGINT) / 1000.0, 3) AS seconds FROM t""")
 def srt_timecodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "raw_segments", "row_id", "start_s").where(~F.isnan("start_s") & (F.col("start_s") >= 0) & (F.col("start_s") < float("inf")))
+    rows = table(spark, sf_dir, "raw_segments", "row_id", "start_s")
     return rows.select("row_id", timecode.format_time(F.col("start_s")).alias("code")).withColumn("seconds", F.round(timecode.seconds_of(F.col("code")), 3))
 
 
@@ -135,7 +135,7 @@ def _last(d: str) -> str:
 
 @query(f"""
 WITH t AS (SELECT doc_id, substr(text, 1, 250) AS h FROM documents)
-SELECT doc_id, CAST(CASE {" ".join(_last(d) for d in (*merge.DELIMITERS, " "))} WHEN h IS NULL THEN 250 ELSE 250 END AS INTEGER) AS point FROM t""")
+SELECT doc_id, CAST(CASE {" ".join(_last(d) for d in (",", ";", ":", " and ", " but ", " or ", " so ", " "))} WHEN h IS NULL THEN 250 ELSE 250 END AS INTEGER) AS point FROM t""")
 def best_split_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", merge.best_split(F.col("text")).alias("point"))
 
@@ -237,18 +237,18 @@ def weak_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH t AS (SELECT seg_key, start_s, end_s, {_marked_sql("。？！.")} AS p FROM subtitle_segments WHERE translated_text IS NOT NULL AND end_s > start_s),
+WITH t AS (SELECT seg_key, start_s, end_s, {_marked_sql("。？！.")} AS p FROM subtitle_segments WHERE translated_text IS NOT NULL),
 u AS (SELECT seg_key, start_s, end_s, len(p) AS k, i, p[i] AS x FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM t)),
 v AS (SELECT *, sum(length(x)) OVER (PARTITION BY seg_key ORDER BY i) AS c, sum(length(x)) OVER (PARTITION BY seg_key) AS total FROM u)
 SELECT seg_key, CAST(i - 1 AS INTEGER) AS part_no, CAST(floor((start_s + (end_s - start_s) * (c - length(x)) / total) * 1000 + 0.5) AS BIGINT) AS start_ms, CAST(floor((CASE WHEN i = k THEN end_s ELSE start_s + (end_s - start_s) * c / total END) * 1000 + 0.5) AS BIGINT) AS end_ms FROM v""")
 def proportional_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "subtitle_segments").where("translated_text IS NOT NULL AND end_s > start_s")
+    rows = table(spark, sf_dir, "subtitle_segments", "seg_key", "start_s", "end_s", "translated_text").where("translated_text IS NOT NULL")
     parts = display.allocate(F.col("start_s"), F.col("end_s"), display.marked_parts(F.col("translated_text"), display.STRONG))
     return rows.select("seg_key", F.posexplode(parts).alias("part_no", "p")).select("seg_key", "part_no", F.floor(F.col("p.start") * 1000 + 0.5).alias("start_ms"), F.floor(F.col("p.end") * 1000 + 0.5).alias("end_ms"))
 
 
 def _break_sql() -> str:
-    whens = " ".join(f"WHEN instr(reverse(substr(rest, 1, 35)), '{b}') > 0 THEN 36 - instr(reverse(substr(rest, 1, 35)), '{b}')" for b in display.BREAKS)
+    whens = " ".join(f"WHEN instr(reverse(substr(rest, 1, 35)), '{b}') > 0 THEN 36 - instr(reverse(substr(rest, 1, 35)), '{b}')" for b in "。？！，.?!,")
     return f"CASE {whens} ELSE 35 END"
 
 
@@ -262,6 +262,14 @@ def line_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seg_key", F.posexplode(display.wrap_lines(F.col("translated_text"))).alias("line_no", "line"))
 
 
+@query(f"""
+WITH {_SEG} SELECT track_id, pos, round(start_s, 3) AS start_s, round(end_s, 3) AS end_s, {_STRIP.format("coalesce(translated_text, '')")} = '' AS blank FROM seg""")
+def screen_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the parts of each segment begin and end: where the segment does, whatever its parts are."""
+    shown = screen_segments(spark, sf_dir).groupBy("track_id", "pos")
+    return shown.agg(F.min_by("start_s", "part_no").alias("start_s"), F.max_by("end_s", "part_no").alias("end_s"), F.every(F.col("text") == "").alias("blank"))
+
+
 @query()
 def screen_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display.on_screen(_segments(spark, sf_dir), "track_id", "pos", "start_s", "end_s", "translated_text").withColumnRenamed("track", "track_id")
@@ -336,13 +344,14 @@ def _quote(s: str) -> str:
 
 
 def _prompt_sql() -> str:
-    whens = []
-    for kind, p in prompts.PROMPTS.items():
-        t = prompts.TEMPLATES
-        text = (t[p.system] + "\n\n" + t[p.user]).replace("{source_lang}", "en").replace("{target_lang}", "de").replace("{glossary_section}", prompts.glossary_section(GLOSSARY))
-        head, _, tail = text.partition("{" + p.payload + "}")
-        head, tail = head.replace("{{", "{").replace("}}", "}"), tail.replace("{{", "{").replace("}}", "}")
-        whens.append(f"WHEN task_type = {_quote(kind)} THEN {_STRIP.format(f"({_quote(head)} || coalesce(text_to_translate, '') || {_quote(tail)})")}")
+    terms = "\nGLOSSARY: use these translations.\n* \"lantern\": \"Laterne\"\n* \"bridge\": \"Brücke\"\n* \"old aunt\": \"alte Tante\"\n"
+    keep = "Rules: Keep every id as it is. Keep all tags and attributes, data-mmg-id among them. Return as many objects as you were given, in order."
+    heads = {
+        "json_batch": f"You translate the HTML in a JSON array from en to de.\n\n{keep} Translate only what stands between tags in html_content.\n{terms}\n\nINPUT:\n",
+        "split_part": f"You translate HTML from en to de.\n\nRules: Keep all tags and attributes. Return bare HTML.\n{terms}\n\nINPUT:\n",
+        "json_subtitle_batch": f'You translate subtitles in a JSON array from en to de. What you can\'t translate you return in brackets, as in {{"id": "seg_1", "text": "[as it was]"}}.\n\n{keep} Translate only the text fields.\n{terms}\n\nINPUT:\n',
+    }
+    whens = [f"WHEN task_type = '{kind}' THEN {_STRIP.format(f"({_quote(head)} || coalesce(text_to_translate, ''))")}" for kind, head in heads.items()]
     return f"SELECT task_key, CASE {' '.join(whens)} END AS prompt FROM tasks"
 
 
@@ -351,6 +360,34 @@ def glossary_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "tasks").select("task_key", prompts.build_prompt(F.col("task_type"), F.col("text_to_translate"), F.lit("en"), F.lit("de"), GLOSSARY).alias("prompt"))
 
 
+@query("""
+SELECT task_key, 'system' AS first_role, 'Translate the text.' AS first_content, 'user' AS second_role, 'From en to de.' || chr(10) || chr(10) || text_to_translate AS second_content, 'user' AS lone_role, [text_to_translate] AS lone_parts FROM tasks""")
+def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "tasks", "task_key", "text_to_translate")
+    two, one = prompts.role_messages(F.lit("Translate the text."), F.lit("From en to de."), F.col("text_to_translate")), prompts.messages(F.col("text_to_translate"))
+    return t.select("task_key", two[0]["role"].alias("first_role"), two[0]["content"].alias("first_content"), two[1]["role"].alias("second_role"), two[1]["content"].alias("second_content"), one[0]["role"].alias("lone_role"), one[0]["parts"].alias("lone_parts"))
+
+
+_ASKED = "Translate text_en of each segment from en to de. Return translated_segments, each with its id ({}) unchanged and {}."
+
+
+@query(f"""
+SELECT task_key, '{{"source_language": "en", "target_language": "de", "instructions": "{_ASKED.format("HH:MM:SS,mmm --> HH:MM:SS,mmm", "translated_text")}", "segments": ' || text_to_translate || '}}' AS by_time,
+  '{{"source_language": "en", "target_language": "de", "instructions": "{_ASKED.format("seg_N", "text_de")}", "segments": ' || text_to_translate || '}}' AS by_number FROM tasks""")
+def segment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "tasks", "task_key", "text_to_translate")
+    args = (F.col("text_to_translate"), F.lit("en"), F.lit("de"))
+    return t.select("task_key", prompts.segment_request(*args).alias("by_time"), prompts.segment_request(*args, out_key="text_de", simplified_ids=True).alias("by_number"))
+
+
+@query("""
+SELECT book_id, 'You translate a chapter of "' || coalesce(title_source, '') || '" from ' || coalesce(language_source, '') || ' to ' || coalesce(language_target, '') || '. Tone: plain. Style: literary.' || chr(10)
+  || chr(10) || 'GLOSSARY: use these translations.' || chr(10) || '* "lantern": "Laterne"' || chr(10) || '* "bridge": "Brücke"' || chr(10) || '* "old aunt": "alte Tante"' || chr(10) || chr(10) || chr(10) || 'INPUT:' || chr(10) || coalesce(isbn, '') AS prompt FROM books""")
+def book_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = {"book_title": F.col("title_source"), "source_lang": F.col("language_source"), "target_lang": F.col("language_target"), "tone_style": F.lit("plain"), "writing_style": F.lit("literary"), "task_list_json": F.col("isbn")}
+    return table(spark, sf_dir, "books").select("book_id", prompts.book_prompt(values, GLOSSARY).alias("prompt"))
+
+
 # Replies --------------------------------------------------------------------------------------------------------------
 
 
@@ -365,9 +402,15 @@ def json_repair_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("track_id", "pos", "translated")
 
 
-@query("SELECT CAST(book_id AS VARCHAR) AS chapter_id, count(*) AS parts, string_agg(text_to_translate, '' ORDER BY part_number NULLS FIRST, text_to_translate) AS html FROM tasks WHERE task_type = 'split_part' AND text_to_translate IS NOT NULL AND NOT starts_with(text_to_translate, '[TRANSLATION_FAILED]') GROUP BY book_id")
+@query(r"""
+WITH last AS (SELECT * FROM tasks WHERE task_type = 'split_part' QUALIFY row_number() OVER (PARTITION BY llm_processing_id ORDER BY created_at DESC, task_key DESC) = 1),
+p AS (SELECT regexp_extract(llm_processing_id, '^split::(.*)::part_\d+$', 1) AS chapter_id, part_number, text_to_translate AS t FROM last)
+SELECT chapter_id, count(*) AS parts, string_agg(t, '' ORDER BY part_number NULLS FIRST, t) AS html FROM p WHERE t IS NOT NULL AND NOT starts_with(t, '[TRANSLATION_FAILED]') GROUP BY chapter_id""")
 def split_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "tasks").where("task_type = 'split_part'").withColumn("chapter", F.col("book_id").cast("string"))
+    """The parts of each split chapter, of a part that was tried again the last one."""
+    parts = table(spark, sf_dir, "tasks", "task_key", "llm_processing_id", "task_type", "part_number", "text_to_translate", "created_at").where("task_type = 'split_part'")
+    last = parts.groupBy("llm_processing_id").agg(F.max_by(F.struct("part_number", "text_to_translate"), F.struct("created_at", "task_key")).alias("p")).select("llm_processing_id", "p.*")
+    parts = last.withColumn("chapter", F.regexp_extract("llm_processing_id", r"^split::(.*)::part_\d+$", 1))
     return replies.reassemble(parts, "chapter", "part_number", "text_to_translate")
 
 
@@ -400,12 +443,22 @@ def book_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "books").select("book_id", replies.target_title(F.col("title_source"), F.col("language_target")).alias("title_target"))
 
 
-@query()
+_T = _STRIP.format("translated_text")
+# A character five times in a row, or a run of characters four times in a row, of every length that fits; or all in brackets.
+_REPEATED = f"""
+r AS (SELECT seg_key, translated_text, {_T} AS t FROM subtitle_segments),
+f AS (SELECT seg_key, translated_text, t, coalesce(length(t) >= 10 AND (
+  len(list_filter(range(1, greatest(length(t) - 3, 1)), lambda i: substr(t, i, 5) = repeat(substr(t, i, 1), 5))) > 0
+  OR len(list_filter(range(2, length(t) // 4 + 1), lambda k: len(list_filter(range(1, length(t) - 4 * k + 2), lambda i: substr(t, i, 4 * k) = repeat(substr(t, i, k), 4))) > 0)) > 0
+  OR starts_with(t, '[') AND ends_with(t, ']')), false) AS repeated FROM r)"""
+
+
+@query(f"WITH {_REPEATED} SELECT seg_key, repeated FROM f")
 def repetition_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "subtitle_segments").select("seg_key", replies.is_repeated(F.col("translated_text")).alias("repeated"))
 
 
-@query()
+@query(f"WITH {_REPEATED} SELECT seg_key, CASE WHEN repeated THEN 'hard' WHEN coalesce(t, '') = '' OR starts_with(translated_text, '[TRANSLATION_FAILED]') THEN 'soft' END AS error_class FROM f")
 def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "subtitle_segments").select("seg_key", replies.error_class(F.col("translated_text")).alias("error_class"))
 
@@ -415,10 +468,10 @@ def untranslated_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "subtitle_segments").select("seg_key", replies.untranslated(F.col("source_text"), F.col("translated_text")).alias("untranslated"))
 
 
-@query("SELECT DISTINCT 'chp' || CAST(chapter_pos AS VARCHAR) || '-blk0' AS mmg_id, 'fix::chp' || CAST(chapter_pos AS VARCHAR) || '-blk0' AS task_id FROM chapters WHERE title IS NULL")
+@query("SELECT DISTINCT 'chp' || CAST(chapter_pos AS VARCHAR) || '-blk0' AS mmg_id, 'fix::chp' || CAST(chapter_pos AS VARCHAR) || '-blk0' AS task_id FROM chapters WHERE chapter_pos IS NOT NULL")
 def repair_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "chapters", "chapter_pos", "title").withColumn("mmg_id", batching.block_ids(F.col("chapter_pos"), F.lit(0)))
-    answers = c.where("title IS NULL").select(F.concat(F.lit("x [TRANSLATION_FAILED: "), "mmg_id", F.lit("] y")).alias("reply"))
+    c = table(spark, sf_dir, "chapters", "chapter_pos").withColumn("mmg_id", batching.block_ids(F.col("chapter_pos"), F.lit(0)))
+    answers = c.select(F.concat(F.lit("x [TRANSLATION_FAILED: "), "mmg_id", F.lit("] y")).alias("reply"))
     return replies.fix_tasks(c.select("mmg_id").distinct(), replies.failed_block_ids(answers, "reply"))
 
 
@@ -445,12 +498,9 @@ def book_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # HTML and books -------------------------------------------------------------------------------------------------------
 
 
-@query(r"""
-SELECT CAST(doc_id AS VARCHAR) AS doc_key, CAST(len(regexp_extract_all(text, '<h[1-6]')) AS BIGINT) AS headings, CAST(len(regexp_extract_all(text, '<p[ >]')) AS BIGINT) AS paragraphs
-FROM documents WHERE regexp_matches(text, '^<(p|h2)[ >]') AND regexp_matches(text, '(?s)</(p|h2)>\s*$')""")
+@query()
 def html_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").where(F.col("text").rlike("^<(p|h2)[ >]") & F.col("text").rlike(r"(?s)</(p|h2)>\s*$"))
-    b = html_blocks.html_to_blocks(docs, "doc_id", "text")
+    b = document_blocks(spark, sf_dir)
     return b.groupBy("doc_key").agg(F.count_if(F.col("block_type") == "heading").alias("headings"), F.count_if(F.col("block_type") == "paragraph").alias("paragraphs"))
 
 
@@ -488,6 +538,11 @@ def epub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Ids become file names, so each gets its place in front.
     chapters = _chapters(spark, sf_dir).withColumn("chapter_id", F.regexp_replace(F.concat(F.col("chapter_pos").cast("string"), F.lit("_"), F.element_at(F.split("chapter_id", "/"), -1)), r"[^\w.]", "_"))
     files = epub_sink.build_epubs(books, chapters, None, "book_id")
+    return _read_back(files)
+
+
+def _read_back(files: DataFrame) -> DataFrame:
+    """``book_id, title, chapters`` of each file."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -495,3 +550,33 @@ def epub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame([(k, f.metadata.get("title"), len(f.chapters)) for k, f in found], columns=["book_id", "title", "chapters"])
 
     return files.mapInPandas(read, "book_id long, title string, chapters long")
+
+
+@query(f"""
+WITH {_CHAP} SELECT b.book_id, {_STRIP.format("coalesce(title_source, '')")} AS title, coalesce(language_source, '') AS language, nullif({_STRIP.format("coalesce(publisher_source, '')")}, '') AS publisher,
+  list_filter(list_transform(coalesce(author_source, []), lambda x: {_STRIP.format("coalesce(x, '')")}), lambda x: x <> '') AS authors FROM books b""")
+def epub_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a book's file says of the book, read again."""
+    b = table(spark, sf_dir, "books")
+    books = b.select("book_id", F.col("title_source").alias("title"), F.col("author_source").alias("authors"), F.col("language_source").alias("language"), F.col("publisher_source").alias("publisher"), "isbn")
+    files = epub_sink.build_epubs(books, _chapters(spark, sf_dir).limit(0), None, "book_id")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            found = [(k, epub_source.parse_epub(bytes(e), str(k)).metadata) for k, e in zip(x["book_id"], x["epub"], strict=True)]
+            yield pd.DataFrame([(k, m.get("title"), m.get("language"), m.get("publisher"), m.get("authors")) for k, m in found], columns=["book_id", "title", "language", "publisher", "authors"])
+
+    return files.mapInPandas(read, "book_id long, title string, language string, publisher string, authors array<string>")
+
+
+@query(f"""
+WITH {_CHAP}, c AS (SELECT book_id, count(*) AS n FROM ch WHERE chapter_id IS NOT NULL GROUP BY book_id)
+SELECT b.book_id, {_STRIP.format("coalesce('[de] ' || title_source, title_source, '')")} AS title, CAST(coalesce(n, 0) AS BIGINT) AS chapters FROM books b LEFT JOIN c USING (book_id)""")
+def book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each book translated, repaired, titled, built as an EPUB and read again."""
+    b = table(spark, sf_dir, "books")
+    books = b.select("book_id", F.col("title_source").alias("title"), F.col("author_source").alias("authors"), F.col("language_source").alias("language"), F.col("publisher_source").alias("publisher"), "isbn", F.lit(None).cast("string").alias("cover"))
+    named = F.regexp_replace(F.concat(F.col("chapter_pos").cast("string"), F.lit("_"), F.element_at(F.split("chapter_id", "/"), -1)), r"[^\w.]", "_")
+    chapters = _chapters(spark, sf_dir).select("book_id", "chapter_pos", named.alias("chapter_id"), "title", F.lit(None).cast("string").alias("nav_type"), F.lit(None).cast("string").alias("css"), "content")
+    run = pipelines.translate_books(books, chapters, None, remote.provider("substituting", glossary=GLOSSARY), "en", "de", GLOSSARY, CHAPTER_LIMIT, backoff=0.0)
+    return _read_back(run.files.select("book_id", "epub"))
