@@ -28,4 +28,23 @@ def p1_subtitle_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole_text_units(table(spark, sf_dir, "subtitle_segments", "seg_key", "translated_text"), "seg_key", "translated_text").withColumnRenamed("row_key", "seg_key")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_track_sentences, p1_subtitle_sentences)}
+def p1_last_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the last sentence of each subtitle ends: where its text does."""
+    ends = whole_text_ends(table(spark, sf_dir, "subtitle_segments", "seg_key", "translated_text"), "seg_key", "translated_text")
+    return ends.groupBy(F.col("row_key").alias("seg_key")).agg(F.max("end_char").alias("last_end"))
+
+
+def p1_track_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters and digits of all sentences of each track: those of its rows, each once."""
+    units = p1_track_sentences(spark, sf_dir)
+    return units.groupBy("track_id").agg(F.sum(F.length(F.regexp_replace("sentence", r"[^\p{L}\p{N}]", ""))).alias("letters"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_track_sentences, p1_subtitle_sentences, p1_last_ends, p1_track_letters)}
+SQL = {
+    "p1_last_ends": r"""
+SELECT seg_key, CAST(length(regexp_replace(translated_text, '[\s\p{Z}\x{200b}\x{feff}]+$', '')) AS BIGINT) AS last_end FROM subtitle_segments WHERE regexp_matches(translated_text, '[\p{L}\p{N}]')""",
+    "p1_track_letters": r"""
+WITH one AS (SELECT * FROM raw_segments WHERE track_id IN (SELECT track_id FROM tracks WHERE source_type = 'manual') AND pos IS NOT NULL AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY track_id, pos ORDER BY row_id) = 1)
+SELECT track_id, CAST(sum(length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))) AS BIGINT) AS letters FROM one GROUP BY track_id HAVING bool_or(trim(text) <> '')""",
+}
