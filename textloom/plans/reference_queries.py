@@ -553,7 +553,7 @@ def _read_back(files: DataFrame) -> DataFrame:
 
 
 @query(f"""
-WITH {_CHAP} SELECT b.book_id, {_STRIP.format("coalesce(title_source, '')")} AS title, coalesce(language_source, '') AS language, nullif({_STRIP.format("coalesce(publisher_source, '')")}, '') AS publisher,
+WITH {_CHAP} SELECT b.book_id, {_STRIP.format("coalesce(title_source, '')")} AS title, coalesce(language_source, '') AS language, {_STRIP.format("coalesce(publisher_source, '')")} AS publisher,
   list_filter(list_transform(coalesce(author_source, []), lambda x: {_STRIP.format("coalesce(x, '')")}), lambda x: x <> '') AS authors FROM books b""")
 def epub_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a book's file says of the book, read again."""
