@@ -158,7 +158,10 @@ def speaker_turns(rows: DataFrame, speakers: DataFrame, track: str = "track_id",
     mark among more than two speakers, has a null speaker. Tracks without a cast, and rows without a track or position,
     have no turns. Null times are passed over; a turn lasts to the latest end of its rows, and one without times lasts 0.
     """
-    spoken = cut_lineage(_filled(_pieces(rows, casts(speakers, track, number, name, role), track, pos, key, text, start, duration)))
+    pieces = _pieces(rows, casts(speakers, track, number, name, role), track, pos, key, text, start, duration)
+    # The pieces are joined with an aggregate of themselves; written once, the rows are read and their patterns run once.
+    pieces = cut_lineage(pieces if with_text else pieces.withColumn("text", F.lit(None).cast("string")))
+    spoken = cut_lineage(_filled(pieces))
     ordered = Window.partitionBy("track", "block").orderBy("pos", "i")
     local = spoken.withColumns({"prev": F.lag(F.struct("speaker")).over(ordered)})
     whole = spoken.groupBy("track", "block").agg(F.max_by(F.struct("speaker"), F.struct("pos", "i")).alias("last"))
