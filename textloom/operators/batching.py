@@ -100,14 +100,16 @@ def _number(limit: int) -> Callable[[tuple, Columns], list[tuple]]:
     return run
 
 
-def greedy_batches(items: DataFrame, group: str, pos: str, size: str, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+def greedy_batches(items: DataFrame, group: str, pos: str, size: str, limit: int = LIMIT, block: int = BLOCK, written: bool = False) -> DataFrame:
     """``grp, pos, batch_no``: the batch of each item, from 1, in order of the integer column ``pos``.
 
     An item over the limit is a batch of its own. Items with a null group or position are left out; items with the same
-    position are taken from the smallest on. An empty table gives no row.
+    position are taken from the smallest on. An empty table gives no row. ``items`` is read twice; unless it is ``written``
+    already, what is needed of it is.
     """
     own = items.where(F.col(group).isNotNull() & F.col(pos).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.col(pos).cast("long").alias("pos"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
-    own = cut_lineage(own.withColumn("block", F.floor(F.col("pos") / block)))
+    own = own.withColumn("block", F.floor(F.col("pos") / block))
+    own = own if written else cut_lineage(own)
     tables = map_groups(own, ["grp", "block"], ["pos", "size"], _block_table(limit), "grp string, block long, reach array<long>, held array<long>, closed array<long>, every long, held0 long, closed0 long")
     entries = map_groups(tables, ["grp"], ["block"], _chain(limit), "grp string, block long, held long, empty boolean, number long")
     return map_groups(own.join(entries, ["grp", "block"]), ["grp", "block"], ["pos", "size"], _number(limit), "grp string, pos long, batch_no long")
@@ -128,7 +130,7 @@ def json_tasks(rows: DataFrame, base: str, pos: str, identifier: str, text: str,
     own = rows.where(F.col(base).isNotNull() & F.col(pos).isNotNull()).groupBy(F.col(base).cast("string").alias("grp"), F.col(pos).cast("long").alias("pos"))
     sized = own.agg(F.min(F.struct(F.col(identifier).alias("i"), F.col(text).alias("t"))).alias("x")).select("grp", "pos", "x.i", "x.t", item_tokens(F.col("x.i"), F.col("x.t")).alias("size"))
     sized = cut_lineage(sized)  # read for the batches and for the payloads
-    batched = sized.join(greedy_batches(sized, "grp", "pos", "size", limit), ["grp", "pos"])
+    batched = sized.join(greedy_batches(sized, "grp", "pos", "size", limit, written=True), ["grp", "pos"])
     items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", _object(F.col("i"), F.col("t"), key).alias("o")))), lambda x: x["o"]), ", ")
     return batched.groupBy("grp", "batch_no").agg(F.count(F.lit(1)).alias("n_items"), F.sum("size").alias("tokens"), F.concat(F.lit("["), items, F.lit("]")).alias("payload")).select(
         F.concat_ws("_", F.lit(task_type), "grp", F.lit("part"), F.col("batch_no").cast("string")).alias("task_id"), F.lit(task_type).alias("task_type"), F.col("grp").alias("base_id"), F.col("batch_no").cast("int").alias("part"), "n_items", "tokens", "payload"
