@@ -65,10 +65,9 @@ def test_a_third_less_is_truncated(spark):
 
 
 def test_closings_are_counted():
-    counts: dict[str, list[int]] = {}
-    for text, marked in (("Er ging heim. Sie ging", False), ("Er ging.", True), ("他走了。他走", False)):
-        pairs.count_closings(counts, pairs.ending_units(text), pairs.B.whole_text_ends(text), marked)
-    assert counts == {"er": [2, 0], "ging": [2, 1], "heim": [1, 1], "sie": [1, 0], "他": [1, 0], "他走": [1, 0], "走了": [1, 1], "了他": [1, 0]}
+    found = [pairs.closing_words(t, pairs.end_marks(t), marked) for t, marked in (("Er ging heim. Sie ging", False), ("Er “ging”.", True), ("他走了。他走", False))]
+    assert found == [(["er", "ging", "heim", "sie"], ["heim"]), (["er", "ging"], ["ging"]), (["他", "他走", "走了", "了他"], ["走了"])]
+    assert [pairs.last_word(t) for t in ("Er GING. ", "", "…", "他走了", "x" * 300)] == ["ging", None, None, "走了", "x" * 200]
 
 
 def test_lists_are_lower_case():

@@ -10,6 +10,7 @@ expressions.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -78,12 +79,17 @@ CLOSING_PRIOR, CLOSING_WEIGHT, CLOSING_SHARE = 0.08, 4, 0.15
 
 _TOKEN = re.compile(r"[぀-ヿ㐀-䶿一-鿿]|[^\W_぀-ヿ㐀-䶿一-鿿]+")
 _ALNUM = re.compile(r"[^\W_]+")
+_CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
 _LETTERS_RUN, _KANA, _HAN, _CYRILLIC = re.compile(r"[^\W\d_]+"), re.compile(r"[぀-ヿ]+"), re.compile(r"[㐀-䶿一-鿿]+"), re.compile(r"[а-яё]")
 _NAME = re.compile(r"\d[\d.,:]*\Z|[A-Z][\w'’\-]*\Z|[A-Z0-9][A-Z0-9\-.]*\Z")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】"}
 _MARKS = re.compile("[" + "".join(map(re.escape, sorted({*_PAIRS, *"".join(_PAIRS.values())}))) + "]")
 # A point after a time of day, or after a number in a script without spaces, ends no sentence.
 _UNFINISHED = re.compile(r"(?:\b[ap]\.\s?m|\bч|\benv|[\u3040-\u9fff][0-9]+)\.\Z")
+#: Characters before a text's last point that its rules may look at.
+_NEAR = 24
+_END_MARK = re.compile(r"(?:[.!?。！？｡]+|…+)(?=[\s»”」』\"'’)\]）]|\Z|[\u3040-\u30ff\u3400-\u9fff“「『])")
+_WORD_BEFORE = re.compile(r"[\w.]*\Z")
 _FINISH = re.compile(r"([.!?。！？｡]+|…+|\.{3,})[\s»”」』\"'’“)\]）】]*\Z")
 
 
@@ -134,18 +140,19 @@ def vote(text: str) -> str | None:
     """The language that the script, the stopwords and the letters of ``text`` speak for; None if none leads."""
     low = text.lower()
     words = _LETTERS_RUN.findall(low)
-    if not low.isascii():
+    highest = max(low, default="")
+    if highest >= "\u3040":
         kana, han = (sum(map(len, p.findall(low))) for p in (_KANA, _HAN))
         if kana + han > (sum(map(len, words)) - kana - han) / 2:
             return "ja" if kana * 8 > han else "zh"
-        if _CYRILLIC.search(low):
-            return "ru"
+    if highest >= "\u0400" and _CYRILLIC.search(low):
+        return "ru"
     tally: dict[str, float] = {}
     for w in words:
         hits = _VOTES.get(w, ())
         for k, weight in hits:
             tally[k] = tally.get(k, 0.0) + weight / len(hits) ** 0.5
-    for c in set(low) & _LETTERS.keys():
+    for c in set(low) & _LETTERS.keys() if highest > "\x7f" else ():
         for k in _LETTERS[c]:
             tally[k] = tally.get(k, 0.0) + 1.0
     ranked = sorted(tally.items(), key=lambda x: -x[1])
@@ -242,66 +249,126 @@ def finish(text: str) -> str:
     if m[1][0] == "…" or m[1].startswith("..."):
         return "dots"
     if m[1] == ".":
-        ends = [e for e in B.scan_events(text.rstrip(), False) if e[1] in (B.S_PLAIN, B.S_MAYBE, B.S_NUMBER)]
-        if not ends or ends[-1][0] < m.end(1) or _UNFINISHED.search(text[: m.end(1)]):
+        # A point's rules look at the words around it, so the last words of the text say all.
+        begin = max(0, m.start(1) - _NEAR)
+        while begin and not text[begin - 1].isspace() and begin > m.start(1) - 4 * _NEAR:
+            begin -= 1
+        ends = [e for e in B.scan_events(text[begin:].rstrip(), False) if e[1] in (B.S_PLAIN, B.S_MAYBE, B.S_NUMBER, B.S_FIRST_NUMBER)]
+        if not ends or begin + ends[-1][0] < m.end(1) or _UNFINISHED.search(text[begin : m.end(1)]):
             return "none"
     return "mark"
 
 
-def ending_units(text: str) -> list[tuple[int, str]]:
-    """Where each word of a text ends, and the word in lower case; in scripts without spaces the last two characters."""
+def end_marks(text: str) -> list[int]:
+    """Where the marks that end a sentence stand, abbreviations and initials left out: counts to compare, not boundaries."""
+    out = []
+    for m in _END_MARK.finditer(text):
+        if m[0] == ".":
+            word = _WORD_BEFORE.search(text, max(0, m.start() - _NEAR), m.start())[0].lower().strip(".")
+            if word in B.NEVER or word in B.MAYBE or len(word) == 1 and word < "\u3000":
+                continue
+        out.append(m.start())
+    return out
+
+
+def _stretches(text: str, ends: list[int]) -> int:
+    """How many stretches of words the marks part a text into, one without a mark at its end included."""
+    return len(ends) + (_ALNUM.search(text, ends[-1] if ends else 0) is not None)
+
+
+def _lowered(text: str) -> str:
+    """``text`` in lower case, as many characters."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
+
+
+def ending_units(low: str) -> list[tuple[int, str]]:
+    """Where each word of a text in lower case ends, and the word; in scripts without spaces the last two characters."""
     out: list[tuple[int, str]] = []
     before = ""
-    for m in _TOKEN.finditer(text):
-        w = m[0].casefold()
+    for m in _TOKEN.finditer(low):
+        w = m[0]
         out.append((m.end(), before + w if len(w) == 1 and w > "\u3000" else w))
         before = w
     return out
 
 
-def count_closings(counts: dict[str, list[int]], units: list[tuple[int, str]], ends: list[int], marked: bool) -> None:
-    """Adds to ``counts`` how often each word stands in a text and how often it closes a sentence there.
+def closing_words(text: str, ends: list[int], marked: bool) -> tuple[list[str], list[str]]:
+    """All words of a text, and those that close a sentence there, before one of the marks at ``ends``.
 
-    What closes the last sentence of a text without an end mark isn't known and isn't counted.
+    What closes the last sentence of a text without an end mark isn't known, and its last word isn't among the first.
     """
-    known = units if marked else units[:-1]
-    for _, w in known:
-        counts.setdefault(w, [0, 0])[0] += 1
-    i = 0
-    for end in ends:
-        while i < len(known) and known[i][0] <= end:
-            i += 1
-        if i and (marked or end != ends[-1]):
-            counts[known[i - 1][1]][1] += 1
+    low = _lowered(text)
+    closed: list[str] = []
+    if low.isascii() or not _CJK.search(low):
+        words = _ALNUM.findall(low)
+        for e in ends:
+            k = e
+            while k and not low[k - 1].isalnum():
+                k -= 1
+            i = k
+            while i and low[i - 1].isalnum():
+                i -= 1
+            if i < k:
+                closed.append(low[i:k])
+    else:
+        units = ending_units(low)
+        words = [w for _, w in units]
+        n = 0
+        for e in ends:
+            while n < len(units) and units[n][0] <= e:
+                n += 1
+            if n:
+                closed.append(words[n - 1])
+    return (words if marked else words[:-1]), closed
+
+
+def last_word(text: str) -> str | None:
+    """The last of :func:`ending_units`."""
+    low = _lowered(text)
+    k = len(low)
+    while k and not low[k - 1].isalnum():
+        k -= 1
+    units = ending_units(low[max(0, k - 200) : k])
+    return units[-1][1] if units else None
 
 
 def invariant(text: str) -> bool:
     """Whether a text is the same in every language: up to three numbers, names or codes."""
-    words = [w.strip("“”„«»\"'().,!?;:&") for w in text.split()]
-    words = [w for w in words if w]
-    return 0 < len(words) <= 3 and all(_NAME.match(w) and w.lower() not in _VOTES for w in words)
+    found = 0
+    for w in text.split():
+        if w := w.strip("“”„«»\"'().,!?;:&"):
+            found += 1
+            if found > 3 or not _NAME.match(w) or w.lower() in _VOTES:
+                return False
+    return found > 0
 
 
-_FIGURES = "pair_key long, target string, prompt_n int, response_n int, prompt_lang string, response_lang string, fixed boolean, refusal boolean, copied double, finish string, last string, prompt_sentences int, response_sentences int, words array<struct<target:string,word:string,seen:long,closed:long>>"
+_FIGURES = "pair_key long, target string, prompt_n int, response_n int, prompt_lang string, response_lang string, fixed boolean, refusal boolean, copied double, finish string, last string, prompt_ends int, response_ends int, words array<struct<target:string,word:string,seen:long,closed:long>>"
 
 
 def _figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        counts: dict[str, dict[str, list[int]]] = {}
+        seen: dict[str, Counter[str]] = {}
+        closed: dict[str, Counter[str]] = {}
         for key, prompt, response, target in zip(batch["k"], batch["p"], batch["r"], batch["t"], strict=True):
             prompt, response = prompt or "", response or ""
             pn, rn = sum(map(len, _ALNUM.findall(prompt))), sum(map(len, _ALNUM.findall(response)))
             if not pn or not rn:
                 rows.append((key, target, pn, rn, None, None, invariant(prompt), False, 0.0, "none", None, 0, 0, None))
                 continue
-            lang, refusal, how, units, ends = vote(response), refuses(response) and not refuses(prompt), finish(response), ending_units(response), B.whole_text_ends(response)
+            lang, refusal, how, ends = vote(response), refuses(response) and not refuses(prompt), finish(response), end_marks(response)
             if lang == target and not refusal and pn >= LEAST_LETTERS:
-                count_closings(counts.setdefault(target, {}), units, ends, how == "mark")
-            rows.append((key, target, pn, rn, vote(prompt), lang, invariant(prompt), refusal, copied_share(prompt, response), how, units[-1][1] if units else None, len(B.whole_text_ends(prompt)), len(ends), None))
+                words, closing = closing_words(response, ends, how == "mark")
+                seen.setdefault(target, Counter()).update(words)
+                closed.setdefault(target, Counter()).update(closing)
+            # Where a text ends in a mark its last word decides nothing.
+            last = None if how == "mark" else last_word(response)
+            rows.append((key, target, pn, rn, vote(prompt), lang, invariant(prompt), refusal, copied_share(prompt, response), how, last, _stretches(prompt, end_marks(prompt)), _stretches(response, ends), None))
         if rows:
             # The words of the whole batch stand in its first row.
-            rows[0] = (*rows[0][:-1], [{"target": t, "word": w, "seen": n, "closed": c} for t, own in counts.items() for w, (n, c) in own.items()])
+            rows[0] = (*rows[0][:-1], [{"target": t, "word": w, "seen": n, "closed": closed[t][w]} for t, own in seen.items() for w, n in own.items()])
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in _FIGURES.split(", ")])
 
 
@@ -333,7 +400,7 @@ def broken_pairs(df: DataFrame, key: str, prompt: str, response: str, target: st
     n = F.coalesce("pairs", F.lit(0))
     usual = (n * F.coalesce("median", F.lit(0.0)) + PRIOR_WEIGHT * base) / (n + PRIOR_WEIGHT)
     share = F.try_divide(ratio, usual)
-    fewer = F.col("response_sentences") < F.col("prompt_sentences")
+    fewer = F.col("response_ends") < F.col("prompt_ends")
     closing = (F.coalesce("closed", F.lit(0)) + CLOSING_WEIGHT * CLOSING_PRIOR) / (F.coalesce("seen", F.lit(0)) + CLOSING_WEIGHT)
     dangling = (closing < CLOSING_SHARE) | (F.col("finish") == "open")
     # What lacks a third is truncated; shares are estimates, so what is seen to break off may lack a little less by them.
