@@ -174,8 +174,16 @@ class LeakFinder:
         """
         parts = blocks(text)
         found: dict[int, int] = {}
-        # The place after the last seed of each item, in both texts: a seed that goes on there reaches no further.
-        last: dict[int, tuple[int, int]] = {}
+        # By item and diagonal the place after the last seed: a seed that goes on there reaches no further than the first of its
+        # run. So a text that repeats itself costs one extension for each diagonal, not for each pair of places.
+        last: dict[tuple[int, int], int] = {}
+
+        def wanted(item: int, d: int, p: int) -> bool:
+            known = found.get(item, 0)
+            goes_on = last.get((item, d - p)) == d
+            last[item, d - p] = d + 1
+            return not goes_on and (known < len(self.units[item]) if largest else not known)
+
         if self.words and parts:
             s = word_string(" ".join(parts))
             doc: list[str] | None = None
@@ -183,16 +191,14 @@ class LeakFinder:
             for at, item, p in self.words.find(s):
                 doc = doc or s.split()
                 d, counted = d + s.count(" ", counted, at), at
-                if (largest or not found.get(item)) and last.get(item) != (d, p):
+                if wanted(item, d, p):
                     found[item] = max(found.get(item, 0), covered(doc, self.units[item], d, p, SEED_WORDS, MIN_WORDS))
-                last[item] = (d + 1, p + 1)
         # The parts are decoded; the text itself may hold these scripts only as escapes or entities.
         if self.chars and any(map(_CJK.search, parts)):
             s = char_string("".join(parts))
             for at, item, p in self.chars.find(s):
-                if (largest or not found.get(item)) and last.get(item) != (at, p):
+                if wanted(item, at, p):
                     found[item] = max(found.get(item, 0), covered(s, self.units[item], at, p, SEED_CHARS, MIN_CHARS))
-                last[item] = (at + 1, p + 1)
         return {self.keys[n]: size for n, size in found.items() if size}
 
 
