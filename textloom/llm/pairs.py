@@ -35,6 +35,7 @@ _VOTES: dict[str, list[tuple[str, float]]] = {}
 for _lang, _words in STOPWORDS.items():
     for _rank, _w in enumerate(_words.split()):
         _VOTES.setdefault(_w, []).append((_lang, 25 / (25 + _rank)))
+_VOTES = {_w: [(_lang, _weight / len(_hits) ** 0.5) for _lang, _weight in _hits] for _w, _hits in _VOTES.items()}
 # Letters that only some of the languages use.
 _LETTERS = {"ñ": ["es"], "¿": ["es"], "¡": ["es"], "ã": ["pt"], "õ": ["pt"], "ç": ["pt", "fr"], "ê": ["pt", "fr"], "è": ["fr"], "û": ["fr"], "î": ["fr"], "œ": ["fr"], "ß": ["de"], "ä": ["de"], "ö": ["de"], "ü": ["de"], "â": ["pt", "fr"], "à": ["pt", "fr"], "ù": ["fr"], "ô": ["pt", "fr"], "á": ["es", "pt"], "í": ["es", "pt"], "ó": ["es", "pt"], "ú": ["es", "pt"]}
 
@@ -149,9 +150,8 @@ def vote(text: str) -> str | None:
         return "ru"
     tally: dict[str, float] = {}
     for w in words:
-        hits = _VOTES.get(w, ())
-        for k, weight in hits:
-            tally[k] = tally.get(k, 0.0) + weight / len(hits) ** 0.5
+        for k, weight in _VOTES.get(w, ()):
+            tally[k] = tally.get(k, 0.0) + weight
     for c in set(low) & _LETTERS.keys() if highest > "\x7f" else ():
         for k in _LETTERS[c]:
             tally[k] = tally.get(k, 0.0) + 1.0
@@ -282,15 +282,10 @@ def _lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
 
 
-def ending_units(low: str) -> list[tuple[int, str]]:
-    """Where each word of a text in lower case ends, and the word; in scripts without spaces the last two characters."""
-    out: list[tuple[int, str]] = []
-    before = ""
-    for m in _TOKEN.finditer(low):
-        w = m[0]
-        out.append((m.end(), before + w if len(w) == 1 and w > "\u3000" else w))
-        before = w
-    return out
+def ending_units(low: str) -> list[str]:
+    """The words of a text in lower case; in scripts without spaces a character with the word before it."""
+    tokens = _TOKEN.findall(low)
+    return [b + w if len(w) == 1 and w > "\u3000" else w for b, w in zip(["", *tokens], tokens, strict=False)]
 
 
 def closing_words(text: str, ends: list[int], marked: bool) -> tuple[list[str], list[str]]:
@@ -312,14 +307,9 @@ def closing_words(text: str, ends: list[int], marked: bool) -> tuple[list[str],
             if i < k:
                 closed.append(low[i:k])
     else:
-        units = ending_units(low)
-        words = [w for _, w in units]
-        n = 0
+        words = ending_units(low)
         for e in ends:
-            while n < len(units) and units[n][0] <= e:
-                n += 1
-            if n:
-                closed.append(words[n - 1])
+            closed += ending_units(low[max(0, e - 64) : e])[-1:]
     return (words if marked else words[:-1]), closed
 
 
@@ -330,7 +320,7 @@ def last_word(text: str) -> str | None:
     while k and not low[k - 1].isalnum():
         k -= 1
     units = ending_units(low[max(0, k - 200) : k])
-    return units[-1][1] if units else None
+    return units[-1] if units else None
 
 
 def invariant(text: str) -> bool:
